@@ -1,9 +1,11 @@
 """Exact order statistics of large groups.
 
 ``percentile``-style aggregates keep a group's whole value map in one task. Here the
-wanted rank is located in three counting passes: coarse cell, fine cell, value.
-Every pass counts map-side first, and the last one sees at most the distinct doubles
-in a billionth of a cell's relative range.
+wanted rank is first located in a histogram of fine logarithmic cells, then only the
+cell that holds it is ordered. Both steps count map-side before anything is shuffled.
+
+A cell spans 8 millionths of its value, so readings with a fixed resolution leave
+few distinct values in it: below 100 000 for microsecond timings of up to 3 hours.
 """
 
 from __future__ import annotations
@@ -13,20 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE = 4096.0  # coarse cells per factor of e
-_FINE = 1048576.0  # fine cells per coarse cell
+_CELLS = 131072.0  # per factor of e
 
 
-def _coarse_cell(v: Column) -> Column:
+def _cell(v: Column) -> Column:
     """Monotone in ``v``; 0 only for values below 1e-9 in size."""
-    size = F.abs(v) * F.lit(1e9)
-    return (F.signum(v) * F.floor(F.log1p(size) * F.lit(_COARSE))).cast("bigint")
-
-
-def _fine_cell(v: Column, low: Column) -> Column:
-    """Monotone in ``v`` inside one coarse cell whose smallest value is ``low``."""
-    span = F.greatest(F.abs(low), F.lit(1e-9)) / F.lit(_COARSE)
-    return F.floor((v - low) / span * F.lit(_FINE)).cast("bigint")
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * F.lit(1e9)) * F.lit(_CELLS))).cast("bigint")
 
 
 def _before(keys: Sequence[str], order: str) -> Column:
@@ -42,38 +36,32 @@ def order_statistics(
 ) -> DataFrame:
     """One row per key: ``n`` and, per name, the value at that 1-based rank.
 
-    Rank expressions may use the column ``n``, the number of non-NULL values.
+    Rank expressions may use the keys and ``n``, the number of non-NULL values.
     """
     keys = list(keys)
     v = F.col("__v")
-    # Distinct values with counts: the one wide shuffle, with map-side merging.
+    # Distinct values with counts: the one wide shuffle, used by both steps.
     counts = (
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("__v"))
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__c", _coarse_cell(v))
+        .withColumn("__c", _cell(v))
+    )
+    cells = counts.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n"))
+    cells = cells.withColumns(
+        {"__b": _before(keys, "__c"), "n": F.sum("__n").over(Window.partitionBy(*keys))}
     )
-    coarse = counts.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n"), F.min("__v").alias("__low"))
-    totals = Window.partitionBy(*keys)
-    coarse = coarse.withColumns({"__b": _before(keys, "__c"), "n": F.sum("__n").over(totals)})
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("q"), r.cast("bigint").alias("r")) for k, r in ranks.items()])
     )
-    hit = coarse.withColumn("__w", wanted).select(*keys, "__c", "__n", "__low", "__b", "n", "__w.*")
+    hit = cells.withColumn("__w", wanted).select(*keys, "__c", "__n", "__b", "n", "__w.*")
     hit = hit.where("r > __b AND r <= __b + __n").select(
-        *keys, "__c", "__low", "n", "q", (F.col("r") - F.col("__b")).alias("__r")
-    )
-
-    cell = counts.join(hit, [*keys, "__c"]).withColumn("__f", _fine_cell(v, F.col("__low")))
-    fine = cell.groupBy(*keys, "n", "q", "__r", "__f").agg(F.sum("__n").alias("__n"))
-    fine = fine.withColumn("__b", _before([*keys, "q"], "__f"))
-    fine = fine.where("__r > __b AND __r <= __b + __n").select(
-        *keys, "q", "__f", (F.col("__r") - F.col("__b")).alias("__s")
+        *keys, "__c", "n", "q", (F.col("r") - F.col("__b")).alias("__r")
     )
-
-    last = cell.join(fine, [*keys, "q", "__f"]).withColumn("__b", _before([*keys, "q", "__f"], "__v"))
-    last = last.where("__s > __b AND __s <= __b + __n")
+    last = counts.join(hit, [*keys, "__c"]).repartition(*keys)
+    last = last.withColumn("__b", _before([*keys, "q", "__c"], "__v"))
+    last = last.where("__r > __b AND __r <= __b + __n")
     picked = [F.max(F.when(F.col("q") == k, v)).alias(k) for k in ranks]
     return last.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
 
@@ -92,3 +80,16 @@ def median_of(df: DataFrame, keys: Sequence[str], value: str, name: str = "media
     ranks = {"__lo": F.floor((F.col("n") + 1) / 2), "__hi": upper_median_rank()}
     out = order_statistics(df, keys, value, ranks)
     return out.withColumn(name, (F.col("__lo") + F.col("__hi")) / 2).drop("__lo", "__hi")
+
+
+def stacked(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per measure, so several measures share one pass: (keys, what, value)."""
+    pairs = [F.struct(F.lit(v).alias("what"), F.col(v).cast("double").alias("value")) for v in values]
+    return df.select(*keys, F.explode(F.array(*pairs)).alias("__p")).select(*keys, "__p.*")
+
+
+def spread_out(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, str]) -> DataFrame:
+    """Back from one row per measure to one column per measure."""
+    return df.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("what") == w, F.col(value))).alias(n) for w, n in names.items()]
+    )

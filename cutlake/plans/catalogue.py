@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("joining",)
+MODULES = ("joining", "statistics")
 
 
 def import_all() -> None:

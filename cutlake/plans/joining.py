@@ -217,9 +217,9 @@ def _(lib):
 @q("j5_nearest_marker", "clips markers",
    "SELECT project_id, pts, CASE WHEN nt IS NULL OR pts - pt <= nt - pts THEN pi ELSE ni END AS marker_id, "
    "CASE WHEN nt IS NULL OR pts - pt <= nt - pts THEN pt ELSE nt END AS marker_pts FROM "
-   "(SELECT a.*, m.pts AS nt, m.marker_id AS ni FROM (SELECT p.*, m.pts AS pt, m.marker_id AS pi FROM at p ASOF LEFT JOIN mk m "
+   "(SELECT a.*, m.pts AS nt, m.marker_id AS ni FROM (SELECT p.*, m.pts AS pt, m.marker_id AS pi FROM apts p ASOF LEFT JOIN mk m "
    "ON p.project_id = m.project_id AND p.pts >= m.pts) a ASOF LEFT JOIN mk m ON a.project_id = m.project_id AND a.pts <= m.pts)",
-   "at AS (SELECT project_id, pts_in // 40 AS pts FROM clips), "
+   "apts AS (SELECT project_id, pts_in // 40 AS pts FROM clips), "
    "mk AS (SELECT project_id, pts, min(marker_id) AS marker_id FROM markers GROUP BY 1, 2)")
 def _(lib):
     at = lib.clips.selectExpr("project_id", "pts_in div 40 AS pts")
@@ -351,12 +351,12 @@ def _(lib):
 
 
 _OTHER = (
-    "other AS (SELECT frame_id, x, y, r + (frame_id % 5) / 100e0 AS r, g, b - (x % 2) / 50e0 AS b FROM pixels WHERE NOT (a < 0.7e0 AND x = 2))"
+    "other AS (SELECT frame_id, x, y, r + (frame_id % 5) / 100e0 AS r, g, b - (x % 2) / 50e0 AS b FROM pixels WHERE NOT (a < 0.7e0 AND x = 3))"
 )
 
 
 def other_render(lib: Lib) -> DataFrame:
-    return lib.pixels.where("NOT (a < 0.7e0 AND x = 2)").selectExpr(
+    return lib.pixels.where("NOT (a < 0.7e0 AND x = 3)").selectExpr(
         "frame_id", "x", "y", "r + (frame_id % 5) / 100e0 AS r", "g", "b - (x % 2) / 50e0 AS b"
     )
 
