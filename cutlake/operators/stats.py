@@ -275,7 +275,7 @@ def node_timings(brackets: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFr
         *key, F.col("ms").alias("value"),
         F.explode(F.array(F.lit(0), F.col("instance"))).alias("what"),
     )
-    per_frame = numbered.groupBy(*key, "frame").agg(F.sum("ms").alias("value")).withColumn("what", F.lit(-1))
+    per_frame = numbered.groupBy(*key, "frame").agg(F.sum("ms").alias("value")).drop("frame").withColumn("what", F.lit(-1))
     med = median_of(series.unionByName(per_frame), [*key, "what"], "value")
 
     def pick(which: Column, value: str) -> Column:

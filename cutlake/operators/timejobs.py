@@ -258,9 +258,10 @@ def progress_eta(updates: DataFrame) -> DataFrame:
     """Rate and remaining seconds; no estimate in the first five frames or at the end."""
     done, total, secs = F.col("frames_done"), F.col("total_frames"), F.col("elapsed_s")
     fps = F.coalesce(F.when(secs > 0, ratio(done, secs)), F.lit(0.0))
-    early = (done < 5) | (done >= total) | (F.when(secs > 0, ratio(done, secs)) < 0.001)
-    eta = F.when(~early & (fps > 0), (total - done) / F.nullif(fps, F.lit(0.0)))
-    eta = F.when(~early & (secs <= 0), F.lit(0.0)).otherwise(eta)
+    stalled = (secs > 0) & (fps < 0.001)
+    known = (done >= 5) & (done < total) & ~stalled
+    left = F.when(secs > 0, (total - done) / F.nullif(fps, F.lit(0.0))).otherwise(F.lit(0.0))
+    eta = F.when(known, left)
     return updates.withColumns({"fps": fps, "eta_s": eta})
 
 

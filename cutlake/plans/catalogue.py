@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("joining", "statistics")
+MODULES = ("joining", "statistics", "timing", "editing")
 
 
 def import_all() -> None:
