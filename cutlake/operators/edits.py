@@ -21,6 +21,7 @@ from cutlake.operators.rangejoin import WIDTH, overlapping_intervals
 from cutlake.operators.scan import Scan, chunked_scan, new_ids, ranked
 from cutlake.operators.sets import remainders
 from cutlake.operators.windows import overlapped_clips
+from cutlake.session import cut
 
 CLIP = ["project_id", "clip_id"]
 TRACK = ["project_id", "track_id"]
@@ -98,7 +99,10 @@ def insert_overwrite(
     hits = overlapping_intervals(
         spans, knives, TRACK, ("pts_in", "pts_out"), ("cut_lo", "cut_hi"), width=width
     ).where("k_id > insert_id")
-    pieces = remainders(under, hits.select(*CLIP, "cut_lo", "cut_hi"), CLIP)
+    # Only keys and times are written out; the attributes join back below.
+    left = remainders(spans.select(*CLIP, "pts_in", "pts_out"), hits.select(*CLIP, "cut_lo", "cut_hi"), CLIP)
+    left = cut(left.select(*CLIP, "piece_in", "piece_out"))
+    pieces = under.join(left, CLIP)
 
     moved = F.col("piece_in") - F.col("pts_in")
     skipped = source_offset(moved, F.col("speed")) if scale_source else moved
@@ -111,7 +115,7 @@ def insert_overwrite(
             "__cut": ~(is_head & is_tail),
         }
     )
-    first = pieces.groupBy(*CLIP).agg(F.min("piece_in").alias("__first"))
+    first = left.groupBy(*CLIP).agg(F.min("piece_in").alias("__first"))
     pieces = pieces.join(first, CLIP).withColumns({"pts_in": F.col("piece_in"), "pts_out": F.col("piece_out")})
     keeps = (F.col("insert_id") < 0) & (F.col("pts_in") == F.col("__first"))
     # Pieces of one parent never share a start, so (start, parent) orders them fully.
@@ -311,7 +315,7 @@ def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None
     pushed = push_boundary(clips, at).select(
         *CLIP, "track_id", "source_id", "pts_in", "p", "new_in", (F.col("pts_in") < F.col("p")).alias("split")
     )
-    pushed = pushed.where(F.col("split") | (F.col("new_in") > F.col("pts_in")))
+    pushed = cut(pushed.where(F.col("split") | (F.col("new_in") > F.col("pts_in"))))
     # What a linked clip copies from its primary; the lowest id decides among several.
     leader = pushed.groupBy("project_id", "source_id", "pts_in").agg(
         F.min_by(F.struct("p", "new_in", "split", F.col("track_id").alias("lead_track")), "clip_id").alias("lead")
@@ -366,7 +370,7 @@ def ripple_move(clips: DataFrame, edits: DataFrame) -> Edited:
         {"track_id": F.col("new_track"), "pts_out": F.col("new_pts_in") + F.col("pts_out") - F.col("pts_in")}
     )
     moved = moved.withColumn("pts_in", F.col("new_pts_in")).drop("clip_id", "new_track", "new_pts_in")
-    out = ripple_insert(closed.clips, moved)
+    out = ripple_insert(cut(closed.clips), moved)
     return Edited(out.clips, None, bad)
 
 

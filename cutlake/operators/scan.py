@@ -98,27 +98,26 @@ def ranked(
 ) -> DataFrame:
     """Add the 1-based rank by (order, tie) within keys. ``tie`` is a unique BIGINT.
 
-    Rows sharing one order value are themselves cut into cells of the tie column,
-    so even a single hot (key, order) pair is spread over tasks.
+    Rows are counted per slot - one order value and one cell of the tie column - so
+    even a single hot (key, order) pair is spread over tasks.
     """
     keys = list(keys)
-    tied = df.withColumn("__tie", grid_floor(tie, cell))
-    counts = tied.groupBy(*keys, order, "__tie").agg(F.count(F.lit(1)).alias("__n"))
-    before_tie = F.sum("__n").over(
-        Window.partitionBy(*keys, order).orderBy("__tie").rowsBetween(Window.unboundedPreceding, -1)
+    slots = df.withColumns({"__tie": grid_floor(tie, cell), _CELL: grid_floor(order, cell)})
+    counts = slots.groupBy(*keys, _CELL, order, "__tie").agg(F.count(F.lit(1)).alias("__n"))
+    # Row counts before each slot: inside its cell, plus whole cells before it.
+    cells = counts.repartition(*keys, _CELL)
+    before = Window.partitionBy(*keys, _CELL).orderBy(order, "__tie")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    local = cells.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    totals = cells.groupBy(*keys, _CELL).agg(F.sum("__n").alias("__m"))
+    whole = Window.partitionBy(*keys).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select(*keys, _CELL, F.coalesce(F.sum("__m").over(whole), F.lit(0)).alias("__c"))
+    offsets = local.join(carries, [*keys, _CELL]).select(
+        *keys, order, "__tie", (F.col("__o") + F.col("__c")).alias("__o")
     )
-    per_order = counts.groupBy(*keys, order).agg(F.sum("__n").alias("__m"))
-    base = chunked_scan(
-        per_order, keys, order, [Scan("__before", "sum", F.col("__m"), inclusive=False)], cell
-    )
-    offsets = (
-        counts.withColumn("__t", F.coalesce(before_tie, F.lit(0)))
-        .join(base, [*keys, order])
-        .select(*keys, order, "__tie", (F.coalesce("__before", F.lit(0)) + F.col("__t")).alias("__o"))
-    )
-    in_cell = F.row_number().over(Window.partitionBy(*keys, order, "__tie").orderBy(tie))
+    in_slot = F.row_number().over(Window.partitionBy(*keys, order, "__tie").orderBy(tie))
     return (
-        tied.withColumn("__r", in_cell)
+        slots.withColumn("__r", in_slot)
         .join(offsets, [*keys, order, "__tie"])
         .select(*df.columns, (F.col("__o") + F.col("__r")).cast("bigint").alias(name))
     )
