@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,46 +133,65 @@ def gaussian_weights(radius: float, sigma: float) -> list[float]:
     return [math.exp(-(i * i) / (2.0 * s * s)) for i in range(-r, r + 1)]
 
 
-def gaussian_lines(pixels: DataFrame, radius: float, sigma: float, axis: str) -> DataFrame:
+def gaussian_lines(
+    pixels: DataFrame, radius: float | str, sigma: float | str, axis: str, picture: Sequence[str] = ("frame_id",)
+) -> DataFrame:
     """One blur pass along ``axis`` ('x' or 'y') with the line's ends repeated.
 
-    One group is one picture line, so a group is bounded by the picture size.
+    Radius and sigma are numbers or columns constant over a picture; a NULL radius
+    leaves the picture alone. The unit of work is one picture line.
     """
     along, across = ("x", "y") if axis == "x" else ("y", "x")
-    weights = np.array(gaussian_weights(radius, sigma))
-    r = len(weights) // 2
-    total = max(float(weights.sum()), 1e-5)
-
-    def blur(lines: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Batches arrive sorted by line; a line cut by a batch end is carried over.
+    line_keys = [*picture, across]
+
+    def param(t: pa.Table, value: float | str) -> np.ndarray:
+        if isinstance(value, str):
+            return t[value].cast(pa.float64()).fill_null(float("nan")).to_numpy()
+        return np.full(t.num_rows, float(value))
+
+    def starts(t: pa.Table) -> np.ndarray:
+        change = np.zeros(max(t.num_rows - 1, 0), dtype=bool)
+        for key in line_keys:
+            v = t[key].to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.flatnonzero(np.concatenate([[True], change]))
+
+    def blurred(t: pa.Table) -> pa.Table:
+        first = starts(t)
+        last = np.concatenate([first[1:], [t.num_rows]]) - 1
+        lo, hi = (np.repeat(e, last - first + 1) for e in (first, last))
+        radii, sigmas = param(t, radius), param(t, sigma)
+        kernels = {(r, s) for r, s in zip(radii[first], sigmas[first]) if r == r}
+        columns = {}
+        for c in ("r", "g", "b", "a"):
+            v = t[c].to_numpy()
+            out = np.array(v, copy=True)
+            for r, s in kernels:
+                rows = np.flatnonzero((radii == r) & (sigmas == s))
+                weights = gaussian_weights(r, s)
+                half = len(weights) // 2
+                acc = np.zeros(len(rows))
+                for i, w in enumerate(weights):
+                    acc += w * v[np.clip(rows + (i - half), lo[rows], hi[rows])]
+                out[rows] = acc / max(sum(weights), 1e-5)
+            columns[c] = pa.array(out)
+        keep = {n: t[n] for n in t.column_names if n not in columns}
+        return pa.table({**keep, **columns}).select(t.column_names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by line; a line cut by a batch end waits for the next batch.
         rest = None
-        for batch in lines:
+        for batch in batches:
             part = pa.Table.from_batches([batch])
             t = part if rest is None else pa.concat_tables([rest, part])
-            f, a = t["frame_id"].to_numpy(), t[across].to_numpy()
-            change = np.flatnonzero((np.diff(f) != 0) | (np.diff(a) != 0)) + 1
-            cut = int(change[-1]) if len(change) else 0
+            if not t.num_rows:
+                continue
+            cut = int(starts(t)[-1])
             if cut:
-                yield from _blur_table(t.slice(0, cut)).to_batches()
+                yield from blurred(t.slice(0, cut)).to_batches()
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
-            yield from _blur_table(rest).to_batches()
-
-    def _blur_table(t: pa.Table) -> pa.Table:
-        f, a = t["frame_id"].to_numpy(), t[across].to_numpy()
-        line = np.concatenate([[0], np.cumsum((np.diff(f) != 0) | (np.diff(a) != 0))])
-        first = np.flatnonzero(np.concatenate([[True], np.diff(line) != 0]))
-        last = np.concatenate([first[1:], [len(line)]]) - 1
-        lo, hi, at = first[line], last[line], np.arange(len(line))
-        columns = {}
-        for c in ("r", "g", "b", "a"):
-            v = t[c].to_numpy()
-            acc = np.zeros(len(v))
-            for i, w in enumerate(weights):
-                acc += w * v[np.clip(at + (i - r), lo, hi)]
-            columns[c] = pa.array(acc / total)
-        keep = [n for n in t.column_names if n not in columns]
-        return pa.table({**{n: t[n] for n in keep}, **columns}).select(t.column_names)
-
-    sorted_lines = pixels.repartition("frame_id", across).sortWithinPartitions("frame_id", across, along)
-    return sorted_lines.mapInArrow(blur, pixels.schema)
+            yield from blurred(rest).to_batches()
+
+    lines = pixels.repartition(*line_keys).sortWithinPartitions(*line_keys, along)
+    return lines.mapInArrow(run, pixels.schema)
