@@ -41,7 +41,9 @@ def grid_floor(value: Column | str, width: int) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """``value`` held to [low, high]; NULL stays NULL."""
+    held = F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    return F.when(value.isNotNull(), held)
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -568,17 +568,24 @@ def place(clips: DataFrame, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
     return m.where(F.col("u").between(0, 1) & F.col("v").between(0, 1)).select(*keys, "x", "y", "u", "v")
 
 
-def _lab(rgb: Sequence[Column]) -> tuple[Column, Column, Column]:
-    r, g, b = rgb
+def to_lab(pixels: DataFrame, names: Sequence[str] = ("l", "a", "b")) -> DataFrame:
+    """CIELAB (D65) of linear sRGB pixels as ``(frame_id, x, y, names...)``."""
 
-    def f(t: Column) -> Column:
+    def f(c: str) -> Column:
+        t = F.col(c)
         return F.when(t > 0.008856, F.cbrt(t)).otherwise(t * ((29 / 6) ** 2 / 3) + 4 / 29)
 
+    r, g, b = _rgb()
     # Linear sRGB to XYZ, D65 white.
-    fx = f((r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047)
-    fy = f(r * 0.2126729 + g * 0.7151522 + b * 0.0721750)
-    fz = f((r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883)
-    return fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200
+    xyz = pixels.select(
+        "frame_id", "x", "y",
+        ((r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047).alias("__x"),
+        (r * 0.2126729 + g * 0.7151522 + b * 0.0721750).alias("__y"),
+        ((r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883).alias("__z"),
+    ).withColumns({c: f(c) for c in ("__x", "__y", "__z")})
+    fx, fy, fz = (F.col(c) for c in ("__x", "__y", "__z"))
+    lab = (fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200)
+    return xyz.select("frame_id", "x", "y", *[c.alias(n) for c, n in zip(lab, names)])
 
 
 def lab_difference(df: DataFrame, out: str = "delta_e") -> DataFrame:
@@ -646,8 +653,7 @@ def lab_difference(df: DataFrame, out: str = "delta_e") -> DataFrame:
 def delta_e(a: DataFrame, b: DataFrame) -> DataFrame:
     """CIEDE2000 between two renders of linear-light pixels: mean, p95, max per picture."""
     at = ["frame_id", "x", "y"]
-    la = a.select(*at, *[c.alias(n) for c, n in zip(_lab(_rgb()), ("l1", "a1", "b1"))])
-    lb = b.select(*at, *[c.alias(n) for c, n in zip(_lab(_rgb()), ("l2", "a2", "b2"))])
+    la, lb = to_lab(a, ("l1", "a1", "b1")), to_lab(b, ("l2", "a2", "b2"))
     d = lab_difference(la.join(lb, at))
     stats = d.groupBy("frame_id").agg(F.avg("delta_e").alias("mean_de"), F.max("delta_e").alias("max_de"))
     tail = order_statistics(d, ["frame_id"], "delta_e", {"p95_de": nearest_rank(0.95)}).drop("n")

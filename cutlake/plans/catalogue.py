@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("joining", "statistics", "timing", "editing", "ingest", "sound")
+MODULES = ("joining", "statistics", "timing", "editing", "ingest", "sound", "picture")
 
 
 def import_all() -> None:

@@ -241,7 +241,7 @@ _J7_EXTRA = (
 
 
 @q("j7_clip_state_at", "keyframes",
-   "SELECT project_id, clip_id, pts, round(coalesce(least(greatest(max(CASE param WHEN 'Opacity' THEN value END), 0), 1), 0.25), 6) AS opacity, "
+   "SELECT project_id, clip_id, pts, round(coalesce(CASE WHEN count(*) FILTER (param = 'Opacity') > 0 THEN least(greatest(max(CASE param WHEN 'Opacity' THEN value END), 0), 1) END, 0.25), 6) AS opacity, "
    "round(coalesce(max(CASE param WHEN 'PositionX' THEN value END), 0), 6) AS position_x, "
    "round(coalesce(max(CASE param WHEN 'Scale' THEN value END), 1), 6) AS scale_y, "
    "round(coalesce(max(CASE param WHEN 'Rotation' THEN value END), 0), 6) AS rotation, 0.3e0 AS chroma_key_tolerance "
