@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("joining", "statistics", "timing", "editing", "ingest", "sound", "picture")
+MODULES = ("joining", "statistics", "timing", "editing", "ingest", "sound", "picture", "live")
 
 
 def import_all() -> None:

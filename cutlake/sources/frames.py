@@ -19,18 +19,22 @@ FRAME_SCHEMA = T.StructType(
 def read_frame_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Frame rows, and the lines whose field count or numbers do not fit.
 
-    An empty field is NULL: not measured, never zero.
+    An empty field is NULL: not measured, never zero. Every field is a number or
+    empty, so lines are split here and judged whole, whatever columns are read later.
     """
-    schema = T.StructType([*FRAME_SCHEMA.fields, T.StructField("line", T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "line")
-        .csv(path)
+    lines = spark.read.text(path).where(~F.col("value").startswith("frame,") & (F.trim("value") != ""))
+    fields = F.split("value", ",", -1)
+    names = FRAME_SCHEMA.fieldNames()
+    numeric = F.forall(fields, lambda f: (f == "") | f.try_cast("double").isNotNull())
+    fits = (F.size(fields) == len(names)) & numeric & F.get(fields, F.lit(0)).try_cast("bigint").isNotNull()
+    good = lines.where(fits).select(fields.alias("f"))
+    ok = good.select(
+        *[
+            F.when(F.col("f")[i] != "", F.col("f")[i].try_cast(t.dataType)).alias(t.name)
+            for i, t in enumerate(FRAME_SCHEMA.fields)
+        ]
     )
-    ok = raw.where(F.col("line").isNull()).drop("line")
-    return ok, raw.where(F.col("line").isNotNull()).select("line")
+    return ok, lines.where(~fits).select(F.col("value").alias("line"))
 
 
 def write_frame_csv(frames: DataFrame, path: str) -> None:
