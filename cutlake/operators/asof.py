@@ -29,7 +29,7 @@ def asof_neighbours(
     are reduced to the smallest struct. Unmatched points keep NULL.
     """
     keys = list(keys)
-    wanted = points.select(*keys, F.col(point_time).alias("__t")).distinct()
+    wanted = points.select(*keys, F.col(point_time).alias("__t"))
     given = events.where(F.col(event_time).isNotNull()).select(
         *keys,
         F.col(event_time).alias("__t"),

@@ -100,7 +100,12 @@ def combine_rates(df: DataFrame) -> DataFrame:
     )
 
 
-_TC_PART = r"([0-9]{2}|\+[0-9])"
+# Timecodes with every digit written as 9; a part may be "+" and a digit.
+_PARTS = ("99", "+9")
+_TC_SHAPES = [
+    f"{h}:{m}:{s}{sep}{f}" for h in _PARTS for m in _PARTS for s in _PARTS for f in _PARTS for sep in ":;"
+]
+_SPACES = " \t\n\r\f\v"
 
 
 def _nominal() -> Column:
@@ -114,17 +119,22 @@ def parse_timecode(df: DataFrame, rates: DataFrame, key: str) -> Pair:
     30. Rejects: InvalidFormat, InvalidComponents, InvalidRate.
     """
     rated, no_rate = _with_rate(df, rates, key)
-    tc = F.regexp_replace("tc", r"^\s+|\s+$", "")
-    shaped = (F.octet_length(tc) == 11) & tc.rlike(r"(?s)^..:..:..[:;]..$")
-    numeric = tc.rlike(f"^{_TC_PART}:{_TC_PART}:{_TC_PART}[:;]{_TC_PART}$")
+    tc = F.col("__tc")
+    mark = F.substring(tc, 9, 1)
+    shaped = (
+        (F.octet_length(tc) == 11) & (F.substring(tc, 3, 1) == ":") & (F.substring(tc, 6, 1) == ":") & mark.isin(":", ";")
+    )
+    numeric = F.translate(tc, "0123456789", "9" * 10).isin(*_TC_SHAPES)
+    rated = rated.withColumn("__tc", F.btrim("tc", F.lit(_SPACES)))
+    rated = rated.withColumns({"__shaped": F.coalesce(shaped, F.lit(False)), "__numeric": numeric, "__nom": _nominal()})
 
     def part(at: int) -> Column:
-        return F.when(numeric, F.regexp_replace(F.substring(tc, at, 2), r"\+", "")).cast("bigint")
+        return F.when(F.col("__numeric"), F.translate(F.substring(tc, at, 2), "+", "")).cast("bigint")
 
     parsed = rated.withColumns(
         {
             "__h": part(1), "__m": part(4), "__s": part(7), "__f": part(10),
-            "__drop": F.substring(tc, 9, 1) == ";", "__shaped": F.coalesce(shaped, F.lit(False)),
+            "__drop": mark == ";",
         }
     )
     error = F.when(~F.col("__shaped"), "InvalidFormat").when(
@@ -134,10 +144,10 @@ def parse_timecode(df: DataFrame, rates: DataFrame, key: str) -> Pair:
     seconds = F.col("__h") * 3600 + F.col("__m") * 60 + F.col("__s")
     minutes = F.col("__h") * 60 + F.col("__m")
     dropped = F.when(
-        F.col("__drop") & (_nominal() == 30), (minutes - idiv(minutes, F.lit(10))) * 2
+        F.col("__drop") & (F.col("__nom") == 30), (minutes - idiv(minutes, F.lit(10))) * 2
     ).otherwise(0)
     ok = parsed.where(F.col("error").isNull()).withColumn(
-        "frame", seconds * _nominal() + F.col("__f") - dropped
+        "frame", seconds * F.col("__nom") + F.col("__f") - dropped
     )
     ok = ok.withColumn("pts", tbx.frame_start_trunc(F.col("frame"), F.col("num"), F.col("den")))
     bad = parsed.where(F.col("error").isNotNull()).select(*df.columns, "error")

@@ -350,7 +350,7 @@ def _(lib):
     return out.select("pair_id", "offset", *[rounded(F.col(c)).alias(c) for c in ("delta", "delta_aligned")])
 
 
-_OTHER = (
+OTHER = (
     "other AS (SELECT frame_id, x, y, r + (frame_id % 5) / 100e0 AS r, g, b - (x % 2) / 50e0 AS b FROM pixels WHERE NOT (a < 0.7e0 AND x = 3))"
 )
 
@@ -365,7 +365,7 @@ def other_render(lib: Lib) -> DataFrame:
    "SELECT frame_id, round(max(w), 6) AS max_diff, round(avg(t) / 3, 6) AS mean_diff, CAST(count(*) FILTER (w IS NULL) AS BIGINT) AS missing, "
    "count(*) FILTER (w IS NULL) = 0 AND max(w) <= 0.03e0 AS passed FROM (SELECT frame_id, greatest(dr, dg, db) + 0 * dr AS w, dr + dg + db AS t FROM "
    "(SELECT frame_id, abs(p.r - o.r) AS dr, abs(p.g - o.g) AS dg, abs(p.b - o.b) AS db FROM pixels p FULL JOIN other o USING (frame_id, x, y))) GROUP BY frame_id",
-   _OTHER)
+   OTHER)
 def _(lib):
     out = joins.compare_frames(lib.pixels, other_render(lib), 0.03)
     return out.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutlake.functions import colour as cx
 from cutlake.functions.arith import rounded
 from cutlake.operators import pixels as px
+from cutlake.plans.joining import OTHER, other_render
 from cutlake.plans.registry import REGISTRY, Lib
 
 q = REGISTRY.add
@@ -423,11 +424,35 @@ def _(lib):
     return out(px.place(lib.raw("embeddings").selectExpr(*_PLACE)), "u", "v", digits=5)
 
 
-@q("p15_delta_e", "pixels")
-def _(lib):
-    from cutlake.plans.joining import other_render
+def _lab_sql(name: str, src: str) -> str:
+    def f(t: str) -> str:
+        return f"CASE WHEN {t} > 0.008856e0 THEN cbrt({t}) ELSE {t} * {(29 / 6) ** 2 / 3!r} + {4 / 29!r} END"
+
+    return (
+        f"{name} AS (SELECT frame_id, x, y, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM (SELECT frame_id, x, y, {f('cx')} AS fx, {f('cy')} AS fy, {f('cz')} AS fz FROM "
+        "(SELECT frame_id, x, y, (r * 0.4124564e0 + g * 0.3575761e0 + b * 0.1804375e0) / 0.95047e0 AS cx, r * 0.2126729e0 + g * 0.7151522e0 + b * 0.0721750e0 AS cy, "
+        f"(r * 0.0193339e0 + g * 0.1191920e0 + b * 0.9503041e0) / 1.08883e0 AS cz FROM {src})))"
+    )
+
 
-    return out(px.delta_e(lib.pixels, other_render(lib)), "mean_de", "p95_de", "max_de", digits=4)
+_DE = (
+    f"{OTHER}, {_lab_sql('la', 'pixels')}, {_lab_sql('lb', 'other')}, "
+    "d0 AS (SELECT frame_id, la.l AS l1, la.a AS a1, la.b AS b1, lb.l AS l2, lb.a AS a2, lb.b AS b2, ((sqrt(la.a * la.a + la.b * la.b) + sqrt(lb.a * lb.a + lb.b * lb.b)) / 2) ** 7 AS c7 FROM la JOIN lb USING (frame_id, x, y)), "
+    "d1 AS (SELECT *, a1 * (1.5e0 - 0.5e0 * sqrt(c7 / (c7 + 6103515625e0))) AS p1, a2 * (1.5e0 - 0.5e0 * sqrt(c7 / (c7 + 6103515625e0))) AS p2 FROM d0), "
+    "d2 AS (SELECT *, sqrt(p1 * p1 + b1 * b1) AS c1, sqrt(p2 * p2 + b2 * b2) AS c2, degrees(atan2(b1, p1)) + CASE WHEN atan2(b1, p1) < 0 THEN 360 ELSE 0 END AS h1, degrees(atan2(b2, p2)) + CASE WHEN atan2(b2, p2) < 0 THEN 360 ELSE 0 END AS h2 FROM d1), "
+    "d3 AS (SELECT *, (c1 + c2) / 2 AS cm, ((l1 + l2) / 2 - 50) ** 2 AS l50, CASE WHEN c1 * c2 < 1e-12 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, "
+    "CASE WHEN c1 * c2 < 1e-12 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS hm FROM d2), "
+    "d4 AS (SELECT frame_id, (l2 - l1) / (1 + 0.015e0 * l50 / sqrt(20 + l50)) AS tl, (c2 - c1) / (1 + 0.045e0 * cm) AS tc, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015e0 * cm * (1 - 0.17e0 * cos(radians(hm - 30)) + 0.24e0 * cos(radians(2 * hm)) + 0.32e0 * cos(radians(3 * hm + 6)) - 0.20e0 * cos(radians(4 * hm - 63)))) AS th, "
+    "-sin(radians(60 * exp(0 - ((hm - 275) / 25) * ((hm - 275) / 25)))) * 2 * sqrt(cm ** 7 / (cm ** 7 + 6103515625e0)) AS rt FROM d3), "
+    "de AS (SELECT frame_id, sqrt(greatest(tl * tl + tc * tc + th * th + rt * tc * th, 0)) AS e FROM d4), "
+    "dr AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY e) AS rn, count(*) OVER (PARTITION BY frame_id) AS n FROM de)"
+)
+
+
+@q("p15_delta_e", "pixels",
+   f"SELECT frame_id, {rnd('avg(e)', 'mean_de', 6)}, {rnd('max(CASE WHEN rn = greatest(ceil(n * 0.95e0), 1) THEN e END)', 'p95_de', 6)}, {rnd('max(e)', 'max_de', 6)} FROM dr GROUP BY 1", _DE)
+def _(lib):
+    return out(px.delta_e(lib.pixels, other_render(lib)), "mean_de", "p95_de", "max_de", digits=6)
 
 
 _STATE = (
