@@ -100,11 +100,7 @@ def combine_rates(df: DataFrame) -> DataFrame:
     )
 
 
-# Timecodes with every digit written as 9; a part may be "+" and a digit.
-_PARTS = ("99", "+9")
-_TC_SHAPES = [
-    f"{h}:{m}:{s}{sep}{f}" for h in _PARTS for m in _PARTS for s in _PARTS for f in _PARTS for sep in ":;"
-]
+_TC_PART = r"(?:[0-9]{2}|\+[0-9])"
 _SPACES = " \t\n\r\f\v"
 
 
@@ -124,12 +120,12 @@ def parse_timecode(df: DataFrame, rates: DataFrame, key: str) -> Pair:
     shaped = (
         (F.octet_length(tc) == 11) & (F.substring(tc, 3, 1) == ":") & (F.substring(tc, 6, 1) == ":") & mark.isin(":", ";")
     )
-    numeric = F.translate(tc, "0123456789", "9" * 10).isin(*_TC_SHAPES)
+    numeric = tc.rlike(f"^{_TC_PART}:{_TC_PART}:{_TC_PART}[:;]{_TC_PART}$")
     rated = rated.withColumn("__tc", F.btrim("tc", F.lit(_SPACES)))
     rated = rated.withColumns({"__shaped": F.coalesce(shaped, F.lit(False)), "__numeric": numeric, "__nom": _nominal()})
 
     def part(at: int) -> Column:
-        return F.when(F.col("__numeric"), F.translate(F.substring(tc, at, 2), "+", "")).cast("bigint")
+        return F.substring(tc, at, 2).try_cast("bigint")
 
     parsed = rated.withColumns(
         {
@@ -138,7 +134,7 @@ def parse_timecode(df: DataFrame, rates: DataFrame, key: str) -> Pair:
         }
     )
     error = F.when(~F.col("__shaped"), "InvalidFormat").when(
-        F.col("__h").isNull() | (F.col("__m") >= 60) | (F.col("__s") >= 60), "InvalidComponents"
+        ~F.col("__numeric") | (F.col("__m") >= 60) | (F.col("__s") >= 60), "InvalidComponents"
     )
     parsed = parsed.withColumn("error", error)
     seconds = F.col("__h") * 3600 + F.col("__m") * 60 + F.col("__s")
