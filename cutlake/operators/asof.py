@@ -36,17 +36,12 @@ def asof_neighbours(
         F.struct(F.col(event_time), *[F.col(v) for v in values]).alias("__v"),
     )
     # One row per (key, time), so a cell of the scan is bounded by its width.
-    axis = (
-        wanted.withColumn("__q", F.lit(1))
-        .unionByName(given, allowMissingColumns=True)
-        .groupBy(*keys, "__t")
-        .agg(F.max("__q").alias("__q"), F.min("__v").alias("__v"))
-    )
+    axis = wanted.unionByName(given, allowMissingColumns=True).groupBy(*keys, "__t").agg(F.min("__v").alias("__v"))
     scans = []
     if "prev" in sides:
         scans.append(Scan("prev", "last", F.col("__v"), inclusive=not strict))
     if "next" in sides:
         scans.append(Scan("next", "first", F.col("__v"), inclusive=not strict))
-    found = chunked_scan(axis, keys, "__t", scans, cell).where("__q = 1")
+    found = chunked_scan(axis, keys, "__t", scans, cell)
     found = found.select(*keys, F.col("__t").alias(point_time), *[s.name for s in scans])
     return points.join(found, [*keys, point_time], "left")

@@ -75,16 +75,25 @@ def _combine(scan: Scan) -> Column:
     return F.coalesce(local, carry)
 
 
+def _cell_totals(cells: DataFrame, keys: Sequence[str], totals: Sequence[Column]) -> DataFrame:
+    """One summary row per (key, cell).
+
+    The summary reads every column the rows keep - the hash is never NULL - because
+    only then do both uses of ``cells`` prune to the same columns and share its exchange.
+    """
+    rest = [c for c in cells.columns if c not in (*keys, _CELL)]
+    seen = F.max(F.xxhash64(*rest)).alias("__seen")
+    out = cells.groupBy(*keys, _CELL).agg(*totals, seen)
+    return out.where(F.col("__seen").isNotNull()).drop("__seen")
+
+
 def chunked_scan(
     df: DataFrame, keys: Sequence[str], order: str, scans: Sequence[Scan], cell: int = CELL
 ) -> DataFrame:
     """Add the running columns. Rows must be unique per (keys, order)."""
     keys = list(keys)
-    # Named cells and keys make the exchange identical for both uses, so it runs once.
     cells = df.withColumn(_CELL, grid_floor(order, cell)).repartition(*keys, _CELL)
-    totals = cells.groupBy(*keys, _CELL).agg(
-        *[_cell_total(s, order).alias(f"__t_{s.name}") for s in scans]
-    )
+    totals = _cell_totals(cells, keys, [_cell_total(s, order).alias(f"__t_{s.name}") for s in scans])
     carries = totals.select(
         *keys, _CELL, *[_carry(s, keys).alias(f"__c_{s.name}") for s in scans]
     )
@@ -109,16 +118,18 @@ def ranked(
     before = Window.partitionBy(*keys, _CELL).orderBy(order, "__tie")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     local = cells.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    totals = cells.groupBy(*keys, _CELL).agg(F.sum("__n").alias("__m"))
+    totals = _cell_totals(cells, keys, [F.sum("__n").alias("__m")])
     whole = Window.partitionBy(*keys).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(*keys, _CELL, F.coalesce(F.sum("__m").over(whole), F.lit(0)).alias("__c"))
-    offsets = local.join(carries, [*keys, _CELL]).select(
+    # Left joins: every row finds its partner, and no null filters are inferred that
+    # would make the two uses of one exchange differ.
+    offsets = local.join(carries, [*keys, _CELL], "left").select(
         *keys, order, "__tie", (F.col("__o") + F.col("__c")).alias("__o")
     )
     in_slot = F.row_number().over(Window.partitionBy(*keys, order, "__tie").orderBy(tie))
     return (
         slots.withColumn("__r", in_slot)
-        .join(offsets, [*keys, order, "__tie"])
+        .join(offsets, [*keys, order, "__tie"], "left")
         .select(*df.columns, (F.col("__o") + F.col("__r")).cast("bigint").alias(name))
     )
 
