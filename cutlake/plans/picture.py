@@ -9,15 +9,11 @@ from cutlake.functions import colour as cx
 from cutlake.functions.arith import rounded
 from cutlake.operators import pixels as px
 from cutlake.plans.joining import OTHER, other_render
-from cutlake.plans.registry import REGISTRY, Lib
+from cutlake.plans.registry import NUDGE, REGISTRY, Lib
 
 q = REGISTRY.add
 
 
-# Added before rounding, so that short decimal inputs do not end exactly on a half.
-NUDGE = 1.2345e-10
-
-
 def out(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     cols = cols or ("r", "g", "b", "a")
     keep = [c for c in df.columns if c not in cols]

@@ -11,6 +11,10 @@ from cutlake.plans import derived
 
 Plan = Callable[["Lib"], DataFrame]
 
+# Added before rounding results to nine digits on both sides, so that products of
+# short decimals do not end exactly on a half.
+NUDGE = 1.2345e-10
+
 
 class Lib:
     """The derived tables of one data folder."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cutlake.functions.arith import rounded
 from cutlake.operators import audio
 from cutlake.plans.joining import TRACKS, half_away, tracks
-from cutlake.plans.registry import REGISTRY, Lib
+from cutlake.plans.registry import NUDGE, REGISTRY, Lib
 
 q = REGISTRY.add
 
@@ -66,7 +66,7 @@ _PI4 = repr(math.pi / 4)
 _PAN = f"(least(greatest(least(greatest(pan + track_pan, -1), 1), -1), 1) + 1) * {_PI4}"
 _PC, _PT = f"(least(greatest(pan, -1), 1) + 1) * {_PI4}", f"(least(greatest(track_pan, -1), 1) + 1) * {_PI4}"
 _OUT = (
-    'SELECT job_id, idx, (round(CASE WHEN abs(l) <= 0.8 THEN l ELSE tanh(l) END, 9) + 0.0e0) AS "left", (round(CASE WHEN abs(r) <= 0.8 THEN r ELSE tanh(r) END, 9) + 0.0e0) AS "right" FROM '
+    'SELECT job_id, idx, (round(CASE WHEN abs(l) <= 0.8 THEN l ELSE tanh(l) END + 1.2345e-10, 9) + 0.0e0) AS "left", (round(CASE WHEN abs(r) <= 0.8 THEN r ELSE tanh(r) END + 1.2345e-10, 9) + 0.0e0) AS "right" FROM '
     "(SELECT job_id, idx, coalesce(l, 0) * 0.9e0 AS l, coalesce(r, 0) * 0.9e0 AS r FROM gr LEFT JOIN mx USING (job_id, idx))"
 )
 
@@ -75,7 +75,7 @@ def mix(lib: Lib, law: str) -> DataFrame:
     aud = placements(lib)
     jobs = aud.select("job_id").distinct().selectExpr("job_id", "30 AS pts_in", "2400 AS pts_out")
     out = audio.mix_timeline(jobs, aud, lib.samples, master_volume=0.9, pan_law=law, width=64)
-    return out.select("job_id", "idx", rounded(F.col("left"), 9).alias("left"), rounded(F.col("right"), 9).alias("right"))
+    return out.select("job_id", "idx", rounded(F.col("left") + NUDGE, 9).alias("left"), rounded(F.col("right") + NUDGE, 9).alias("right"))
 
 
 @q("u2_mix_timeline", "samples", _OUT, _mix_sql(f"gain * cos({_PAN})", f"gain * sin({_PAN})"))
@@ -98,9 +98,9 @@ def _(lib):
 
 
 @q("u5_soft_limit", "samples",
-   'SELECT source_id, sample_idx, round(CASE WHEN abs(v) <= 0.8 THEN v ELSE tanh(v) END, 9) AS limited FROM (SELECT *, "left" * 3 AS v FROM samples)')
+   'SELECT source_id, sample_idx, round(CASE WHEN abs(v) <= 0.8 THEN v ELSE tanh(v) END + 1.2345e-10, 9) AS limited FROM (SELECT *, "left" * 3 AS v FROM samples)')
 def _(lib):
-    return lib.samples.select("source_id", "sample_idx", rounded(audio.soft_limit(F.col("left") * 3), 9).alias("limited"))
+    return lib.samples.select("source_id", "sample_idx", rounded(audio.soft_limit(F.col("left") * 3) + NUDGE, 9).alias("limited"))
 
 
 _CHANNELS = "ch AS (SELECT vec_id AS source_id, CAST(i // 8 AS INTEGER) AS channel, CAST(i % 8 AS BIGINT) AS sample_idx, CAST(embedding[i + 1] AS DOUBLE) AS value FROM (SELECT *, unnest(range(64)) AS i FROM embeddings) WHERE i // 8 <= label % 8), lay AS (SELECT vec_id AS source_id, CASE vec_id % 4 WHEN 0 THEN 'Mono' WHEN 1 THEN 'Stereo' WHEN 2 THEN 'Surround5_1' ELSE 'Surround7_1' END AS layout FROM embeddings)"
@@ -113,8 +113,8 @@ def _v(c: int) -> str:
 
 @q("u6_downmix", "",
    f'SELECT source_id, sample_idx, round(CASE any_value(layout) WHEN \'Mono\' THEN {_v(0)} WHEN \'Stereo\' THEN {_v(0)} WHEN \'Surround5_1\' THEN {_v(0)} + {_v(2)} * {_S2} + {_v(4)} * {_S2} + {_v(3)} * 0.5 '
-   f'ELSE {_v(0)} + {_v(2)} * {_S2} + ({_v(4)} + {_v(6)}) * 0.5 + {_v(3)} * 0.5 END, 9) AS "left", round(CASE WHEN any_value(layout) = \'Mono\' OR (any_value(layout) = \'Stereo\' AND max(channel) = 0) THEN {_v(0)} '
-   f'WHEN any_value(layout) = \'Stereo\' THEN {_v(1)} WHEN any_value(layout) = \'Surround5_1\' THEN {_v(1)} + {_v(2)} * {_S2} + {_v(5)} * {_S2} + {_v(3)} * 0.5 ELSE {_v(1)} + {_v(2)} * {_S2} + ({_v(5)} + {_v(7)}) * 0.5 + {_v(3)} * 0.5 END, 9) AS "right" '
+   f'ELSE {_v(0)} + {_v(2)} * {_S2} + ({_v(4)} + {_v(6)}) * 0.5 + {_v(3)} * 0.5 END + 1.2345e-10, 9) AS "left", round(CASE WHEN any_value(layout) = \'Mono\' OR (any_value(layout) = \'Stereo\' AND max(channel) = 0) THEN {_v(0)} '
+   f'WHEN any_value(layout) = \'Stereo\' THEN {_v(1)} WHEN any_value(layout) = \'Surround5_1\' THEN {_v(1)} + {_v(2)} * {_S2} + {_v(5)} * {_S2} + {_v(3)} * 0.5 ELSE {_v(1)} + {_v(2)} * {_S2} + ({_v(5)} + {_v(7)}) * 0.5 + {_v(3)} * 0.5 END + 1.2345e-10, 9) AS "right" '
    "FROM ch JOIN lay USING (source_id) GROUP BY 1, 2", _CHANNELS)
 def _(lib):
     samples = lib.raw("embeddings").selectExpr("vec_id AS source_id", "label", "posexplode(embedding) AS (i, e)").selectExpr(
@@ -125,4 +125,4 @@ def _(lib):
         "CASE vec_id % 4 WHEN 0 THEN 'Mono' WHEN 1 THEN 'Stereo' WHEN 2 THEN 'Surround5_1' ELSE 'Surround7_1' END AS layout",
     )
     out = audio.downmix(samples, layouts)
-    return out.select("source_id", "sample_idx", rounded(F.col("left"), 9).alias("left"), rounded(F.col("right"), 9).alias("right"))
+    return out.select("source_id", "sample_idx", rounded(F.col("left") + NUDGE, 9).alias("left"), rounded(F.col("right") + NUDGE, 9).alias("right"))
