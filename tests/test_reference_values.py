@@ -180,7 +180,11 @@ def test_progress_goes_stale_and_ends(spark):
 def test_debounce_keeps_the_newest(spark):
     monitors.use_state_store(spark)
     s = 1000
-    rows = [[("/a", 0, "v0"), ("/a", 5 * s, "v1")], [("/a", 29 * s, "v2"), ("/a", 31 * s, "v3")], [("/z", 500 * s, "z")], [("/z", 501 * s, "z2")]]
+    # From second 100 on: a stamp at the initial watermark, the epoch, would be late.
+    rows = [
+        [("/a", 100 * s, "v0"), ("/a", 105 * s, "v1")], [("/a", 129 * s, "v2"), ("/a", 131 * s, "v3")],
+        [("/z", 500 * s, "z")], [("/z", 501 * s, "z2")],
+    ]
     stream = _feed(spark, rows, "path string, ts bigint, json string", "df")
     out = _run(spark, monitors.debounced_snapshots(stream, wait_s=30, delay="1 second"), "do")
     assert [(r.path, r.json) for r in sorted(out, key=lambda r: r.version_ms)] == [("/a", "v2"), ("/a", "v3")]
