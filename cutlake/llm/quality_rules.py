@@ -104,7 +104,9 @@ def quality(docs: DataFrame, rules: Iterable[tuple[str, str, float, str]] = RULE
 
 def keep_good(docs: DataFrame, rules: Iterable[tuple[str, str, float, str]] = RULES) -> DataFrame:
     """The rows that pass, with all their columns, whatever these are called."""
-    return _measured(docs).where(~_base_failed() & ~_rejected(rules)).select("row.*")
+    kept = F.when(~_base_failed() & ~_rejected(rules), F.array("row"))
+    # Exploded, not filtered: a filter would move below the projections and repeat their work.
+    return _measured(docs).select(F.explode_outer(kept).alias("row")).where(F.col("row").isNotNull()).select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
