@@ -35,8 +35,8 @@ class WordEncoder:
     """Encodes words between ASCII white space with the library, each different one once.
 
     The tokenizer drops white space and cuts at it, lower-cases character by character, and
-    cuts punctuation off letters, so a word without its last punctuation, in lower case if
-    it is ASCII, decides its ids.
+    cuts punctuation off letters and digits, so a word that ends in one of these once its last
+    punctuation is off, in lower case if it is ASCII, decides its ids.
     """
 
     def __init__(self, data: bytes, memo: int = 700_000):
@@ -55,7 +55,7 @@ class WordEncoder:
         for word in words:
             text = word.decode()
             head = text.rstrip(_TAIL)
-            if not head or "<|" in text:
+            if not head or not head[-1].isalnum() or "<|" in text:
                 head = text
             tail = text[len(head) :]
             cut[word] = (head.lower() if head.isascii() else head, tail)
