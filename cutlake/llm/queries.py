@@ -6,6 +6,7 @@ from cutlake.llm import quality_rules, topk
 from cutlake.llm.byte_bpe import op3_byte_bpe
 from cutlake.llm.common import Plan
 from cutlake.llm.line_dedup import op9_line_dedup
+from cutlake.llm.packing import op2_packing
 from cutlake.llm.quality_classifier import op8_quality_classifier
 from cutlake.llm.quality_rules import op7_quality_rules
 from cutlake.llm.simhash import op4_simhash
@@ -15,8 +16,8 @@ from cutlake.llm.topk import op5_topk
 from cutlake.llm.toxicity import op1_toxicity
 
 _PLANS: tuple[Plan, ...] = (
-    op1_toxicity, op3_byte_bpe, op4_simhash, op5_topk, op6_token_files, op7_quality_rules, op8_quality_classifier,
-    op9_line_dedup, op10_token_counts,
+    op1_toxicity, op2_packing, op3_byte_bpe, op4_simhash, op5_topk, op6_token_files, op7_quality_rules,
+    op8_quality_classifier, op9_line_dedup, op10_token_counts,
 )
 
 

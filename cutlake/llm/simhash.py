@@ -152,6 +152,20 @@ def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     return prints.join(named, prints["fp"] == named["of_fp"]).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, the smallest doc_id, with all its columns.
+
+    Null doc_ids stay only in groups without any other id. Where the row that stays is
+    repeated, one of its repetitions stays.
+    """
+    found = staged(near_duplicates(docs), "components")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    once = left.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_anti")
+    return once.unionByName(left.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
