@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cutlake.llm import logistic
 from cutlake.llm.common import Memo, read, staged, text_groups, text_or_empty
@@ -197,21 +198,20 @@ def score(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None)
 def keep_good(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """The rows whose score is ``least`` or more, with all their columns, whatever these are called."""
     model = learn(docs if train_on is None else train_on, labels)
-    schema = docs.schema
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    rows = docs.select(row.alias("row"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(500_000)
-        for batch in batches:
-            filled = batch.column("text").fill_null("")
-            for part, texts in text_groups([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), filled], ["row", "text"])], "text", 1 << 20):
-                memo.room(0)
-                rows = batch.slice(part.column("row")[0].as_py(), part.num_rows)
-                given = list(zip(texts, *[rows.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True))
-                content = np.array([content_features(text, memo) for text, *_ in given], np.float32)
-                metadata = np.array([metadata_features(*one) for one in given], np.float32)
-                yield rows.filter(pa.array(logistic.sigmoid(model.odds(content.astype(float), metadata.astype(float))) >= least))
-
-    return docs.mapInArrow(judged, schema)
+        for rows, texts in text_groups(batches, "text", 1 << 20):
+            memo.room(0)
+            given = list(zip(texts, *[rows.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True))
+            content = np.array([content_features(text, memo) for text, *_ in given], np.float32)
+            metadata = np.array([metadata_features(*one) for one in given], np.float32)
+            good = logistic.sigmoid(model.odds(content.astype(float), metadata.astype(float))) >= least
+            yield rows.select(["row"]).filter(pa.array(good))
+
+    return rows.mapInArrow(judged, StructType([rows.schema["row"]])).select("row.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
