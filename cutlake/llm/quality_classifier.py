@@ -166,11 +166,15 @@ def learn(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     quality = narrow.select(F.col("doc_id").alias("of_id"), "quality").distinct()
     measured = features(narrow).join(F.broadcast(quality), F.col("doc_id") == F.col("of_id"))
     part = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    rows = measured.select("quality", part.alias("part"), "content", "metadata").collect()
-    y = np.array([row["quality"] for row in rows], float)
-    sides = [np.array([row["content"] for row in rows], float).reshape(-1, CONTENT), np.array([row["metadata"] for row in rows], float).reshape(-1, METADATA)]
+    # Packed arrays: no more rows than the two bounds.
+    rows = measured.select("quality", part.alias("part"), "content", "metadata").toArrow().combine_chunks()
+    y = rows.column("quality").to_numpy().astype(float)
+    sides = [
+        rows.column(name).combine_chunks().flatten().to_numpy().astype(float).reshape(-1, width)
+        for name, width in (("content", CONTENT), ("metadata", METADATA))
+    ]
     given = y >= 0
-    calibrate = np.array([row["part"] for row in rows], bool)[given]
+    calibrate = rows.column("part").to_numpy().astype(bool)[given]
     return co_train([x[given] for x in sides], y[given], calibrate, [x[~given] for x in sides])
 
 
