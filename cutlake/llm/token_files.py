@@ -39,7 +39,7 @@ class WordEncoder:
     punctuation is off, in lower case if it is ASCII, decides its ids.
     """
 
-    def __init__(self, data: bytes, memo: int = 700_000):
+    def __init__(self, data: bytes, words: int = 400_000, parts: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,8 +47,9 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.words: Memo = Memo(memo)
-        self.parts: Memo = Memo(memo)
+        # Words are cheap to put together again; parts cost a call of the library each.
+        self.words: Memo = Memo(words)
+        self.parts: Memo = Memo(parts)
 
     def learn(self, words: set[bytes]) -> None:
         cut = {}
@@ -59,7 +60,11 @@ class WordEncoder:
                 head = text
             tail = text[len(head) :]
             cut[word] = (head.lower() if head.isascii() else head, tail)
-        new = list({part for pair in cut.values() for part in pair if part and part not in self.parts})
+        needed = {part for pair in cut.values() for part in pair if part}
+        new = [part for part in needed if part not in self.parts]
+        if len(new) + len(self.parts) > self.parts.limit:
+            self.parts.clear()
+            new = list(needed)
         for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.parts[part] = np.array(found.ids, "<u4").tobytes()
         self.parts[""] = b""
@@ -71,7 +76,6 @@ class WordEncoder:
         split = [text.encode().split() for text in texts]
         distinct = set().union(*split)
         self.words.room(len(distinct))
-        self.parts.room(len(distinct))
         self.learn(distinct - self.words.keys())
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
@@ -176,7 +180,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, bl
     shards = tokens.groupBy("shard").agg(F.max(F.expr("shard_start + aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select(F.col("shard").alias("of_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    blocks = tokens.join(shards, F.col("shard") == F.col("of_shard")).select(
+    # Sent to all: no more rows than the write above had tasks.
+    blocks = tokens.join(F.broadcast(shards), F.col("shard") == F.col("of_shard")).select(
         "shard", "block", (F.col("offset") + F.col("shard_start")).alias("start"), "doc_ids", "lengths", "ids"
     )
     schema = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, payload binary"
