@@ -24,7 +24,7 @@ def audible_clips(jobs: DataFrame, clips: DataFrame, tracks: DataFrame, sources:
     the job range as ``job_in``/``job_out`` and the parts of gain and pan.
     """
     spans = jobs.select("job_id", "project_id", F.col("pts_in").alias("job_in"), F.col("pts_out").alias("job_out"))
-    heard = clips.join(sources.where("has_audio").select("source_id"), "source_id", "left_semi")
+    heard = clips.join(sources.where("has_audio").select("project_id", "source_id"), ["project_id", "source_id"], "left_semi")
     active = active_tracks(tracks).select("project_id", "track_id", F.lit(True).alias("__on"))
     known = tracks.select("project_id", "track_id", F.col("gain").alias("track_gain"), F.col("pan").alias("track_pan"))
     known = known.join(active, ["project_id", "track_id"], "left").withColumn("__known", F.lit(True))
@@ -82,7 +82,7 @@ def mix_timeline(
     """
     lo, hi = F.greatest("pts_in", "job_in"), F.least("pts_out", "job_out")
     unit = F.greatest(speed_units(F.col("speed")), F.lit(1))
-    placed = audible.where(~F.col("audio_muted")).withColumns(
+    placed = audible.where(~F.coalesce("audio_muted", F.lit(False))).withColumns(
         {
             "__at": _samples(lo - F.col("job_in"), rate),
             "__n": _samples(hi - lo, rate, up=True),

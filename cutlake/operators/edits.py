@@ -66,7 +66,7 @@ def _renumber(good: DataFrame, clips: DataFrame) -> DataFrame:
 
 def insert_clips(clips: DataFrame, new: DataFrame) -> Edited:
     """Add clips; ``new`` has the clip columns but ``clip_id``, plus a unique ``insert_id``."""
-    ok = F.col("pts_in") < F.col("pts_out")
+    ok = F.coalesce(F.col("pts_in") < F.col("pts_out"), F.lit(False))
     added = new_ids(new.where(ok), clips, ["project_id"], "clip_id", "insert_id", "insert_id")
     rejects = new.where(~ok).withColumn("reason", F.lit("InvalidDuration"))
     return Edited(clips.unionByName(added.select(*clips.columns)), None, rejects)
@@ -86,7 +86,7 @@ def insert_overwrite(
     distance, scaled by speed only on request. The first remainder keeps the id,
     the others are new. Cut clips lose their keyframes.
     """
-    ok = F.col("pts_in") < F.col("pts_out")
+    ok = F.coalesce(F.col("pts_in") < F.col("pts_out"), F.lit(False))
     good, rejects = new.where(ok), new.where(~ok).withColumn("reason", F.lit("InvalidDuration"))
     # Existing clips lie under every insert; an insert lies under the later ones.
     under = clips.select(*clips.columns, F.lit(-1).cast("bigint").alias("insert_id")).unionByName(
@@ -359,19 +359,39 @@ def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None
     return Edited(stay.unionByName(fresh.select(*clips.columns)), kept, bad)
 
 
-def ripple_move(clips: DataFrame, edits: DataFrame) -> Edited:
+def ripple_move(clips: DataFrame, edits: DataFrame, keyframes: DataFrame | None = None) -> Edited:
     """Take a clip out, closing its gap, and ripple-insert it at (new_track, new_pts_in).
 
-    At most one move per project and call; the moved clip gets a new id.
+    At most one move per project and call: of several, all are rejected and their clips
+    stay. The moved clip gets a new id and takes its keyframes along.
     """
-    good, bad = _judge(clips, edits, ["pts_in"], [])
-    closed = ripple_remove(clips, good.select(*CLIP))
+    rules = [
+        (F.col("new_track").isNull() | F.col("new_pts_in").isNull(), "MissingTarget"),
+        (F.coalesce(F.col("c_pts_in") >= F.col("c_pts_out"), F.lit(True)), "InvalidDuration"),
+    ]
+    single, bad = _judge(clips, edits, ["pts_in", "pts_out"], rules)
+    per_project = single.groupBy("project_id").agg(F.count(F.lit(1)).alias("__n"))
+    counted = single.join(per_project, "project_id")
+    good = cut(counted.where("__n = 1").drop("__n"))
+    bad = bad.unionByName(counted.where("__n > 1").select(*edits.columns, F.lit("DuplicateEdit").alias("reason")))
+    closed = ripple_remove(clips, good.select(*CLIP), keyframes)
     moved = clips.join(good.select(*CLIP, "new_track", "new_pts_in"), CLIP).withColumns(
         {"track_id": F.col("new_track"), "pts_out": F.col("new_pts_in") + F.col("pts_out") - F.col("pts_in")}
     )
     moved = moved.withColumn("pts_in", F.col("new_pts_in")).drop("clip_id", "new_track", "new_pts_in")
-    out = ripple_insert(cut(closed.clips), moved)
-    return Edited(out.clips, None, bad)
+    rest = cut(closed.clips)
+    out = ripple_insert(rest, moved, closed.keyframes)
+    if keyframes is None:
+        return Edited(out.clips, None, bad)
+    # Nothing else starts where the moved clip does: what was there has been pushed past it.
+    fresh = out.clips.join(rest.select(*CLIP), CLIP, "left_anti").select(
+        "project_id", "track_id", "pts_in", F.col("clip_id").alias("new_id")
+    )
+    names = good.select(
+        *CLIP, F.col("new_track").alias("track_id"), F.col("new_pts_in").alias("pts_in"), (F.col("new_pts_in") - F.col("c_pts_in")).alias("__by")
+    ).join(fresh, ["project_id", "track_id", "pts_in"])
+    own = keyframes.join(names.select(*CLIP, "new_id", "__by"), CLIP).withColumns({"clip_id": F.col("new_id"), "pts": F.col("pts") + F.col("__by")})
+    return Edited(out.clips, out.keyframes.unionByName(own.select(*keyframes.columns)), bad)
 
 
 def slip(clips: DataFrame, edits: DataFrame) -> Edited:
@@ -521,7 +541,7 @@ def check_integrity(
         say(clips.where("source_in < 0"), "SourceInBeforeStart"),
         say(overlapped_clips(clips), "Overlap"),
         say(clips.join(tracks.select(*TRACK), TRACK, "left_anti"), "UnknownTrack"),
-        say(clips.join(sources.select("source_id"), "source_id", "left_anti"), "UnknownSource"),
+        say(clips.join(sources.select("project_id", "source_id"), ["project_id", "source_id"], "left_anti"), "UnknownSource"),
         say(keyframes.select(*CLIP).distinct().join(clips.select(*CLIP), CLIP, "left_anti"), "OrphanKeyframe"),
         say(doubled.select(*CLIP).distinct(), "DuplicateKeyframe"),
     ]

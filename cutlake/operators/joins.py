@@ -167,24 +167,38 @@ def next_boundary(points: DataFrame, clips: DataFrame) -> DataFrame:
     return found.withColumn("boundary", F.col("next.edge")).drop("next")
 
 
+SOURCE = ["project_id", "source_id"]
+
+
 def resolve_proxy(clips: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds ``decode_source_id``: the source's proxy if it has one, else the source."""
-    proxies = sources.where(F.col("proxy_id").isNotNull()).select("source_id", "proxy_id")
-    out = clips.join(proxies, "source_id", "left")
+    """Adds ``decode_source_id``: the source's proxy if it has one, else the source.
+
+    Source ids count within their project; one source has one row.
+    """
+    proxies = sources.where(F.col("proxy_id").isNotNull()).select(*SOURCE, "proxy_id")
+    out = clips.join(proxies, SOURCE, "left")
     return out.withColumn("decode_source_id", F.coalesce("proxy_id", "source_id")).drop("proxy_id")
 
 
 def relink(sources: DataFrame, relinks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New paths by source id, status back to Available; and the ids nobody has."""
-    new = relinks.select("source_id", "new_path")
-    out = sources.join(new, "source_id", "left").withColumns(
+    """New paths by project and source id, status back to Available; and the rejected relinks.
+
+    A relink without a path, of an unknown source, or of a source that another row of
+    ``relinks`` names too, is rejected.
+    """
+    named = relinks.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("__n"))
+    known = sources.select(*SOURCE, F.lit(True).alias("__known")).distinct()
+    reason = F.when(F.col("new_path").isNull(), "MissingPath").when(F.col("__known").isNull(), "NotFound").when(F.col("__n") > 1, "DuplicateEdit")
+    # Null ids meet nothing and are rejected as unknown.
+    judged = relinks.select(*SOURCE, "new_path").join(named, SOURCE, "left").join(known, SOURCE, "left").withColumn("reason", reason)
+    new = judged.where(F.col("reason").isNull()).select(*SOURCE, "new_path")
+    out = sources.join(new, SOURCE, "left").withColumns(
         {
             "path": F.coalesce("new_path", "path"),
             "status": F.when(F.col("new_path").isNotNull(), "Available").otherwise(F.col("status")),
         }
     )
-    rejects = new.join(sources.select("source_id"), "source_id", "left_anti")
-    return out.drop("new_path"), rejects.withColumn("reason", F.lit("NotFound"))
+    return out.drop("new_path"), judged.where(F.col("reason").isNotNull()).select(*SOURCE, "new_path", "reason")
 
 
 def seek_points(targets: DataFrame, packets: DataFrame) -> DataFrame:

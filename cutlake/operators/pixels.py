@@ -651,13 +651,20 @@ def lab_difference(df: DataFrame, out: str = "delta_e") -> DataFrame:
 
 
 def delta_e(a: DataFrame, b: DataFrame) -> DataFrame:
-    """CIEDE2000 between two renders of linear-light pixels: mean, p95, max per picture."""
+    """CIEDE2000 between two renders of linear-light pixels: mean, p95, max per picture.
+
+    The figures are over the pixels both have; ``missing`` counts those only one has. A
+    picture that shares no pixel has NULL figures.
+    """
     at = ["frame_id", "x", "y"]
     la, lb = to_lab(a, ("l1", "a1", "b1")), to_lab(b, ("l2", "a2", "b2"))
-    d = lab_difference(la.join(lb, at))
+    both = F.col("l1").isNotNull() & F.col("l2").isNotNull()
+    met = la.join(lb, at, "full")
+    missing = met.groupBy("frame_id").agg(F.count(F.when(~both, 1)).alias("missing"))
+    d = lab_difference(met.where(both))
     stats = d.groupBy("frame_id").agg(F.avg("delta_e").alias("mean_de"), F.max("delta_e").alias("max_de"))
     tail = order_statistics(d, ["frame_id"], "delta_e", {"p95_de": nearest_rank(0.95)}).drop("n")
-    return stats.join(tail, "frame_id")
+    return missing.join(stats.join(tail, "frame_id"), "frame_id", "left")
 
 
 def render_clips(pixels: DataFrame, state: DataFrame, keys: Sequence[str] = ("frame_id", "clip_id")) -> DataFrame:

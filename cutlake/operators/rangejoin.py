@@ -28,6 +28,7 @@ def _buckets(lo: Column, hi: Column, width: int) -> Column:
 
 
 def _spread(df: DataFrame, lo: Column, hi: Column, width: int, long_width: int | None) -> DataFrame:
+    # Empty spans and those with a missing end touch nothing.
     df = df.where(lo < hi)
     if long_width is None:
         return df.withColumn("__b", F.explode(_buckets(lo, hi, width)))

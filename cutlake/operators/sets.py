@@ -70,8 +70,9 @@ def missing_frames(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def unknown_sources(clips: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source ids used by clips but not registered."""
-    return clips.select("source_id").distinct().join(sources.select("source_id"), "source_id", "left_anti")
+    """Source ids that clips use but their project has not registered."""
+    key = ["project_id", "source_id"]
+    return clips.select(*key).distinct().join(sources.select(*key), key, "left_anti")
 
 
 def diff_projects(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

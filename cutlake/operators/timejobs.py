@@ -73,7 +73,7 @@ def _gcd(a: Column, b: Column) -> Column:
 
 
 def normalise_rates(df: DataFrame, num: str = "num", den: str = "den") -> Pair:
-    """Fractions in lowest terms with the sign on the numerator; zero divisors rejected.
+    """Fractions in lowest terms with the sign on the numerator; zero divisors and missing parts rejected.
 
     The reduction runs once per distinct fraction and is joined back.
     """
@@ -84,19 +84,30 @@ def normalise_rates(df: DataFrame, num: str = "num", den: str = "den") -> Pair:
         num, den, idiv(F.col(num), F.col("__g")).alias("n"), idiv(F.col(den), F.col("__g")).alias("d")
     )
     out = df.join(reduced, [num, den])
-    return out, df.where(F.col(den) == 0).withColumn("error", F.lit("ZeroDenominator"))
+    error = F.when(F.col(num).isNull() | F.col(den).isNull(), "MissingPart").when(F.col(den) == 0, "ZeroDenominator")
+    return out, df.withColumn("error", error).where(F.col("error").isNotNull())
+
+
+_SMALLEST = -(1 << 63)
 
 
 def combine_rates(df: DataFrame) -> DataFrame:
-    """Sum and product of ``a_num/a_den`` and ``b_num/b_den``, in lowest terms."""
+    """Sum and product of ``a_num/a_den`` and ``b_num/b_den``, in lowest terms.
+
+    NULL where a part is missing or zero below the line, or an unreduced product is over 64 bits.
+    """
 
     def reduced(n: Column, d: Column, name: str) -> dict[str, Column]:
+        fits = (n != _SMALLEST) & (d != _SMALLEST) & (d != 0)
+        n, d = F.when(fits, n), F.when(fits, d)
         g = _gcd(F.abs(n), F.abs(d)) * F.when(d < 0, -1).otherwise(1)
         return {f"{name}_num": idiv(n, g), f"{name}_den": idiv(d, g)}
 
     an, ad, bn, bd = (F.col(c) for c in ("a_num", "a_den", "b_num", "b_den"))
+    times, plus = F.try_multiply, F.try_add
+    below = times(ad, bd)
     return df.withColumns(
-        {**reduced(an * bd + bn * ad, ad * bd, "sum"), **reduced(an * bn, ad * bd, "product")}
+        {**reduced(plus(times(an, bd), times(bn, ad)), below, "sum"), **reduced(times(an, bn), below, "product")}
     )
 
 
@@ -179,13 +190,33 @@ def _job_frames() -> Column:
     return tbx.frame_count(F.col("pts_in"), F.col("pts_out"), F.col("fps_num"), F.col("fps_den"))
 
 
+def job_rejects(jobs: DataFrame, threads: bool = False) -> DataFrame:
+    """Jobs that ``frame_grid`` (with ``threads``: ``partition_segments``) makes no rows for, with a reason."""
+    needed = ["pts_in", "pts_out", "fps_num", "fps_den", *(["threads"] if threads else [])]
+    missing = F.lit(False)
+    for name in needed:
+        missing = missing | F.col(name).isNull()
+    reason = (
+        F.when(missing, "MissingField")
+        .when((F.col("fps_num") <= 0) | (F.col("fps_den") <= 0), "InvalidRate")
+        .when(F.col("pts_in") >= F.col("pts_out"), "InvalidDuration")
+    )
+    if threads:
+        reason = reason.when(F.col("threads") <= 0, "NoThreads")
+    return jobs.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def _good_jobs(jobs: DataFrame) -> DataFrame:
+    return jobs.where((F.col("fps_num") > 0) & (F.col("fps_den") > 0) & (F.col("pts_in") < F.col("pts_out")))
+
+
 def frame_grid(jobs: DataFrame) -> DataFrame:
-    """Every output frame of every job with its tick.
+    """Every output frame of every job with its tick; ``job_rejects`` has the jobs without.
 
     Frames are generated in blocks that are spread before they are expanded, so a
     very long job neither builds one huge array nor stays in one task.
     """
-    n = jobs.withColumn("__n", _job_frames()).where(F.col("__n") > 0)
+    n = _good_jobs(jobs).withColumn("__n", _job_frames()).where(F.col("__n") > 0)
     blocks = n.withColumn(
         "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), idiv(F.col("__n") - 1, F.lit(_BLOCK))))
     ).repartition("job_id", "__block")
@@ -198,8 +229,8 @@ def frame_grid(jobs: DataFrame) -> DataFrame:
 
 
 def partition_segments(jobs: DataFrame) -> DataFrame:
-    """Each job's frames in at most ``threads`` contiguous ranges of equal size."""
-    n = jobs.withColumn("__n", _job_frames()).where((F.col("__n") > 0) & (F.col("threads") > 0))
+    """Each job's frames in at most ``threads`` contiguous ranges of equal size; see ``job_rejects``."""
+    n = _good_jobs(jobs).withColumn("__n", _job_frames()).where((F.col("__n") > 0) & (F.col("threads") > 0))
     k = F.least("threads", "__n")
     n = n.withColumn("__per", idiv(F.col("__n") + k - 1, k))
     last = idiv(F.col("__n") - 1, F.col("__per"))

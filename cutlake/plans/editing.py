@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlake.operators import edits
-from cutlake.plans.joining import half_away
+from cutlake.plans.joining import half_away, pool, pool_sql
 from cutlake.plans.registry import REGISTRY, Lib
 
 q = REGISTRY.add
@@ -259,6 +259,22 @@ def _(lib):
     return shown(edits.ripple_move(lib.strip, moves).clips)
 
 
+# Odd projects ask for two moves, and keep both clips; a third asks for an unknown clip.
+_TWO = "project_id % 2 = 1 AND opacity > 0.85"
+
+
+@q("e9_ripple_move_rejects", "strip",
+   "SELECT project_id, clip_id, 'DuplicateEdit' AS reason FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS n FROM two) WHERE n > 1 "
+   "UNION ALL SELECT project_id, -1, 'ClipNotFound' FROM (SELECT DISTINCT project_id FROM two)",
+   f"two AS (SELECT project_id, clip_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY clip_id) AS k FROM strip WHERE {_TWO}) WHERE k <= 2)")
+def _(lib):
+    order = Window.partitionBy("project_id").orderBy("clip_id")
+    two = lib.strip.where(_TWO).select("project_id", "clip_id", F.row_number().over(order).alias("k")).where("k <= 2").drop("k")
+    asked = two.unionByName(two.select("project_id", F.lit(-1).cast("bigint").alias("clip_id")).distinct())
+    moves = asked.selectExpr("*", "CAST(1 AS INT) AS new_track", "1000L AS new_pts_in")
+    return edits.ripple_move(lib.strip, moves).rejects.select("project_id", "clip_id", "reason")
+
+
 # --- slip, slide, roll -------------------------------------------------------
 
 _SLIP = "ed AS (SELECT *, (clip_id % 9 - 4) * 20000 AS delta FROM strip WHERE audio_muted OR opacity > 0.85)"
@@ -363,11 +379,11 @@ _DEFECTS = (
 )
 
 
-@q("e13_check_integrity", "strip strip_keyframes sources",
+@q("e13_check_integrity", "strip strip_keyframes",
    "SELECT project_id, clip_id, 'BadDuration' AS problem FROM bad WHERE pts_in >= pts_out UNION ALL SELECT project_id, clip_id, 'SourceInBeforeStart' FROM bad WHERE source_in < 0 "
    "UNION ALL SELECT project_id, clip_id, 'Overlap' FROM rch WHERE reach > pts_in OR pv = pts_in UNION ALL SELECT project_id, clip_id, 'UnknownTrack' FROM bad WHERE track_id > 4 "
-   "UNION ALL SELECT project_id, clip_id, 'UnknownSource' FROM bad WHERE source_id NOT IN (SELECT source_id FROM sources) UNION ALL SELECT DISTINCT project_id, clip_id, 'OrphanKeyframe' FROM strip_keyframes WHERE clip_id NOT IN (SELECT clip_id FROM bad) "
-   "UNION ALL SELECT DISTINCT project_id, clip_id, 'DuplicateKeyframe' FROM (SELECT project_id, clip_id FROM strip_keyframes GROUP BY project_id, clip_id, param, pts HAVING count(*) > 1)", _DEFECTS)
+   "UNION ALL SELECT project_id, clip_id, 'UnknownSource' FROM bad ANTI JOIN pool USING (project_id, source_id) UNION ALL SELECT DISTINCT project_id, clip_id, 'OrphanKeyframe' FROM strip_keyframes WHERE clip_id NOT IN (SELECT clip_id FROM bad) "
+   "UNION ALL SELECT DISTINCT project_id, clip_id, 'DuplicateKeyframe' FROM (SELECT project_id, clip_id FROM strip_keyframes GROUP BY project_id, clip_id, param, pts HAVING count(*) > 1)", f"{_DEFECTS}, {pool_sql('strip')}")
 def _(lib):
     bad = lib.strip.withColumns(
         {
@@ -377,7 +393,7 @@ def _(lib):
         }
     )
     tracks = lib.strip.select("project_id", "track_id").distinct()
-    return edits.check_integrity(bad, tracks, lib.sources, lib.strip_keyframes)
+    return edits.check_integrity(bad, tracks, pool(lib.strip), lib.strip_keyframes)
 
 
 _KF = "kf AS (SELECT project_id, clip_id, param, pts, max(value) AS value, min(interp) AS interp FROM strip_keyframes GROUP BY 1, 2, 3, 4)"

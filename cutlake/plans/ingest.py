@@ -21,6 +21,8 @@ def project_tables(lib: Lib) -> dict:
         "project_id", "track_id", "track_id AS position", "CASE WHEN track_id = 4 THEN 'Audio' ELSE 'Video' END AS kind",
         "concat('T', track_id) AS name", "track_id = 3 AS mute", "false AS solo", "false AS locked", "1e0 AS gain", "0e0 AS pan",
     )
+    # Project -1 has nothing at all.
+    ids = ids.unionByName(lib.spark.createDataFrame([(-1,)], "project_id bigint"))
     return {
         "projects": ids.selectExpr(
             "project_id", "concat('Project ', project_id) AS name", "1920 AS width", "1080 AS height",
@@ -37,7 +39,7 @@ def project_tables(lib: Lib) -> dict:
 
 def round_trip(lib: Lib) -> dict:
     folder = scratch_dir(lib.spark, "projects")
-    projects.write_projects(project_tables(lib), folder, rows_per_document=300)
+    projects.write_projects(project_tables(lib), folder)
     return projects.read_projects(lib.spark, folder)
 
 
@@ -61,6 +63,12 @@ def _(lib):
     return round_trip(lib)["tracks"].select("project_id", "track_id", "position", "kind", "mute")
 
 
+@q("s2_write_projects_list", "strip",
+   "SELECT project_id, concat('Project ', CAST(project_id AS VARCHAR)) AS name, CAST(1920 AS INTEGER) AS width FROM (SELECT DISTINCT project_id FROM strip UNION ALL SELECT -1)")
+def _(lib):
+    return round_trip(lib)["projects"].select("project_id", "name", "width")
+
+
 @q("s3_read_luts", "",
    "SELECT vec_id, CAST(2 AS BIGINT) AS size, CAST(k % 2 AS INTEGER) AS ri, CAST(k // 2 % 2 AS INTEGER) AS gi, CAST(k // 4 AS INTEGER) AS bi, round((CAST(embedding[3*k+1] AS DOUBLE) + 1) / 3, 5) AS r, "
    "round(CAST(embedding[3*k+2] AS DOUBLE), 5) AS g, round(CAST(embedding[3*k+3] AS DOUBLE), 5) AS b FROM (SELECT *, CAST(unnest(range(8)) AS INTEGER) AS k FROM embeddings)")

@@ -28,7 +28,28 @@ TRACKS = (
 def points(lib: Lib, step: int = STEP) -> DataFrame:
     """Every step-th tick of each project up to its last clip end."""
     ends = lib.clips.groupBy("project_id").agg(F.max("pts_out").alias("m"))
-    return ends.select("project_id", F.explode(F.expr(f"sequence(0L, m, {step}L)")).alias("pts"))
+    block = step * 4096
+    blocks = ends.select("project_id", "m", F.explode(F.expr(f"sequence(0L, m, {block}L)")).alias("__first"))
+    spread = blocks.repartition("project_id", "__first")
+    last = F.least(F.col("__first") + (block - step), F.col("m"))
+    return spread.select("project_id", F.explode(F.sequence("__first", last, F.lit(step).cast("bigint"))).alias("pts"))
+
+
+# Each project's own media: the ids repeat from project to project, what they name does not.
+_POOL = (
+    "project_id", "source_id", "CASE WHEN (source_id + project_id) % 3 = 0 THEN source_id + 1000 * project_id + 1000 END AS proxy_id",
+    "(source_id + project_id) % 4 <> 0 AS has_audio", "concat('/p', project_id, '/', source_id) AS path", "'Offline' AS status",
+)
+_POOLED = "(source_id + project_id) % 5 <> 0"
+
+
+def pool_sql(table: str) -> str:
+    return f"pool AS (SELECT DISTINCT {', '.join(_POOL)} FROM {table} WHERE {_POOLED})"
+
+
+def pool(table: DataFrame) -> DataFrame:
+    """Media of the projects in a clip table."""
+    return table.where(_POOLED).selectExpr(*_POOL).distinct()
 
 
 def tracks(lib: Lib) -> DataFrame:
@@ -234,8 +255,7 @@ def _(lib):
 
 
 _J7_EXTRA = (
-    "pp AS (SELECT project_id, pts FROM (SELECT project_id, unnest(range(0, 300000000, 7200000)) AS pts FROM (SELECT DISTINCT project_id FROM keyframes))), "
-    "ac AS (SELECT DISTINCT p.project_id, p.pts, k.clip_id FROM pp p JOIN (SELECT DISTINCT project_id, clip_id FROM keyframes) k USING (project_id)), "
+    "ac AS (SELECT DISTINCT project_id, clip_id, pts + 4500 AS pts FROM keyframes UNION SELECT DISTINCT project_id, clip_id, 0 FROM keyframes), "
     "jq AS (SELECT a.project_id, a.clip_id, k.param, a.pts FROM ac a JOIN (SELECT DISTINCT project_id, clip_id, param FROM keyframes WHERE param <> 'Volume') k USING (project_id, clip_id)), "
 )
 
@@ -249,8 +269,8 @@ _J7_EXTRA = (
    _J7_EXTRA + _keyframe_value("jq"))
 def _(lib):
     k = lib.keyframes
-    clips = k.select("project_id", "clip_id").distinct()
-    active = clips.withColumn("pts", F.explode(F.expr("sequence(0L, 299999999L, 7200000L)")))
+    # Before the first key of each clip and a little past every key of it.
+    active = k.selectExpr("project_id", "clip_id", "explode(array(pts + 4500, 0L)) AS pts").distinct()
     active = active.withColumn("opacity", F.lit(0.25))
     out = joins.clip_state_at(active, k)
     return out.select(
@@ -260,30 +280,40 @@ def _(lib):
     )
 
 
-@q("j8_resolve_proxy", "clips sources",
-   "SELECT c.clip_id, coalesce(s.proxy_id, c.source_id) AS decode_source_id FROM clips c LEFT JOIN "
-   "(SELECT * FROM sources WHERE range_raw <> 1) s USING (source_id)")
+@q("j8_resolve_proxy", "clips",
+   "SELECT c.project_id, c.clip_id, coalesce(s.proxy_id, c.source_id) AS decode_source_id FROM clips c LEFT JOIN pool s USING (project_id, source_id)",
+   pool_sql("clips"))
 def _(lib):
-    known = lib.sources.where("range_raw <> 1")
-    return joins.resolve_proxy(lib.clips, known).select("clip_id", "decode_source_id")
+    return joins.resolve_proxy(lib.clips, pool(lib.clips)).select("project_id", "clip_id", "decode_source_id")
+
+
+# Every third relink meets a source; sources of even projects with ids from 150 on are named twice.
+_RELINK_COLS = ("project_id", "source_id * 3 AS source_id", "concat('/new', path) AS new_path")
+_RELINK_TWICE = ("project_id", "source_id", "CASE WHEN source_id % 7 > 0 THEN concat('/again', path) END AS new_path")
+_RELINK = (
+    f"{pool_sql('clips')}, rl AS (SELECT {', '.join(_RELINK_COLS)} FROM pool UNION ALL SELECT {', '.join(_RELINK_TWICE)} FROM pool WHERE project_id % 2 = 0 AND source_id >= 150), "
+    "rj AS (SELECT r.*, CASE WHEN new_path IS NULL THEN 'MissingPath' WHEN p.project_id IS NULL THEN 'NotFound' WHEN count(*) OVER (PARTITION BY r.project_id, r.source_id) > 1 THEN 'DuplicateEdit' END AS reason "
+    "FROM rl r LEFT JOIN (SELECT project_id, source_id FROM pool) p USING (project_id, source_id))"
+)
 
 
-_RELINK = "rl AS (SELECT source_id * 3 AS source_id, concat('/new', path) AS new_path FROM sources)"
+def relinks(sources: DataFrame) -> DataFrame:
+    twice = sources.where("project_id % 2 = 0 AND source_id >= 150").selectExpr(*_RELINK_TWICE)
+    return sources.selectExpr(*_RELINK_COLS).unionByName(twice)
 
 
-@q("j9_relink", "sources",
-   "SELECT source_id, coalesce(new_path, path) AS path, CASE WHEN new_path IS NULL THEN status ELSE 'Available' END AS status "
-   "FROM sources LEFT JOIN rl USING (source_id)", _RELINK)
+@q("j9_relink", "clips",
+   "SELECT project_id, source_id, coalesce(new_path, path) AS path, CASE WHEN new_path IS NULL THEN status ELSE 'Available' END AS status "
+   "FROM pool LEFT JOIN (SELECT * FROM rj WHERE reason IS NULL) USING (project_id, source_id)", _RELINK)
 def _(lib):
-    rl = lib.sources.selectExpr("source_id * 3 AS source_id", "concat('/new', path) AS new_path")
-    return joins.relink(lib.sources, rl)[0].select("source_id", "path", "status")
+    sources = pool(lib.clips)
+    return joins.relink(sources, relinks(sources))[0].select("project_id", "source_id", "path", "status")
 
 
-@q("j9_relink_rejects", "sources",
-   "SELECT source_id, new_path, 'NotFound' AS reason FROM rl WHERE source_id NOT IN (SELECT source_id FROM sources)", _RELINK)
+@q("j9_relink_rejects", "clips", "SELECT project_id, source_id, new_path, reason FROM rj WHERE reason IS NOT NULL", _RELINK)
 def _(lib):
-    rl = lib.sources.selectExpr("source_id * 3 AS source_id", "concat('/new', path) AS new_path")
-    return joins.relink(lib.sources, rl)[1]
+    sources = pool(lib.clips)
+    return joins.relink(sources, relinks(sources))[1]
 
 
 @q("j10_seek_points", "packets",

@@ -446,7 +446,7 @@ _DE = (
 
 
 @q("p15_delta_e", "pixels",
-   f"SELECT frame_id, {rnd('avg(e)', 'mean_de', 6)}, {rnd('max(CASE WHEN rn = greatest(ceil(n * 0.95e0), 1) THEN e END)', 'p95_de', 6)}, {rnd('max(e)', 'max_de', 6)} FROM dr GROUP BY 1", _DE)
+   f"SELECT frame_id, {rnd('avg(e)', 'mean_de', 6)}, {rnd('max(CASE WHEN rn = greatest(ceil(n * 0.95e0), 1) THEN e END)', 'p95_de', 6)}, {rnd('max(e)', 'max_de', 6)}, any_value(missing) AS missing FROM dr JOIN (SELECT frame_id, count(*) FILTER (WHERE a < 0.7e0 AND x = 3) AS missing FROM pixels GROUP BY 1) USING (frame_id) GROUP BY 1", _DE)
 def _(lib):
     return out(px.delta_e(lib.pixels, other_render(lib)), "mean_de", "p95_de", "max_de", digits=6)
 

@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from cutlake.functions.arith import rounded
 from cutlake.operators import audio
-from cutlake.plans.joining import TRACKS, half_away, tracks
+from cutlake.plans.joining import TRACKS, half_away, pool, pool_sql, tracks
 from cutlake.plans.registry import NUDGE, REGISTRY, Lib
 
 q = REGISTRY.add
 
 
-@q("u1_audible_clips", "clips jobs sources",
+@q("u1_audible_clips", "clips jobs",
    "SELECT j.job_id, c.clip_id, round(c.volume * coalesce(t.gain, 1), 6) AS gain, round(least(greatest(c.pan + coalesce(t.pan, 0), -1), 1), 6) AS mix_pan FROM (SELECT * REPLACE (pts_in * 16 AS pts_in, pts_out * 16 AS pts_out) FROM jobs) j JOIN clips c ON j.project_id = c.project_id "
    "AND c.pts_out > j.pts_in AND c.pts_in < j.pts_out AND j.pts_in < j.pts_out LEFT JOIN (SELECT t.*, NOT mute AND (NOT s OR solo) AS act FROM trk t JOIN (SELECT project_id, bool_or(solo) AS s FROM trk GROUP BY 1) USING (project_id)) t "
-   "ON t.project_id = c.project_id AND t.track_id = c.track_id WHERE c.source_id IN (SELECT source_id FROM sources WHERE has_audio) AND coalesce(t.act, true)",
-   f"{TRACKS}, trk AS (SELECT * FROM tracks WHERE track_id <> 3)")
+   "ON t.project_id = c.project_id AND t.track_id = c.track_id WHERE EXISTS (SELECT 1 FROM pool m WHERE m.project_id = c.project_id AND m.source_id = c.source_id AND m.has_audio) AND coalesce(t.act, true)",
+   f"{TRACKS}, trk AS (SELECT * FROM tracks WHERE track_id <> 3), {pool_sql('clips')}")
 def _(lib):
     known = tracks(lib).where("track_id <> 3")
     jobs = lib.jobs.selectExpr("job_id", "project_id", "pts_in * 16 AS pts_in", "pts_out * 16 AS pts_out")
-    out = audio.audible_clips(jobs, lib.clips, known, lib.sources)
+    out = audio.audible_clips(jobs, lib.clips, known, pool(lib.clips))
     return out.select("job_id", "clip_id", rounded(F.col("gain")).alias("gain"), rounded(F.col("mix_pan")).alias("mix_pan"))
 
 

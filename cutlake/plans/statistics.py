@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cutlake.functions.arith import rounded
 from cutlake.operators import joins, ranking, sets, stats, timejobs, windows
-from cutlake.plans.joining import ACTIVE, POINTS, other_render, points
+from cutlake.plans.joining import ACTIVE, POINTS, other_render, points, pool, pool_sql
 from cutlake.plans.registry import REGISTRY, Lib
 
 q = REGISTRY.add
@@ -453,10 +453,10 @@ def _(lib):
     return sets.missing_frames(lib.pixels.select(*at), other_render(lib), at)
 
 
-@q("o4_unknown_sources", "strip sources",
-   "SELECT DISTINCT source_id FROM strip WHERE source_id NOT IN (SELECT source_id FROM sources WHERE status <> 'Missing')")
+@q("o4_unknown_sources", "strip",
+   "SELECT DISTINCT project_id, source_id FROM strip ANTI JOIN pool USING (project_id, source_id)", pool_sql("strip"))
 def _(lib):
-    return sets.unknown_sources(lib.strip, lib.sources.where("status <> 'Missing'"))
+    return sets.unknown_sources(lib.strip, pool(lib.strip))
 
 
 @q("o5_diff_projects", "strip",

@@ -106,6 +106,16 @@ def _(lib):
     return timejobs.normalise_rates(fr)[0].select("id", "line", "num", "den", "n", "d")
 
 
+@q("d5_normalise_rates_rejects", "",
+   "SELECT id, line, num, den, CASE WHEN den IS NULL THEN 'MissingPart' ELSE 'ZeroDenominator' END AS error FROM "
+   "(SELECT id, line, num, CASE WHEN line < 5 THEN den END AS den FROM fr) WHERE den IS NULL OR den = 0", _FRACTIONS)
+def _(lib):
+    fr = lib.raw("lineitem").selectExpr(
+        "l_orderkey AS id", "l_linenumber AS line", "l_partkey * 12 AS num", "CASE WHEN l_linenumber < 5 THEN (l_suppkey - 50) * 8 END AS den"
+    )
+    return timejobs.normalise_rates(fr)[1].select("id", "line", "num", "den", "error")
+
+
 @q("d5_combine_rates", "",
    "SELECT id, sn // gcd(sn, sd) AS sum_num, sd // gcd(sn, sd) AS sum_den, pn // gcd(pn, sd) AS product_num, sd // gcd(pn, sd) AS product_den FROM "
    "(SELECT o_orderkey AS id, (o_custkey + 1) * 1001 + 30000 * (o_orderkey % 40 + 1) AS sn, (o_orderkey % 40 + 1) * 1001 AS sd, (o_custkey + 1) * 30000 AS pn FROM orders)")
@@ -167,6 +177,14 @@ def _(lib):
     return timejobs.frame_grid(valid_jobs(lib)).select("job_id", "frame", "pts")
 
 
+@q("d9_job_rejects", "jobs",
+   "SELECT job_id, CASE WHEN job_id % 5 = 0 THEN 'MissingField' WHEN fps_num <= 0 OR fps_den <= 0 THEN 'InvalidRate' WHEN pts_in >= pts_out THEN 'InvalidDuration' ELSE 'NoThreads' END AS reason "
+   "FROM jobs WHERE job_id % 5 = 0 OR fps_num <= 0 OR fps_den <= 0 OR pts_in >= pts_out OR threads <= 0")
+def _(lib):
+    jobs = lib.jobs.withColumn("pts_out", F.expr("CASE WHEN job_id % 5 > 0 THEN pts_out END"))
+    return timejobs.job_rejects(jobs, threads=True).select("job_id", "reason")
+
+
 @q("d9_partition_segments", "jobs",
    f"SELECT job_id, segment, fs AS frame_start, fe AS frame_end, {_AT.format(f='fs')} AS pts_start, CASE WHEN fe < n THEN {_AT.format(f='fe')} ELSE pts_out END AS pts_end FROM "
    "(SELECT *, segment * per AS fs, least((segment + 1) * per, n) AS fe FROM (SELECT *, unnest(range(least(threads, n))) AS segment FROM "

@@ -41,8 +41,8 @@ def read_luts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         )
 
     def check(s: Column) -> Column:
-        k, data, rest = kind(s), _words(s), _words(F.substring(s, 11, 1 << 20))
-        size_ok = F.trim(F.substring(s, 12, 1 << 20)).rlike(r"^\+?[0-9]{1,9}$")
+        k, data, rest = kind(s), _words(s), _words(s.substr(F.lit(11), F.length(s)))
+        size_ok = F.trim(s.substr(F.lit(12), F.length(s))).rlike(r"^\+?[0-9]{1,9}$")
         triple_ok = _numeric(rest) & (F.size(rest) >= 3)
         return (
             F.when((k == "size") & ~size_ok, "InvalidHeader")
@@ -52,7 +52,8 @@ def read_luts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def last(name: str, at: int) -> Column:
         found = F.filter("lines", lambda s: kind(s) == name)
-        return F.substring(F.try_element_at(found, F.lit(-1)), at, 1 << 20)
+        line = F.try_element_at(found, F.lit(-1))
+        return line.substr(F.lit(at), F.length(line))
 
     staged = files.withColumns(
         {

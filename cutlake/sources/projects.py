@@ -7,9 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.functions.arith import idiv
-from cutlake.operators.scan import ranked
-
 FORMAT_VERSION = 1
 
 # Clip arrays of a document -> (column, type, default when absent).
@@ -44,7 +41,7 @@ _TRACK = "struct<id:int,kind:string,name:string,mute:boolean,solo:boolean,locked
 def _schema() -> str:
     arrays = ",".join(f"{name}:array<{typ}>" for name, (_, typ, _) in CLIP_ARRAYS.items())
     return (
-        "format_version int, project_id bigint, part int, name string,"
+        "format_version int, project_id bigint, name string,"
         f"settings struct<width:int,height:int,frame_rate:{_RATIO},timebase:{_RATIO}>,"
         f"tracks struct<tracks:array<{_TRACK}>>,"
         f"clips struct<{arrays},keyframes:struct<tracks:{_KEYS}>>,"
@@ -62,7 +59,7 @@ def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables ``projects, tracks, clips, keyframes, sources, rejects`` of a document folder.
 
     Unreadable documents and newer format versions are rejected. A document without
-    ``project_id`` is keyed by a hash of its path. Large projects may come in parts.
+    ``project_id`` is keyed by a hash of its path.
     """
     raw = (
         spark.read.schema(_schema())
@@ -77,15 +74,14 @@ def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = raw.withColumn("reason", reason)
     rejects = raw.where(F.col("reason").isNotNull()).select("path", "reason")
     docs = raw.where(F.col("reason").isNull()).withColumns(
-        {"project_id": F.coalesce("project_id", F.xxhash64("path")), "part": F.coalesce("part", F.lit(0))}
+        {"project_id": F.coalesce("project_id", F.xxhash64("path"))}
     )
-    first = docs.where(F.col("part") == 0)
 
-    projects = first.select(
+    projects = docs.select(
         "project_id", "name", "path", F.col("settings.width").alias("width"), F.col("settings.height").alias("height"),
         F.col("settings.frame_rate").alias("frame_rate"), F.col("settings.timebase").alias("timebase"),
     )
-    tracks = first.select("project_id", F.posexplode("tracks.tracks").alias("position", "t")).select(
+    tracks = docs.select("project_id", F.posexplode("tracks.tracks").alias("position", "t")).select(
         "project_id", F.col("t.id").alias("track_id"), "position", _variant(F.col("t.kind")).alias("kind"),
         *[F.col(f"t.{c}").alias(c) for c in ("name", "mute", "solo", "locked")],
         F.coalesce("t.gain", F.lit(1.0)).alias("gain"), F.coalesce("t.pan", F.lit(0.0)).alias("pan"),
@@ -108,7 +104,7 @@ def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     keyframes = docs.select("project_id", F.explode("clips.keyframes.tracks").alias("t")).select(
         "project_id", F.col("t.clip_id").alias("clip_id"), F.col("t.param").alias("param"), F.inline("t.keys")
     )
-    src = first.select(
+    src = docs.select(
         "project_id",
         F.inline(F.arrays_zip(F.col("sources.ids").alias("source_id"), F.col("sources.paths").alias("path"), F.col("sources.proxy_ids").alias("proxy_id"))),
     ).toDF("project_id", "source_id", "path", "proxy_id")
@@ -121,37 +117,27 @@ def _default(value: Column, default: object) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def write_projects(tables: Mapping[str, DataFrame], path: str, rows_per_document: int = 200_000) -> None:
-    """Project documents, one file each, from the tables ``read_projects`` gives.
+def write_projects(tables: Mapping[str, DataFrame], path: str) -> None:
+    """One document per row of ``projects``, from the tables ``read_projects`` gives.
 
-    A project with more clips or keys than ``rows_per_document`` is written in
-    several parts, so no task ever holds more than that many rows of one project.
+    A document is one JSON value, so a project's rows meet in one task here and nowhere
+    else; projects without clips, keys, tracks or sources have empty lists.
     """
     clips = tables["clips"]
-    per = F.lit(rows_per_document).cast("bigint")
-
-    def in_parts(df: DataFrame, order: str, tie: str) -> DataFrame:
-        numbered = ranked(df, ["project_id"], order, tie, "__nth")
-        return numbered.withColumn("part", idiv(F.col("__nth") - 1, per).cast("int")).drop("__nth")
-
-    rows = in_parts(clips, "pts_in", "clip_id")
     order = ["pts_in", "clip_id"]
     present = [(n, c) for n, (c, _, _) in CLIP_ARRAYS.items() if c in clips.columns]
     fields = F.struct(*order, *[c for _, c in present if c not in order])
-    clip_docs = rows.groupBy("project_id", "part").agg(F.array_sort(F.collect_list(fields)).alias("c"))
+    clip_docs = clips.groupBy("project_id").agg(F.array_sort(F.collect_list(fields)).alias("c"))
 
-    docs = clip_docs
     if "keyframes" in tables:
-        keys = tables["keyframes"].withColumn("__tie", F.xxhash64("clip_id", "param", "pts"))
-        keys = in_parts(keys, "pts", "__tie").drop("__tie")
         key = F.struct("pts", "value", "interp")
-        tracks = keys.groupBy("project_id", "part", "clip_id", "param").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-        key_docs = tracks.groupBy("project_id", "part").agg(
+        tracks = tables["keyframes"].groupBy("project_id", "clip_id", "param").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+        key_docs = tracks.groupBy("project_id").agg(
             F.array_sort(F.collect_list(F.struct("clip_id", "param", "keys"))).alias("k")
         )
-        docs = docs.join(key_docs, ["project_id", "part"], "full")
+        docs = clip_docs.join(key_docs, "project_id", "full")
     else:
-        docs = docs.withColumn("k", F.lit(None).cast(_KEYS))
+        docs = clip_docs.withColumn("k", F.lit(None).cast(_KEYS))
 
     head = tables["projects"].select("project_id", "name", F.struct("width", "height", "frame_rate", "timebase").alias("settings"))
     # Tracks are at most 255 a project; the media pool is a library, not the edit.
@@ -160,7 +146,7 @@ def write_projects(tables: Mapping[str, DataFrame], path: str, rows_per_document
     sources = tables["sources"].groupBy("project_id").agg(
         F.array_sort(F.collect_list(F.struct("source_id", "path", "proxy_id"))).alias("s")
     )
-    full = docs.join(head, "project_id", "left").join(tracks, "project_id", "left").join(sources, "project_id", "left")
+    full = head.join(docs, "project_id", "left").join(tracks, "project_id", "left").join(sources, "project_id", "left")
 
     def column(array: str, field: str) -> Column:
         return F.coalesce(F.transform(array, lambda r: r[field]), F.array())
@@ -169,10 +155,9 @@ def write_projects(tables: Mapping[str, DataFrame], path: str, rows_per_document
         F.struct(
             F.lit(FORMAT_VERSION).alias("format_version"),
             "project_id",
-            "part",
             "name",
             "settings",
-            F.struct(F.transform("t", lambda r: r.dropFields("position")).alias("tracks")).alias("tracks"),
+            F.struct(F.coalesce(F.transform("t", lambda r: r.dropFields("position")), F.array()).alias("tracks")).alias("tracks"),
             F.struct(
                 *[column("c", c).alias(n) for n, c in present],
                 F.struct(F.coalesce("k", F.array()).alias("tracks")).alias("keyframes"),

@@ -205,11 +205,13 @@ class _Debounce(StatefulProcessor):
 def debounced_snapshots(stream: DataFrame, wait_s: int = 30, delay: str = "10 seconds") -> DataFrame:
     """The newest version of each path once it has been dirty for ``wait_s``.
 
-    ``stream(path, ts, json)``; feeds the newest-wins snapshot sink.
+    ``stream(path, ts, json)``; the result (path, version_ts, json) feeds the newest-wins
+    snapshot sink.
     """
-    return _millis(stream, delay).groupBy("path").transformWithStateInPandas(
+    settled = _millis(stream, delay).groupBy("path").transformWithStateInPandas(
         _Debounce(wait_s * 1000), "path string, version_ms bigint, json string", "Append", "EventTime"
     )
+    return settled.select("path", F.timestamp_millis("version_ms").alias("version_ts"), "json")
 
 
 def pair_av(video: DataFrame, audio: DataFrame, bound: str, delay: str = "30 seconds") -> DataFrame:

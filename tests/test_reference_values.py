@@ -187,7 +187,7 @@ def test_debounce_keeps_the_newest(spark):
     ]
     stream = _feed(spark, rows, "path string, ts bigint, json string", "df")
     out = _run(spark, monitors.debounced_snapshots(stream, wait_s=30, delay="1 second"), "do")
-    assert [(r.path, r.json) for r in sorted(out, key=lambda r: r.version_ms)] == [("/a", "v2"), ("/a", "v3")]
+    assert [(r.path, r.json) for r in sorted(out, key=lambda r: r.version_ts)] == [("/a", "v2"), ("/a", "v3")]
 
 
 def test_dts_repair_carries_over_batches(spark):
