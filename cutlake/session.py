@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +22,37 @@ _RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive skew handling the joins count on; pin UTC."""
+    """Switch on the adaptive skew handling the joins count on; pin UTC; ship the package.
+
+    The settings hold for the whole given session.
+    """
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per application.
+
+    Workers then find it from whatever folder they start. A package that already comes
+    from an archive has been sent by whoever started the application.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the cluster's shared scratch location.
 

@@ -7,10 +7,12 @@ re-running the batch operator of the same name corrects for them.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from cutlake.functions.arith import idiv
 from cutlake.functions.timebase import ticks_to_ns
 from cutlake.operators.timejobs import classify_presentation
 
+# The driver starts state processors in a process that shipped files don't reach: send them whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def use_state_store(spark: SparkSession) -> None:
     """State kept in RocksDB, which the processors with timers need."""

@@ -154,3 +154,23 @@ def test_split_is_speed_scaled_and_key_at_the_cut_is_in_both(spark):
     rows = sorted(tuple(r) for r in out.clips.collect())
     assert rows == [(0, 0, 0, 1, 0, 40, 7, 5, 0, 2.0), (0, 1, 0, 1, 40, 100, 87, 0, 6, 2.0)]
     assert sorted((r.clip_id, r.pts) for r in out.keyframes.collect()) == [(0, 0), (0, 40), (1, 40), (1, 90)]
+
+
+def test_ripple_moves_lose_no_clip(spark):
+    """Two moves in one project are both rejected; one takes its keyframes along."""
+    rows = [(p, 10 * p + i, 0, 0, 1000 * i, 1000 * i + 900) for p in (1, 2) for i in range(4)]
+    names = ["project_id", "clip_id", "track_id", "source_id", "pts_in", "pts_out"]
+    clips = spark.createDataFrame(rows, names).selectExpr(
+        "*", "0L AS source_in", "'Video' AS kind", "0 AS layer_order", "0L AS fade_in_pts", "0L AS fade_out_pts", "1e0 AS speed"
+    )
+    keys = spark.createDataFrame([(2, 20, "Opacity", 100, 0.5, "Linear"), (2, 23, "Opacity", 3100, 0.7, "Linear")], "project_id long, clip_id long, param string, pts long, value double, interp string")
+    moves = spark.createDataFrame(
+        [(1, 10, 1, 500), (1, 11, 1, 700), (2, 20, 1, 5000), (2, 99, 1, 0), (2, 21, None, 0)], "project_id long, clip_id long, new_track long, new_pts_in long"
+    )
+    done = edits.ripple_move(clips, moves, keys)
+    after = {(r.project_id, r.clip_id): (r.track_id, r.pts_in, r.pts_out) for r in done.clips.collect()}
+    assert {r.reason for r in done.rejects.where("project_id = 1").collect()} == {"DuplicateEdit"}
+    assert sorted((r.clip_id, r.reason) for r in done.rejects.where("project_id = 2").collect()) == [(21, "MissingTarget"), (99, "ClipNotFound")]
+    assert len(after) == 8 and [v for k, v in sorted(after.items()) if k[0] == 1] == [(0, 1000 * i, 1000 * i + 900) for i in range(4)]
+    assert after[2, 24] == (1, 5000, 5900) and after[2, 21] == (0, 100, 1000)
+    assert sorted((r.clip_id, r.pts) for r in done.keyframes.collect()) == [(23, 2200), (24, 5100)]
