@@ -32,13 +32,27 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return table.select(*columns) if columns else table
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write ``df`` as Parquet; its shuffle files go once the files stand, as nobody runs it again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_DROP_SHUFFLES, "false")
+    conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(_DROP_SHUFFLES, before)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and go on from the files.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     path = scratch_dir(df.sparkSession, f"{purpose}-{uuid.uuid4().hex[:8]}")
-    df.write.option("compression", "zstd").parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

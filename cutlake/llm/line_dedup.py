@@ -2,10 +2,10 @@
 
 A line here is a physical line or one of its clauses: text up to a line feed, or up to a stop,
 comma or the like and the space behind it. Lines are hashed, a rolling hash (cyclic
-polynomial) runs over two line hashes, and a chunk ends where it has a local minimum. That
-depends on the lines around alone, so equal passages are cut alike wherever they stand, and
-no inner chunk has a single line. Chunks of two or more lines that occur again anywhere are
-looked up, their bytes compared with the first occurrence, and the match is carried on, line
+polynomial) runs over two line hashes, and a chunk ends where it has a local minimum, or at
+the end of a physical line of two clauses or more. That depends on the lines around alone,
+so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
+that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
 by line, into the chunks before and after. Matches of ``MIN_WORDS`` words or more are removed
 from all but the first place.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cutlake.llm.common import read, staged
 
 MIN_WORDS = 20
+MIN_CHARS = 32
 # Fixed value: a line ends behind these.
 _LINE_END = r"(?<=\n)|(?<=[.,;:!?] )"
 
@@ -35,13 +36,17 @@ def _chunked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``lines`` and ``ends``, the number of lines up to the end of each chunk."""
     step = docs.select("*", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
     step = step.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    roll = F.transform("hashes", lambda h, i: h.bitwiseXOR(_rotated(F.coalesce(F.get("hashes", i - 1), F.lit(0)), 1)))
+    feed = lambda i: F.coalesce(F.get("lines", i).endswith("\n"), F.lit(True))
+    # A physical line of several clauses is rolled over and cut by itself, its first clause never alone.
+    opens = lambda i: feed(i - 1) & ~feed(i)
+    before = lambda i: F.when(opens(i), 0).otherwise(F.coalesce(F.get("hashes", i - 1), F.lit(0)))
+    roll = F.transform("hashes", lambda h, i: h.bitwiseXOR(_rotated(before(i).cast("long"), 1)))
     step = step.select("*", roll.alias("roll")).drop("hashes")
-    minimum = lambda i: (i == F.size("roll")) | F.coalesce(
-        (F.get("roll", i - 1) < F.get("roll", i - 2)) & (F.get("roll", i - 1) < F.get("roll", i)), F.lit(False)
-    )
+    lowest = lambda i: ~opens(i) & (F.get("roll", i) < F.get("roll", i - 1)) & (F.get("roll", i) < F.get("roll", i + 1))
+    # Whether a chunk ends with line i - 1, counted by its end i.
+    cut = lambda i: (i == F.size("roll")) | (feed(i - 1) & ~feed(i - 2)) | F.coalesce(lowest(i - 1), F.lit(False))
     n = F.size("roll")
-    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), minimum)).otherwise(F.array().cast("array<int>"))
+    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<int>"))
     return step.select("*", ends.alias("ends")).drop("roll")
 
 
@@ -69,11 +74,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     chunked = _chunked(marked)
     ks = F.sequence(F.lit(0), F.size("ends") - 1)
-    spans = F.transform(ks, lambda k: F.struct(k.alias("chunk"), F.xxhash64(_slice(k)).alias("hash"), (_span(k)[1] - _span(k)[0]).alias("n")))
+    spans = F.transform(ks, lambda k: F.struct(k.alias("chunk"), F.xxhash64(_slice(k)).alias("hash"), (_span(k)[1] - _span(k)[0]).alias("n"), F.length(F.array_join(_slice(k), "")).alias("chars")))
     # explode_outer: no filter on the arrays is inferred, which would be worked out a second time below.
     spans = F.when(F.size("ends") > 0, spans)
     index = chunked.select("doc_id", "mark", F.explode_outer(spans).alias("x"))
-    index = index.where("x.n > 1").select("x.hash", F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"))
+    index = index.where((F.col("x.n") > 1) & (F.col("x.chars") >= MIN_CHARS)).select("x.hash", F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"))
     index = staged(index, "chunk-index")
     again = index.groupBy("hash").agg(F.min("place").alias("origin"), F.max("place").alias("last")).where("origin <> last")
     again = staged(again.select(F.col("hash").alias("of_hash"), "origin"), "repeated-chunks")
@@ -83,14 +88,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wanted = wanted.groupBy("place.doc_id", "place.mark").agg(F.collect_set("place.chunk").alias("chunks")).select(
         F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "chunks"
     )
-    held = marked.distinct().join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    held = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     cut = _chunked(held.select("doc_id", "mark", "text", "chunks")).select("doc_id", "mark", "lines", "ends", F.explode_outer("chunks").alias("k"))
     k = F.col("k")
     cut = staged(
         cut.select(
             F.struct("doc_id", "mark", k.alias("chunk")).alias("place"), _span(k)[0].alias("first"), _span(k)[1].alias("end"),
             _slice(k).alias("body"), F.reverse(_slice(k - 1)).alias("before"), _slice(k + 1).alias("after"),
-        ),
+        ).dropDuplicates(["place"]),
         "chunk-lines",
     )
     mine = cut.select([F.col(c).alias(f"my_{c}") for c in cut.columns])
