@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlake.llm import rans
-from cutlake.llm.common import Memo, per_worker, read, text_groups, text_or_empty, tokenizer_file
+from cutlake.llm.common import Memo, per_worker, read, text_groups, text_or_empty, tokenizer_file, write_once
 from cutlake.session import scratch_dir
 
 # Punctuation that the tokenizer always cuts off the word before it, and that is in no special token.
@@ -164,9 +164,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, bl
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = texts.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    ordered.mapInArrow(lambda batches: _tokenize(batches, data, end_id, block_ids), _TOKENS).write.option(
-        "compression", "zstd"
-    ).parquet(f"{folder}/tokens")
+    write_once(ordered.mapInArrow(lambda batches: _tokenize(batches, data, end_id, block_ids), _TOKENS), f"{folder}/tokens")
     tokens = spark.read.schema(_TOKENS).parquet(f"{folder}/tokens")
     # One row per id of the vocabulary at most.
     rows = tokens.select("ids").mapInArrow(lambda batches: _count(batches, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -185,7 +183,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, bl
         "shard", "block", (F.col("offset") + F.col("shard_start")).alias("start"), "doc_ids", "lengths", "ids"
     )
     schema = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, payload binary"
-    blocks.mapInArrow(lambda batches: _encode(batches, sent), schema).write.option("compression", "none").parquet(f"{folder}/blocks")
+    write_once(blocks.mapInArrow(lambda batches: _encode(batches, sent), schema), f"{folder}/blocks", "none")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
