@@ -41,7 +41,7 @@ class TreeCodec:
     text's more); a full memory is emptied before the next text.
     """
 
-    def __init__(self, ranks_file: bytes, pattern: str, memo: int = 1_000_000):
+    def __init__(self, ranks_file: bytes, pattern: str, memo: int = 600_000):
         import regex
 
         lines = (line.split() for line in ranks_file.splitlines() if line)
