@@ -10,6 +10,7 @@ logistic regression.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlake.llm import logistic
-from cutlake.llm.common import Memo, read, staged, text_groups, text_or_empty
+from cutlake.llm.common import Memo, per_worker, read, staged, text_groups, text_or_empty
 
 TRAINING_ROWS = 20_000
 LEXICON_TERMS = 4_096
@@ -41,47 +42,82 @@ def edits_for(length: int) -> int:
     return 0 if length < 5 else 1 if length < 12 else 2
 
 
+def _trie(terms: dict[str, float]) -> tuple[dict, dict[str, dict]]:
+    """A trie of dictionaries, in which the key "" holds a term's weight, and its nodes by their path."""
+    root: dict = {}
+    nodes = {"": root}
+    for term, weight in terms.items():
+        node = root
+        for i, char in enumerate(term):
+            node = nodes[term[: i + 1]] = node.setdefault(char, {})
+        node[""] = weight
+    return root, nodes
+
+
+def _walk(node: dict, depth: int, word: str, most: int) -> tuple[int, float] | None:
+    """Fewest edits, and the highest weight with these, from ``word`` to a term below ``node``.
+
+    The path to the node is the first ``depth`` characters of the word. Bit i of vector j
+    says: the path so far is within j edits of the first i characters.
+    """
+    places: dict[str, int] = {}
+    for i, char in enumerate(word):
+        places[char] = places.get(char, 0) | 2 << i
+    full, every = 1 << len(word), (2 << len(word)) - 1
+    near = [((2 << (depth + j)) - (1 << max(0, depth - j))) & every for j in range(most + 1)]
+    best: tuple[int, float] | None = None
+    stack = [(node, near)]
+    while stack:
+        node, state = stack.pop()
+        for char, below in node.items():
+            if char == "":
+                for edits, vector in enumerate(state):
+                    if vector & full:
+                        if best is None or (edits, -below) < (best[0], -best[1]):
+                            best = (edits, below)
+                        break
+                continue
+            same = places.get(char, 0)
+            new = [state[0] << 1 & same]
+            for j in range(1, most + 1):
+                before = state[j - 1]
+                new.append((state[j] << 1 & same | before | (before | new[-1]) << 1) & every)
+            if new[-1]:
+                stack.append((below, new))
+    return best
+
+
 class Lexicon:
-    """Terms with weights, as a trie of dictionaries; the key "" holds a term's weight."""
+    """Terms with weights, as one trie of the terms and one of the terms read backwards.
+
+    A word is cut into one part more than it may have edits, and one of the parts stands
+    unchanged in any term within reach: at its front, at its end (the front backwards) or
+    inside. So a walk starts below the node of the unchanged front, in either trie; only if a
+    middle part occurs inside some term does it start at the root.
+    """
 
     def __init__(self, terms: dict[str, float]):
-        self.root: dict = {}
-        for term, weight in terms.items():
-            node = self.root
-            for char in term:
-                node = node.setdefault(char, {})
-            node[""] = weight
+        self.terms = terms
+        self.root, self.fronts = _trie(terms)
+        self.ends = _trie({term[::-1]: weight for term, weight in terms.items()})[1]
+        self.insides = {term[i:j] for term in terms for i in range(len(term)) for j in range(i + 4, len(term) + 1)}
 
     def closest(self, word: str) -> tuple[int, float] | None:
-        """Edits and weight of the nearest term within ``edits_for(len(word))``, the heaviest of these.
-
-        Bit i of vector j says: the path so far matches the first i characters with j edits.
-        """
-        most = edits_for(len(word))
-        places: dict[str, int] = {}
-        for i, char in enumerate(word):
-            places[char] = places.get(char, 0) | 2 << i
-        full, every = 1 << len(word), (2 << len(word)) - 1
-        best: tuple[int, float] | None = None
-        stack = [(self.root, [(2 << j) - 1 & every for j in range(most + 1)])]
-        while stack:
-            node, state = stack.pop()
-            for char, below in node.items():
-                if char == "":
-                    for edits, vector in enumerate(state):
-                        if vector & full:
-                            if best is None or (edits, -below) < (best[0], -best[1]):
-                                best = (edits, below)
-                            break
-                    continue
-                same = places.get(char, 0)
-                new = [state[0] << 1 & same]
-                for j in range(1, most + 1):
-                    before = state[j - 1]
-                    new.append((state[j] << 1 & same | before | (before | new[-1]) << 1) & every)
-                if new[-1]:
-                    stack.append((below, new))
-        return best
+        """Edits and weight of the nearest term within ``edits_for(len(word))``, the heaviest of these."""
+        n = len(word)
+        most = edits_for(n)
+        if most == 0:
+            return (0, self.terms[word]) if word in self.terms else None
+        part = n // (most + 1)
+        if most == 2 and word[part : 2 * part] in self.insides:
+            return _walk(self.root, 0, word, most)
+        found = []
+        if (node := self.fronts.get(word[:part])) is not None:
+            found.append(_walk(node, part, word, most))
+        back = word[::-1]
+        if (node := self.ends.get(back[: n - most * part])) is not None:
+            found.append(_walk(node, n - most * part, back, most))
+        return min((x for x in found if x is not None), key=lambda x: (x[0], -x[1]), default=None)
 
 
 def _features(text: str, lexicon: Lexicon, memo: Memo) -> list[float]:
@@ -126,7 +162,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch], lexicon: Broadcast, keep: str) -> Iterator[pa.RecordBatch]:
-    built, memo = Lexicon(lexicon.value), Memo(600_000)
+    build = lambda data: (Lexicon(json.loads(data)), Memo(600_000))
+    built, memo = per_worker("toxicity", lexicon.value, build)
     for batch, texts in text_groups(batches, "text", 1 << 20):
         memo.room(0)
         rows = [_features(text, built, memo) for text in texts]
@@ -172,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Data
     """
     spark = docs.sparkSession
     sample = staged(training_rows(docs, labels, "toxic", rows).repartition(32, "doc_id"), "toxicity-sample")
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(sample))
+    lexicon = spark.sparkContext.broadcast(json.dumps(learn_lexicon(sample)).encode())
     measured = sample.select("toxic", "text").mapInArrow(
         lambda b: _measure(b, lexicon, "toxic"), "toxic int, features array<double>"
     ).collect()
