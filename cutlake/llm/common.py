@@ -99,8 +99,10 @@ _workers: dict[tuple[str, int, int], object] = {}
 
 
 def per_worker(name: str, data: bytes, build: Callable[[bytes], T]) -> T:
-    """What ``build`` makes of a vocabulary, made once in each Python worker."""
+    """What ``build`` makes of a vocabulary, made once in each Python worker; the last of each name is kept."""
     key = (name, len(data), zlib.crc32(data))
     if key not in _workers:
+        for old in [known for known in _workers if known[0] == name]:
+            del _workers[old]
         _workers[key] = build(data)
     return _workers[key]
