@@ -6,7 +6,7 @@ polynomial) runs over two line hashes, and a chunk ends where it has a local min
 the end of a physical line of two clauses or more. That depends on the lines around alone,
 so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
 that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
-by line, into the chunks before and after. Matches of ``MIN_WORDS`` words or more are removed
+by line (by 128-bit hashes), into the chunks before and after. Matches of ``MIN_WORDS`` words or more are removed
 from all but the first place.
 """
 
@@ -61,8 +61,17 @@ def _slice(k: Column) -> Column:
     return F.when((k >= 0) & (k < F.size("ends")), F.slice("lines", first + 1, end - first)).otherwise(F.array().cast("array<string>"))
 
 
+def _words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), ""))
+
+
+def _sums(lines: Column) -> Column:
+    """Two hashes of each line, and its words: what neighbours are compared by."""
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), _words(x).alias("words")))
+
+
 def _alike(a: Column, b: Column) -> Column:
-    """How many items two arrays of lines share from the front."""
+    """How many items two arrays share from the front."""
     n = F.least(F.size(a), F.size(b))
     differs = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(a, i) != F.get(b, i)))
     return F.get(differs, F.lit(0))
@@ -83,29 +92,33 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = index.groupBy("hash").agg(F.min("place").alias("origin"), F.max("place").alias("last")).where("origin <> last")
     again = staged(again.select(F.col("hash").alias("of_hash"), "origin"), "repeated-chunks")
     later = staged(index.join(again, index["hash"] == again["of_hash"]).where("place <> origin").select("place", "origin").distinct(), "later-chunks")
-    # The lines of these chunks and of their neighbours, cut out of the texts once.
-    wanted = later.select("place").union(again.select("origin")).distinct()
-    wanted = wanted.groupBy("place.doc_id", "place.mark").agg(F.collect_set("place.chunk").alias("chunks")).select(
-        F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "chunks"
-    )
+    # The lines of these chunks, cut out of the texts once, each with the place it is compared with.
+    first = again.select(F.col("origin").alias("place"), "origin")
+    wanted = later.select("place", "origin").union(first).groupBy("place.doc_id", "place.mark").agg(
+        F.collect_set(F.struct("place.chunk", "origin")).alias("chunks")
+    ).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "chunks")
     held = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
-    cut = _chunked(held.select("doc_id", "mark", "text", "chunks")).select("doc_id", "mark", "lines", "ends", F.explode_outer("chunks").alias("k"))
-    k = F.col("k")
+    # Sliced before they are exploded: an exploded row must not carry all lines of its text.
+    sliced = lambda x: F.struct(
+        x["chunk"].alias("chunk"), x["origin"].alias("origin"), _span(x["chunk"])[0].alias("first"), _span(x["chunk"])[1].alias("end"),
+        _slice(x["chunk"]).alias("body"), F.reverse(_sums(_slice(x["chunk"] - 1))).alias("before"), _sums(_slice(x["chunk"] + 1)).alias("after"),
+    )
+    cut = _chunked(held.select("doc_id", "mark", "text", "chunks"))
+    cut = cut.select("doc_id", "mark", F.explode_outer(F.transform("chunks", sliced)).alias("x"))
     cut = staged(
-        cut.select(
-            F.struct("doc_id", "mark", k.alias("chunk")).alias("place"), _span(k)[0].alias("first"), _span(k)[1].alias("end"),
-            _slice(k).alias("body"), F.reverse(_slice(k - 1)).alias("before"), _slice(k + 1).alias("after"),
-        ).dropDuplicates(["place"]),
+        cut.select(F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"), *[f"x.{c}" for c in ("origin", "first", "end", "body", "before", "after")]),
         "chunk-lines",
     )
-    mine = cut.select([F.col(c).alias(f"my_{c}") for c in cut.columns])
-    origin = cut.select([F.col(c).alias(f"its_{c}") for c in cut.columns])
-    met = later.join(mine, later["place"] == mine["my_place"]).join(origin, F.col("origin") == F.col("its_place")).where("my_body = its_body")
-    grown = met.select("place", "my_first", "my_end", "my_body", "my_before", "my_after", _alike(F.col("my_before"), F.col("its_before")).alias("up"), _alike(F.col("my_after"), F.col("its_after")).alias("down"))
-    passage = F.concat(F.reverse(F.slice("my_before", F.lit(1), F.col("up"))), F.col("my_body"), F.slice("my_after", F.lit(1), F.col("down")))
-    words = F.size(F.array_remove(F.split(F.translate(F.array_join(passage, ""), "\t\n\x0b\x0c\r", "     "), " "), ""))
+    # Repeated rows give an origin more than once.
+    origins = staged(cut.where("place = origin").drop("place", "first", "end").dropDuplicates(["origin"]), "origin-lines")
+    origins = origins.select([F.col(c).alias(f"its_{c}") for c in origins.columns])
+    met = cut.where("place <> origin").join(origins, F.col("origin") == F.col("its_origin")).where("body = its_body")
+    up, down = _alike(F.col("before"), F.col("its_before")), _alike(F.col("after"), F.col("its_after"))
+    grown = met.select("place", "first", "end", _words(F.array_join("body", "")).alias("words"), "before", "after", up.alias("up"), down.alias("down"))
+    total = lambda lines, n: F.aggregate(F.slice(lines, F.lit(1), n), F.lit(0), lambda held, line: held + line["words"])
+    words = F.col("words") + total("before", F.col("up")) + total("after", F.col("down"))
     return grown.where(words >= min_words).select(
-        "place.doc_id", "place.mark", (F.col("my_first") - F.col("up")).alias("first"), (F.col("my_end") + F.col("down")).alias("end")
+        "place.doc_id", "place.mark", (F.col("first") - F.col("up")).alias("first"), (F.col("end") + F.col("down")).alias("end")
     )
 
 
