@@ -1,10 +1,12 @@
 """Removal of passages that repeat anywhere in a corpus, by content-defined chunks of lines.
 
-A line here is a physical line or one of its clauses: text up to a line feed, or up to a stop,
-comma or the like and the space behind it. Lines are hashed, a rolling hash (cyclic
-polynomial) runs over two line hashes, and a chunk ends where it has a local minimum, or at
-the end of a physical line of two clauses or more. That depends on the lines around alone,
-so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
+A line here is a physical line, one of its clauses or a run of words of one: text up to a line
+feed, or up to a stop, comma or the like and the space behind it, or up to a space behind some
+word endings. What is longer than ``MAX_BYTES`` still is cut behind words whose hash is lower than
+that of their neighbours, so no stretch of a text is one line for want of punctuation. Lines are hashed, a rolling hash (cyclic
+polynomial) runs over two line hashes, and a chunk ends where it has a local minimum, at
+the end of a physical line of two lines or more, or at every fourth of lines that are all the same. That
+depends on the lines around alone, so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
 that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
 by line (by 128-bit hashes), into the chunks before and after. Matches of ``MIN_WORDS`` words or more are removed
 from all but the first place.
@@ -12,6 +14,8 @@ from all but the first place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +23,44 @@ from cutlake.llm.common import read, staged
 
 MIN_WORDS = 20
 MIN_CHARS = 32
-# Fixed value: a line ends behind these.
-_LINE_END = r"(?<=\n)|(?<=[.,;:!?] )"
+# A line ends behind these (the letters are those with even, odd and even codes) ...
+_LINE_END = r"(?<=\n)|(?<=[.,;:!?] )|(?<=[bdfhjlnprtvxzBDFHJLNPRTVXZ][acegikmoqsuwyACEGIKMOQSUWY][bdfhjlnprtvxzBDFHJLNPRTVXZ] )"
+# ... and one of more bytes behind some of its words too, or every eighth of equal words.
+MAX_BYTES = 64
+_WORD_END = r"(?<=[ \t\x0b\x0c\r])"
 
 
 def _rotated(column: Column, bits: int) -> Column:
     return F.shiftleft(column, bits).bitwiseOR(F.shiftrightunsigned(column, 64 - bits))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _word_runs(line: Column) -> Column:
+    """A long line in runs of words, cut where the hash of a word is a local minimum."""
+
+    def pieces(words: Column, hashes: Column) -> Column:
+        n = F.size(words)
+        lowest = lambda i: (F.get(hashes, i - 1) < F.get(hashes, i - 2)) & (F.get(hashes, i - 1) < F.get(hashes, i))
+        same = lambda i: (i % 8 == 0) & (F.get(hashes, i - 1) == F.get(hashes, i - 2))
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.coalesce(lowest(i), F.lit(False)) | F.coalesce(same(i), F.lit(False)))
+        piece = lambda ends: lambda end, j: _let(
+            F.when(j > 0, F.get(ends, j - 1)).otherwise(F.lit(0)), lambda first: F.array_join(F.slice(words, first + 1, end - first), "")
+        )
+        return _let(ends, lambda ends: F.transform(ends, piece(ends)))
+
+    hashes = lambda words: F.transform(words, lambda x: F.xxhash64(x))
+    return _let(F.array_remove(F.split(line, _WORD_END), ""), lambda words: _let(hashes(words), lambda found: pieces(words, found)))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text; joined again they are the text."""
-    return F.array_remove(F.split(text, _LINE_END), "")
+    long = lambda line: F.octet_length(line) > MAX_BYTES
+    cut = lambda lines: F.flatten(F.transform(lines, lambda x: F.when(long(x), _word_runs(x)).otherwise(F.array(x))))
+    return _let(F.array_remove(F.split(text, _LINE_END), ""), lambda lines: F.when(F.exists(lines, long), cut(lines)).otherwise(lines))
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
@@ -43,8 +74,9 @@ def _chunked(docs: DataFrame) -> DataFrame:
     roll = F.transform("hashes", lambda h, i: h.bitwiseXOR(_rotated(before(i).cast("long"), 1)))
     step = step.select("*", roll.alias("roll")).drop("hashes")
     lowest = lambda i: ~opens(i) & (F.get("roll", i) < F.get("roll", i - 1)) & (F.get("roll", i) < F.get("roll", i + 1))
+    same = lambda i: (i % 4 == 3) & (F.get("roll", i) == F.get("roll", i - 1))
     # Whether a chunk ends with line i - 1, counted by its end i.
-    cut = lambda i: (i == F.size("roll")) | (feed(i - 1) & ~feed(i - 2)) | F.coalesce(lowest(i - 1), F.lit(False))
+    cut = lambda i: (i == F.size("roll")) | (feed(i - 1) & ~feed(i - 2)) | F.coalesce(lowest(i - 1), F.lit(False)) | F.coalesce(same(i - 1), F.lit(False))
     n = F.size("roll")
     ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<int>"))
     return step.select("*", ends.alias("ends")).drop("roll")
