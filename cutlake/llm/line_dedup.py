@@ -8,7 +8,8 @@ polynomial) runs over two line hashes, and a chunk ends where it has a local min
 the end of a physical line of two lines or more, or at every fourth of lines that are all the same. That
 depends on the lines around alone, so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
 that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
-by line (by 128-bit hashes), into the chunks before and after. Matches of ``MIN_WORDS`` words or more are removed
+by line (by 128-bit hashes), into the chunks before and after. Matches that go on from one another
+here and where they first stood are one passage. Passages of ``MIN_WORDS`` words or more are removed
 from all but the first place.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlake.llm.common import read, staged
@@ -142,16 +143,42 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "chunk-lines",
     )
     # Repeated rows give an origin more than once.
-    origins = staged(cut.where("place = origin").drop("place", "first", "end").dropDuplicates(["origin"]), "origin-lines")
+    origins = staged(cut.where("place = origin").drop("place", "end").dropDuplicates(["origin"]), "origin-lines")
     origins = origins.select([F.col(c).alias(f"its_{c}") for c in origins.columns])
     met = cut.where("place <> origin").join(origins, F.col("origin") == F.col("its_origin")).where("body = its_body")
+    # The lines of each match, under the document they repeat and how far on they stand in this one.
+    along = F.xxhash64("origin.doc_id", "origin.mark", F.col("first") - F.col("its_first"))
+    line = lambda at, words: F.struct(at.alias("line"), words.alias("words"))
     up, down = _alike(F.col("before"), F.col("its_before")), _alike(F.col("after"), F.col("its_after"))
-    grown = met.select("place", "first", "end", _words(F.array_join("body", "")).alias("words"), "before", "after", up.alias("up"), down.alias("down"))
-    total = lambda lines, n: F.aggregate(F.slice(lines, F.lit(1), n), F.lit(0), lambda held, line: held + line["words"])
-    words = F.col("words") + total("before", F.col("up")) + total("after", F.col("down"))
-    return grown.where(words >= min_words).select(
-        "place.doc_id", "place.mark", (F.col("first") - F.col("up")).alias("first"), (F.col("end") + F.col("down")).alias("end")
+    alike = F.concat(
+        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("first") - 1 - i, x["words"])),
+        F.transform("body", lambda x, i: line(F.col("first") + i, _words(x))),
+        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("end") + i, x["words"])),
     )
+    held = met.select("place.doc_id", "place.mark", along.alias("along"), F.explode(alike).alias("x")).select("doc_id", "mark", "along", "x.line", "x.words")
+    # Neighbouring matches are one passage, however many there are; a line that several hold counts once.
+    order = Window.partitionBy("doc_id", "mark", "along").orderBy("line")
+    once = F.when(F.lag("line").over(order).eqNullSafe(F.col("line")), 0).otherwise(F.col("words"))
+    held = held.select("doc_id", "mark", "along", "line", once.alias("words"), (F.col("line") - F.dense_rank().over(order)).alias("island"))
+    spans = held.groupBy("doc_id", "mark", "along", "island").agg(F.min("line").alias("first"), (F.max("line") + 1).alias("end"), F.sum("words").alias("words"))
+    return spans.where(F.col("words") >= min_words).select("doc_id", "mark", "first", "end")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, mark and ``cuts``, the spans of each text in order, those that touch made one."""
+    order = Window.partitionBy("doc_id", "mark").orderBy("first", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.select("*", F.when(F.col("first") <= reach, 0).otherwise(1).alias("opens"))
+    runs = opens.select("*", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = runs.groupBy("doc_id", "mark", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("cuts"))
+
+
+def _without(lines: Column, cuts: Column) -> Column:
+    """The text of the lines that no cut holds."""
+    start = lambda j: F.when(j > 0, F.get(cuts, j - 1)["end"]).otherwise(F.lit(0))
+    stop = lambda j: F.when(j < F.size(cuts), F.get(cuts, j)["first"]).otherwise(F.size(lines))
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda j: F.slice(lines, start(j) + 1, stop(j) - start(j)))), "")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -163,15 +190,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     there is such a column and the text changed.
     """
     spans = repeated_spans(docs, min_words)
-    cuts = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "end")).alias("cuts")).select(
-        F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "cuts"
-    )
+    cuts = _merged(spans).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "cuts")
     cuts = staged(cuts, "cuts")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("mark"))
     joined = rows.join(cuts, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
-    kept = F.filter(lines_of(F.col("row.text")), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i < c["end"])))
-    new = joined.select("row", F.when(F.col("cuts").isNotNull(), F.array_join(kept, "")).alias("new"))
+    kept = _let(lines_of(F.col("row.text")), lambda lines: _without(lines, F.col("cuts")))
+    new = joined.select("row", F.when(F.col("cuts").isNotNull(), kept).alias("new"))
     changed = {"text": F.coalesce("new", "row.text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), "row.n_chars")
