@@ -6,7 +6,7 @@ word endings. What is longer than ``MAX_BYTES`` still is cut behind words whose
 that of their neighbours, so no stretch of a text is one line for want of punctuation. Lines are hashed, a rolling hash (cyclic
 polynomial) runs over two line hashes, and a chunk ends where it has a local minimum, at
 the end of a physical line of two lines or more, or at every fourth of lines that are all the same. That
-depends on the lines around alone, so equal passages are cut alike wherever they stand. Chunks of two or more lines and ``MIN_CHARS`` characters
+depends on the lines around alone, so equal passages are cut alike wherever they stand. Chunks of two or more lines
 that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
 by line (by 128-bit hashes), into the chunks before and after. Matches that go on from one another
 here and where they first stood are one passage. Passages of ``MIN_WORDS`` words or more are removed
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from cutlake.llm.common import read, staged
 
 MIN_WORDS = 20
-MIN_CHARS = 32
+# No floor: chunks of any length start a look-up.
+MIN_CHARS = 0
 # A line ends behind these (the letters are those with even, odd and even codes) ...
 _LINE_END = r"(?<=\n)|(?<=[.,;:!?] )|(?<=[bdfhjlnprtvxzBDFHJLNPRTVXZ][acegikmoqsuwyACEGIKMOQSUWY][bdfhjlnprtvxzBDFHJLNPRTVXZ] )"
 # ... and one of more bytes behind some of its words too, or every eighth of equal words.
@@ -116,11 +117,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     chunked = _chunked(marked)
     ks = F.sequence(F.lit(0), F.size("ends") - 1)
-    spans = F.transform(ks, lambda k: F.struct(k.alias("chunk"), F.xxhash64(_slice(k)).alias("hash"), (_span(k)[1] - _span(k)[0]).alias("n"), F.length(F.array_join(_slice(k), "")).alias("chars")))
+    spans = F.transform(ks, lambda k: F.struct(k.alias("chunk"), F.xxhash64(_slice(k)).alias("hash"), (_span(k)[1] - _span(k)[0]).alias("n")))
     # explode_outer: no filter on the arrays is inferred, which would be worked out a second time below.
     spans = F.when(F.size("ends") > 0, spans)
     index = chunked.select("doc_id", "mark", F.explode_outer(spans).alias("x"))
-    index = index.where((F.col("x.n") > 1) & (F.col("x.chars") >= MIN_CHARS)).select("x.hash", F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"))
+    index = index.where("x.n > 1").select("x.hash", F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"))
     index = staged(index, "chunk-index")
     again = index.groupBy("hash").agg(F.min("place").alias("origin"), F.max("place").alias("last")).where("origin <> last")
     again = staged(again.select(F.col("hash").alias("of_hash"), "origin"), "repeated-chunks")
