@@ -26,7 +26,7 @@ MIN_WORDS = 20
 # No floor: chunks of any length start a look-up.
 MIN_CHARS = 0
 # A line ends behind these (the letters are those with even, odd and even codes) ...
-_LINE_END = r"(?<=\n)|(?<=[.,;:!?] )|(?<=[bdfhjlnprtvxzBDFHJLNPRTVXZ][acegikmoqsuwyACEGIKMOQSUWY][bdfhjlnprtvxzBDFHJLNPRTVXZ] )"
+_LINE_END = r"(?<=[\n ])(?<=\n|[.,;:!?] |[bdfhjlnprtvxzBDFHJLNPRTVXZ][acegikmoqsuwyACEGIKMOQSUWY][bdfhjlnprtvxzBDFHJLNPRTVXZ] )"
 # ... and one of more bytes behind some of its words too, or every eighth of equal words.
 MAX_BYTES = 64
 _WORD_END = r"(?<=[ \t\x0b\x0c\r])"
@@ -125,38 +125,45 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     index = staged(index, "chunk-index")
     again = index.groupBy("hash").agg(F.min("place").alias("origin"), F.max("place").alias("last")).where("origin <> last")
     again = staged(again.select(F.col("hash").alias("of_hash"), "origin"), "repeated-chunks")
-    later = staged(index.join(again, index["hash"] == again["of_hash"]).where("place <> origin").select("place", "origin").distinct(), "later-chunks")
+    later = index.join(again, index["hash"] == again["of_hash"]).where("place <> origin").select("place", "origin").distinct()
+    # Where the chunk stood last in the same text: texts that go round in circles are one passage only from round to round.
+    order = Window.partitionBy("place.doc_id", "place.mark", "origin").orderBy("place.chunk")
+    later = staged(later.select("place", "origin", F.lag("place.chunk").over(order).alias("prior")), "later-chunks")
     # The lines of these chunks, cut out of the texts once, each with the place it is compared with.
-    first = again.select(F.col("origin").alias("place"), "origin")
-    wanted = later.select("place", "origin").union(first).groupBy("place.doc_id", "place.mark").agg(
-        F.collect_set(F.struct("place.chunk", "origin")).alias("chunks")
+    first = again.select(F.col("origin").alias("place"), "origin", F.lit(None).cast("int").alias("prior"))
+    wanted = later.union(first).groupBy("place.doc_id", "place.mark").agg(
+        F.collect_set(F.struct("place.chunk", "origin", "prior")).alias("chunks")
     ).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "chunks")
     held = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     # Sliced before they are exploded: an exploded row must not carry all lines of its text.
+    prior = lambda x: F.when(_slice(x["prior"]) == _slice(x["chunk"]), _span(x["prior"])[0])
     sliced = lambda x: F.struct(
-        x["chunk"].alias("chunk"), x["origin"].alias("origin"), _span(x["chunk"])[0].alias("first"), _span(x["chunk"])[1].alias("end"),
+        x["chunk"].alias("chunk"), x["origin"].alias("origin"), _span(x["chunk"])[0].alias("first"), _span(x["chunk"])[1].alias("end"), prior(x).alias("prior"),
         _slice(x["chunk"]).alias("body"), F.reverse(_sums(_slice(x["chunk"] - 1))).alias("before"), _sums(_slice(x["chunk"] + 1)).alias("after"),
     )
     cut = _chunked(held.select("doc_id", "mark", "text", "chunks"))
     cut = cut.select("doc_id", "mark", F.explode_outer(F.transform("chunks", sliced)).alias("x"))
     cut = staged(
-        cut.select(F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"), *[f"x.{c}" for c in ("origin", "first", "end", "body", "before", "after")]),
+        cut.select(F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"), *[f"x.{c}" for c in ("origin", "first", "end", "prior", "body", "before", "after")]),
         "chunk-lines",
     )
     # Repeated rows give an origin more than once.
-    origins = staged(cut.where("place = origin").drop("place", "end").dropDuplicates(["origin"]), "origin-lines")
+    origins = staged(cut.where("place = origin").drop("place", "end", "prior").dropDuplicates(["origin"]), "origin-lines")
     origins = origins.select([F.col(c).alias(f"its_{c}") for c in origins.columns])
     met = cut.where("place <> origin").join(origins, F.col("origin") == F.col("its_origin")).where("body = its_body")
     # The lines of each match, under the document they repeat and how far on they stand in this one.
-    along = F.xxhash64("origin.doc_id", "origin.mark", F.col("first") - F.col("its_first"))
-    line = lambda at, words: F.struct(at.alias("line"), words.alias("words"))
+    along = lambda text, first: F.xxhash64(f"{text}.doc_id", f"{text}.mark", F.col("first") - F.col(first))
+    line = lambda key, at, words: F.struct(key.alias("along"), at.alias("line"), words.alias("words"))
     up, down = _alike(F.col("before"), F.col("its_before")), _alike(F.col("after"), F.col("its_after"))
+    body = lambda key: F.transform("body", lambda x, i: line(key, F.col("first") + i, _words(x)))
+    met = met.select("*", along("origin", "its_first").alias("far"), along("place", "prior").alias("near"))
     alike = F.concat(
-        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("first") - 1 - i, x["words"])),
-        F.transform("body", lambda x, i: line(F.col("first") + i, _words(x))),
-        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("end") + i, x["words"])),
+        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("far"), F.col("first") - 1 - i, x["words"])),
+        body(F.col("far")),
+        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("far"), F.col("end") + i, x["words"])),
+        F.when(F.col("prior").isNull(), F.slice(body(F.col("near")), 1, 0)).otherwise(body(F.col("near"))),
     )
-    held = met.select("place.doc_id", "place.mark", along.alias("along"), F.explode(alike).alias("x")).select("doc_id", "mark", "along", "x.line", "x.words")
+    held = met.select("place.doc_id", "place.mark", F.explode(alike).alias("x")).select("doc_id", "mark", "x.along", "x.line", "x.words")
     # Neighbouring matches are one passage, however many there are; a line that several hold counts once.
     order = Window.partitionBy("doc_id", "mark", "along").orderBy("line")
     once = F.when(F.lag("line").over(order).eqNullSafe(F.col("line")), 0).otherwise(F.col("words"))
