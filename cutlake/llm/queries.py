@@ -5,6 +5,7 @@ from __future__ import annotations
 from cutlake.llm import filter_audit, quality_rules, topk
 from cutlake.llm.byte_bpe import op3_byte_bpe
 from cutlake.llm.common import Plan
+from cutlake.llm.conversation_repair import op11_conversation_repair
 from cutlake.llm.filter_audit import op12_filter_audit
 from cutlake.llm.html_text import op13_html_text
 from cutlake.llm.line_dedup import op9_line_dedup
@@ -19,7 +20,8 @@ from cutlake.llm.toxicity import op1_toxicity
 
 _PLANS: tuple[Plan, ...] = (
     op1_toxicity, op2_packing, op3_byte_bpe, op4_simhash, op5_topk, op6_token_files, op7_quality_rules,
-    op8_quality_classifier, op9_line_dedup, op10_token_counts, op12_filter_audit, op13_html_text,
+    op8_quality_classifier, op9_line_dedup, op10_token_counts, op11_conversation_repair, op12_filter_audit,
+    op13_html_text,
 )
 
 
