@@ -35,8 +35,8 @@ class WordEncoder:
     """Encodes words between ASCII white space with the library, each different one once.
 
     The tokenizer drops white space and cuts at it, lower-cases character by character, and
-    cuts punctuation off letters and digits, so a word that ends in one of these once its last
-    punctuation is off, in lower case if it is ASCII, decides its ids.
+    cuts punctuation off letters and digits, so a word that ends in one of these, as normalised,
+    once its last punctuation is off, in lower case if it is ASCII, decides its ids.
     """
 
     def __init__(self, data: bytes, words: int = 400_000, parts: int = 1_400_000):
@@ -50,13 +50,22 @@ class WordEncoder:
         # Words are cheap to put together again; parts cost a call of the library each.
         self.words: Memo = Memo(words)
         self.parts: Memo = Memo(parts)
+        # At most one entry per code point.
+        self.ends: dict[str, bool] = {}
+
+    def ends_in_alnum(self, char: str) -> bool:
+        """Whether a character ends in a letter or digit once normalised; marks taken off it would join punctuation."""
+        if char not in self.ends:
+            normalised = self.library.normalizer.normalize_str(char) if not char.isascii() else char
+            self.ends[char] = normalised[-1:].isalnum()
+        return self.ends[char]
 
     def learn(self, words: set[bytes]) -> None:
         cut = {}
         for word in words:
             text = word.decode()
             head = text.rstrip(_TAIL)
-            if not head or not head[-1].isalnum() or "<|" in text:
+            if not head or not self.ends_in_alnum(head[-1]) or "<|" in text:
                 head = text
             tail = text[len(head) :]
             cut[word] = (head.lower() if head.isascii() else head, tail)

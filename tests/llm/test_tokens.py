@@ -124,6 +124,17 @@ def test_word_cuts_are_the_library_s(words, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_before_punctuation(words):
+    """Letters that the normaliser takes apart end in a mark, which joins the punctuation behind it."""
+    with open(WORDS, "rb") as file:
+        encoder = token_files.WordEncoder(file.read())
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"x{c},," for c in points]
+    texts += [f"{c}{sign}" for c in points if words.normalizer.normalize_str(c) != c for sign in token_files._TAIL]
+    for ids, encoded in zip(encoder.encode(texts), words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoded.ids
+
+
 def _expected(docs, words, pieces, tiktoken_like):
     start, out = 0, []
     for doc_id, text in docs:
