@@ -1,6 +1,7 @@
 """SimHash groups, repeated passages and top-k search against brute force."""
 
 import re
+from collections import defaultdict
 from itertools import combinations
 
 import duckdb
@@ -116,8 +117,37 @@ def _signed(value):
     return value - 2**64 if value >= 2**63 else value
 
 
+ODD, EVEN = "bdfhjlnprtvxzBDFHJLNPRTVXZ", "acegikmoqsuwyACEGIKMOQSUWY"
+
+
+def _lines(text):
+    """Physical lines, clauses, and runs of words of what is over 64 bytes."""
+    parts, start = [], 0
+    for i, c in enumerate(text, 1):
+        after_word = c == " " and i > start and (text[i - 2 : i - 1] in tuple(".,;:!?") or (
+            i >= 4 and text[i - 4] in ODD and text[i - 3] in EVEN and text[i - 2] in ODD))
+        if c == "\n" or after_word:
+            parts.append(text[start:i])
+            start = i
+    lines = []
+    for part in [*parts, text[start:]]:
+        if len(part.encode()) <= 64:
+            lines += [part] if part else []
+            continue
+        words = [w for w in re.split(r"(?<=[ \t\x0b\x0c\r])", part) if w]
+        h = [_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+        run = ""
+        for k, word in enumerate(words):
+            run += word
+            lowest = 0 < k < len(words) - 1 and h[k - 1] > h[k] < h[k + 1]
+            if lowest or k == len(words) - 1 or (k % 8 == 7 and h[k] == h[k - 1]):
+                lines.append(run)
+                run = ""
+    return lines
+
+
 def _lines_and_chunks(text):
-    lines = [x for x in re.split(r"(?<=\n)|(?<=[.,;:!?] )", text or "") if x]
+    lines = _lines(text or "")
     hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
     turn = lambda v: (v << 1 | v >> 63) & (2**64 - 1)
     n = len(lines)
@@ -125,38 +155,57 @@ def _lines_and_chunks(text):
     opens = [(i == 0 or feed[i - 1]) and not feed[i] for i in range(n)]
     roll = [_signed(h ^ (turn(hashes[i - 1]) if i and not opens[i] else 0)) for i, h in enumerate(hashes)]
     lowest = [0 < i < n - 1 and not opens[i] and roll[i] < roll[i - 1] and roll[i] < roll[i + 1] for i in range(n)]
-    ends = [i + 1 for i in range(n) if i == n - 1 or (i and feed[i] and not feed[i - 1]) or lowest[i]]
+    same = [i % 4 == 3 and roll[i] == roll[i - 1] for i in range(n)]
+    ends = [i + 1 for i in range(n) if i == n - 1 or (i and feed[i] and not feed[i - 1]) or lowest[i] or same[i]]
     return lines, list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
 
 def _without_repeats(docs):
+    """Chunks of two lines or more against their first place, matches joined where they go on from one another."""
     cut = {i: _lines_and_chunks(t) for i, t in docs.items()}
-    first = {}
+    first, latest = {}, {}
+    runs = defaultdict(set)
     for i in sorted(cut):
         lines, chunks = cut[i]
         for k, (a, e) in enumerate(chunks):
-            if e - a > 1 and len("".join(lines[a:e])) >= line_dedup.MIN_CHARS:
-                first.setdefault(tuple(lines[a:e]), (i, k))
-    out = {}
-    for i, (lines, chunks) in cut.items():
-        gone = set()
-        for k, (a, e) in enumerate(chunks):
-            origin = first.get(tuple(lines[a:e]), (i, k))
-            if origin == (i, k):
+            key = tuple(lines[a:e])
+            if e - a < 2:
+                continue
+            if key not in first:
+                first[key] = (i, k)
                 continue
-            other, spans = cut[origin[0]]
-            b, f = spans[origin[1]]
-            back = lambda spans, k, a: spans[k - 1][0] if k else a
-            ahead = lambda spans, k, e: spans[k + 1][1] if k + 1 < len(spans) else e
+            source, m = first[key]
+            other, spans = cut[source]
+            b, f = spans[m]
+            body = set(range(a, e))
+            # One chunk up and one down, as far as the lines are the same.
             up = down = 0
-            while a - up > back(chunks, k, a) and b - up > back(spans, origin[1], b) and lines[a - up - 1] == other[b - up - 1]:
+            while k and m and a - up > chunks[k - 1][0] and b - up > spans[m - 1][0] and lines[a - up - 1] == other[b - up - 1]:
                 up += 1
-            while e + down < ahead(chunks, k, e) and f + down < ahead(spans, origin[1], f) and lines[e + down] == other[f + down]:
+            ahead = k + 1 < len(chunks) and m + 1 < len(spans)
+            while ahead and e + down < chunks[k + 1][1] and f + down < spans[m + 1][1] and lines[e + down] == other[f + down]:
                 down += 1
-            if len("".join(lines[a - up : e + down]).split()) >= line_dedup.MIN_WORDS:
-                gone |= set(range(a - up, e + down))
-        out[i] = "".join(x for n, x in enumerate(lines) if n not in gone)
-    return out
+            runs[i, source, a - b] |= body | set(range(a - up, e + down))
+            # Where it stood last in this text, the first place aside.
+            if (i, key) in latest:
+                runs[i, i, a - latest[i, key]] |= body
+            latest[i, key] = a
+    gone = defaultdict(set)
+    for (i, _, _), held in runs.items():
+        lines = cut[i][0]
+        for line in sorted(held):
+            if line - 1 in held:
+                continue
+            end = line
+            while end in held:
+                end += 1
+            if sum(len(_words_of(lines[x])) for x in range(line, end)) >= line_dedup.MIN_WORDS:
+                gone[i] |= set(range(line, end))
+    return {i: "".join(x for n, x in enumerate(lines) if n not in gone[i]) for i, (lines, _) in cut.items()}
+
+
+def _words_of(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
 
 
 def test_line_dedup_on_a_table(spark):
