@@ -17,6 +17,8 @@ from cutlake.llm.quality_rules import words_of
 # Rows of one posting block, and sums a task holds before it hands them on.
 BLOCK = 1 << 16
 HELD_SUMS = 1 << 14
+# Ways in which the rows of one text are dealt out.
+SALTS = 32
 MAX_FILTERS = 8
 MARKS = ("good", "toxic")
 MEASURES = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -47,10 +49,12 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     worded = docs.select("doc_id", "part", "text", words_of(F.col("text")).alias("words"))
     found = document_filters()
     seen = staged(worded.select("doc_id", "part", F.array(*found.values()).alias("fails"), F.unhex(F.sha2("text", 256)).alias("digest")), "filter-failures")
-    # Only texts that stand under two ids at least can make a copy; hot ones are split by the skew join.
+    # Only texts that stand under two ids at least can make a copy; the rows of a hot one are salted.
     shared = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     marked = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = seen.join(shared, "digest", "left").join(marked, F.col("doc_id") == F.col("labelled"), "left")
+    rows = seen.join(shared, ["digest", "salt"], "left").join(marked, F.col("doc_id") == F.col("labelled"), "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     place = list(found).index("E")
     fails = F.transform("fails", lambda x, i: F.when(i == place, copy).otherwise(x))
