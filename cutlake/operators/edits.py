@@ -296,23 +296,50 @@ def push_boundary(clips: DataFrame, inserts: DataFrame) -> DataFrame:
     return out.withColumn("new_in", start).drop("len", "ahead", "floor", "w")
 
 
-def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None = None) -> Edited:
-    """Insert a clip and push the track's later clips only as far as needed.
+# What ripple edits move. All else of a clip is joined back once, by the clip or the edit it comes from.
+_MOVED = ["track_id", "source_id", "pts_in", "pts_out", "source_in", "fade_in_pts", "fade_out_pts"]
+
+
+def _numbered(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits with ``__round``, their place among those of their project, and ``__rounds``, how many those are; rejects.
 
-    A clip across the insert point is split, its tail following the insert. Clips
-    linked to a pushed or split one (same source and start, other track) do the
-    same. At most one insert per project and call.
+    The order is that of ``seq``. Without such a column a project may have one edit only.
     """
-    per_project = new.groupBy("project_id").agg(F.count(F.lit(1)).alias("__n"))
-    judged = new.join(per_project, "project_id").withColumn(
-        "reason",
-        F.when(F.col("__n") > 1, "DuplicateEdit").when(F.col("pts_in") >= F.col("pts_out"), "InvalidDuration"),
+    key = ["project_id", "seq"] if "seq" in edits.columns else ["project_id"]
+    copies = edits.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    known = edits.join(copies, key, "left")
+    known = known.withColumn("reason", F.when(F.col("__n") > 1, "DuplicateEdit"))
+    if "seq" in edits.columns:
+        known = known.withColumn("reason", F.when(F.col("seq").isNull(), "MissingOrder").otherwise(F.col("reason")))
+    known = known.drop("__n")
+    bad = known.where(F.col("reason").isNotNull())
+    good = known.where(F.col("reason").isNull()).drop("reason")
+    if "seq" not in edits.columns:
+        return good.withColumns({"__round": F.lit(1), "__rounds": F.lit(1)}), bad
+    good = ranked(good.withColumn("__at", F.col("seq").cast("bigint")), ["project_id"], "__at", "__at", "__round").drop("__at")
+    last = good.groupBy("project_id").agg(F.max("__round").alias("__rounds"))
+    return good.join(last, "project_id"), bad
+
+
+def _begun(clips: DataFrame, edits: DataFrame) -> DataFrame:
+    """The narrow state of ripple edits.
+
+    ``__of`` or ``__born`` name the clip or edit that the other columns come from, ``__keys``
+    the clip whose keyframes this one has, ``__by`` how far these have moved and ``__until``
+    the last of them it keeps, on the clip's first time axis.
+    """
+    rounds = edits.select("project_id", "__rounds").distinct()
+    state = clips.join(rounds, "project_id", "left").select(
+        *CLIP, *_MOVED, F.coalesce("__rounds", F.lit(0)).alias("__rounds"), F.col("clip_id").alias("__of"), F.lit(None).cast("bigint").alias("__born"),
+        F.col("clip_id").alias("__keys"), F.lit(0).cast("bigint").alias("__by"), F.lit(None).cast("bigint").alias("__until"),
     )
-    good = judged.where(F.col("reason").isNull()).drop("__n", "reason")
-    bad = judged.where(F.col("reason").isNotNull()).drop("__n")
+    return cut(state)
+
 
-    at = good.select(*TRACK, F.col("pts_in").alias("p"), (F.col("pts_out") - F.col("pts_in")).alias("d"))
-    pushed = push_boundary(clips, at).select(
+def _inserted(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The state after one ripple insert per project. ``fresh`` has the columns of the state but clip_id."""
+    at = fresh.select(*TRACK, F.col("pts_in").alias("p"), (F.col("pts_out") - F.col("pts_in")).alias("d"))
+    pushed = push_boundary(state, at).select(
         *CLIP, "track_id", "source_id", "pts_in", "p", "new_in", (F.col("pts_in") < F.col("p")).alias("split")
     )
     pushed = cut(pushed.where(F.col("split") | (F.col("new_in") > F.col("pts_in"))))
@@ -321,15 +348,14 @@ def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None
         F.min_by(F.struct("p", "new_in", "split", F.col("track_id").alias("lead_track")), "clip_id").alias("lead")
     )
     own = pushed.select(*CLIP, F.struct("p", "new_in", "split").alias("own"))
-    plan = clips.join(own, CLIP, "left").join(leader, ["project_id", "source_id", "pts_in"], "left")
+    plan = state.join(own, CLIP, "left").join(leader, ["project_id", "source_id", "pts_in"], "left")
     follows = F.col("lead.lead_track") != F.col("track_id")
-    todo = F.coalesce("own", F.when(follows, F.struct("lead.p", "lead.new_in", "lead.split")))
-    plan = plan.withColumn("e", todo)
+    plan = plan.withColumn("e", F.coalesce("own", F.when(follows, F.struct("lead.p", "lead.new_in", "lead.split"))))
     splits = F.coalesce(F.col("e.split"), F.lit(False)) & (F.col("pts_out") > F.col("e.p"))
     shifts = F.coalesce(~F.col("e.split"), F.lit(False))
 
     part = F.explode(F.when(splits, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0))))
-    plan = plan.withColumns({"__shift": shifts}).withColumn("__part", part)
+    plan = plan.withColumn("__shift", shifts).withColumn("__part", part)
     head, tail = F.col("__part") == 1, F.col("__part") == 2
     p, to = F.col("e.p"), F.col("e.new_in")
     move = F.when(F.col("__shift"), to - F.col("pts_in")).otherwise(0)
@@ -339,59 +365,143 @@ def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None
         "source_in": F.when(tail, F.col("source_in") + p - F.col("pts_in")).otherwise(F.col("source_in")),
         "fade_in_pts": F.when(tail, F.lit(0)).otherwise(F.col("fade_in_pts")),
         "fade_out_pts": F.when(head, F.lit(0)).otherwise(F.col("fade_out_pts")),
+        "__keys": F.when(~tail, F.col("__keys")),
+        "__by": F.col("__by") + move,
+        "__until": F.when(head, F.least("__until", p - F.col("__by"))).otherwise(F.col("__until")),
     }
-    done = plan.select(*[changed[c].alias(c) if c in changed else c for c in clips.columns], "__part")
-    stay = done.where("__part <> 2").select(*clips.columns)
+    done = plan.select(*[changed[c].alias(c) if c in changed else c for c in state.columns], "__part")
+    stay = done.where("__part <> 2").select(*state.columns)
     tails = done.where("__part = 2").withColumn("__parent", F.col("clip_id"))
-    fresh = tails.select(*clips.columns, "__parent").unionByName(
-        good.withColumns({"clip_id": F.lit(-1).cast("bigint"), "__parent": F.lit(-1).cast("bigint")}).select(
-            *clips.columns, "__parent"
-        )
+    first = F.lit(-1).cast("bigint")
+    fresh = tails.select(*state.columns, "__parent").unionByName(
+        fresh.withColumns({"clip_id": first, "__parent": first}).select(*state.columns, "__parent")
     )
-    fresh = new_ids(fresh, clips, ["project_id"], "clip_id", "pts_in", "__parent")
-    kept = None
-    if keyframes is not None:
-        by = plan.where("__part <> 2").select(
-            *CLIP, move.alias("__move"), F.when(head, p).alias("__end")
-        )
-        k = keyframes.join(by, CLIP).where(F.col("__end").isNull() | (F.col("pts") <= F.col("__end")))
-        kept = k.withColumn("pts", F.col("pts") + F.col("__move")).select(*keyframes.columns)
-    return Edited(stay.unionByName(fresh.select(*clips.columns)), kept, bad)
+    fresh = new_ids(fresh, state, ["project_id"], "clip_id", "pts_in", "__parent")
+    return stay.unionByName(fresh.select(*state.columns))
+
+
+def _finished(state: DataFrame, clips: DataFrame, new: DataFrame | None, keyframes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Whole clips and their keyframes from the narrow state."""
+    wide = [c for c in clips.columns if c not in (*CLIP, *_MOVED)]
+    held = F.struct(*wide) if wide else F.lit(None)
+    out = state.join(clips.select("project_id", F.col("clip_id").alias("__of"), held.alias("__old")), ["project_id", "__of"], "left")
+    if new is not None:
+        out = out.join(new.select("project_id", F.col("__round").alias("__born"), held.alias("__new")), ["project_id", "__born"], "left")
+    source = F.col("__old") if new is None else F.coalesce("__old", "__new")
+    whole = out.withColumn("__row", source) if wide else out
+    done = whole.select(*[F.col(f"__row.{c}").alias(c) if c in wide else F.col(c) for c in clips.columns])
+    if keyframes is None:
+        return done, None
+    by = state.where(F.col("__keys").isNotNull()).select("project_id", F.col("__keys").alias("clip_id"), F.col("clip_id").alias("__id"), "__by", "__until")
+    k = keyframes.join(by, CLIP).where(F.col("__until").isNull() | (F.col("pts") <= F.col("__until")))
+    k = k.withColumns({"pts": F.col("pts") + F.col("__by"), "clip_id": F.col("__id")})
+    return done, k.select(*keyframes.columns)
 
 
-def ripple_move(clips: DataFrame, edits: DataFrame, keyframes: DataFrame | None = None) -> Edited:
-    """Take a clip out, closing its gap, and ripple-insert it at (new_track, new_pts_in).
+def _rounds(state: DataFrame, edits: DataFrame, apply) -> tuple[DataFrame, list[DataFrame]]:
+    """The state after all edits, one of each project a round, and what ``apply`` rejects.
 
-    At most one move per project and call: of several, all are rejected and their clips
-    stay. The moved clip gets a new id and takes its keyframes along.
+    An edit sees what those before it made, links across tracks included, so the edits of one
+    project can't run side by side; those of all projects do. Each round ends in a
+    written table, and a project takes part only as long as it has edits left.
     """
-    rules = [
-        (F.col("new_track").isNull() | F.col("new_pts_in").isNull(), "MissingTarget"),
-        (F.coalesce(F.col("c_pts_in") >= F.col("c_pts_out"), F.lit(True)), "InvalidDuration"),
-    ]
-    single, bad = _judge(clips, edits, ["pts_in", "pts_out"], rules)
-    per_project = single.groupBy("project_id").agg(F.count(F.lit(1)).alias("__n"))
-    counted = single.join(per_project, "project_id")
-    good = cut(counted.where("__n = 1").drop("__n"))
-    bad = bad.unionByName(counted.where("__n > 1").select(*edits.columns, F.lit("DuplicateEdit").alias("reason")))
-    closed = ripple_remove(clips, good.select(*CLIP), keyframes)
-    moved = clips.join(good.select(*CLIP, "new_track", "new_pts_in"), CLIP).withColumns(
-        {"track_id": F.col("new_track"), "pts_out": F.col("new_pts_in") + F.col("pts_out") - F.col("pts_in")}
-    )
-    moved = moved.withColumn("pts_in", F.col("new_pts_in")).drop("clip_id", "new_track", "new_pts_in")
-    rest = cut(closed.clips)
-    out = ripple_insert(rest, moved, closed.keyframes)
-    if keyframes is None:
-        return Edited(out.clips, None, bad)
-    # Nothing else starts where the moved clip does: what was there has been pushed past it.
-    fresh = out.clips.join(rest.select(*CLIP), CLIP, "left_anti").select(
-        "project_id", "track_id", "pts_in", F.col("clip_id").alias("new_id")
-    )
-    names = good.select(
-        *CLIP, F.col("new_track").alias("track_id"), F.col("new_pts_in").alias("pts_in"), (F.col("new_pts_in") - F.col("c_pts_in")).alias("__by")
-    ).join(fresh, ["project_id", "track_id", "pts_in"])
-    own = keyframes.join(names.select(*CLIP, "new_id", "__by"), CLIP).withColumns({"clip_id": F.col("new_id"), "pts": F.col("pts") + F.col("__by")})
-    return Edited(out.clips, out.keyframes.unionByName(own.select(*keyframes.columns)), bad)
+    last = edits.agg(F.max("__rounds")).first()[0] or 0
+    done, rejects = [state.where("__rounds = 0")], []
+    state = state.where("__rounds > 0")
+    for n in range(1, last + 1):
+        state, bad = apply(state, edits.where(F.col("__round") == n))
+        if bad is not None:
+            rejects.append(bad)
+        state = cut(state)
+        done.append(state.where(F.col("__rounds") == n))
+        state = state.where(F.col("__rounds") > n)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out, rejects
+
+
+def ripple_insert(clips: DataFrame, new: DataFrame, keyframes: DataFrame | None = None) -> Edited:
+    """Insert clips, each pushing its track's later clips only as far as needed.
+
+    A clip across the insert point is split, its tail following the insert. Clips linked to a
+    pushed or split one (same source and start, other track) do the same. With a column
+    ``seq`` any number of inserts per project are applied in that order (one that is taken
+    twice, or null, rejects its inserts); without it a project may have one.
+    """
+    order = [c for c in ("seq",) if c in new.columns]
+    valid = F.col("pts_in") < F.col("pts_out")
+    short = new.where(~F.coalesce(valid, F.lit(False))).withColumn("reason", F.lit("InvalidDuration"))
+    good, bad = _numbered(new.where(valid))
+    if not order:
+        # One that is void still takes the project's only place.
+        several = new.groupBy("project_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("project_id")
+        crowded = new.join(several, "project_id", "left_semi").withColumn("reason", F.lit("DuplicateEdit"))
+        short = short.join(several, "project_id", "left_anti").unionByName(crowded.select(*short.columns))
+        bad = bad.limit(0)
+        good = good.join(several, "project_id", "left_anti")
+    good = cut(good)
+
+    def apply(state: DataFrame, now: DataFrame):
+        nothing = F.lit(None).cast("bigint")
+        fresh = now.withColumns({"__of": nothing, "__born": F.col("__round").cast("bigint"), "__keys": nothing, "__by": F.lit(0).cast("bigint"), "__until": nothing})
+        return _inserted(state, fresh), None
+
+    # A project without clips takes inserts too.
+    state, _ = _rounds(_begun(clips, good), good, apply)
+    out, kept = _finished(state, clips, good.withColumn("__round", F.col("__round").cast("bigint")), keyframes)
+    return Edited(out, kept, bad.select(*new.columns, "reason").unionByName(short.select(*new.columns, "reason")))
+
+
+def ripple_move(clips: DataFrame, edits: DataFrame, keyframes: DataFrame | None = None, tracks: DataFrame | None = None) -> Edited:
+    """Take clips out, closing their gaps, and ripple-insert them at (new_track, new_pts_in).
+
+    With a column ``seq`` any number of moves per project are applied in that order, each to
+    the clips as the one before left them; without it a project may have one, and of several
+    all are rejected. The moved clip gets a new id and takes its keyframes along. With
+    ``tracks`` the layers of both tracks of a move between tracks are numbered anew.
+    """
+    static = F.col("new_track").isNull() | F.col("new_pts_in").isNull()
+    if "seq" in edits.columns:
+        void = edits.where(static).withColumn("reason", F.lit("MissingTarget"))
+        good, bad = _numbered(edits.where(~static))
+        bad = bad.select(*edits.columns, "reason").unionByName(void.select(*edits.columns, "reason"))
+    else:
+        rules = [(static, "MissingTarget"), (F.coalesce(F.col("c_pts_in") >= F.col("c_pts_out"), F.lit(True)), "InvalidDuration")]
+        single, bad = _judge(clips, edits, ["pts_in", "pts_out"], rules)
+        good, several = _numbered(single.select(*edits.columns))
+        bad = bad.unionByName(several.select(*bad.columns))
+    good = cut(good)
+    crossed = []
+
+    def apply(state: DataFrame, now: DataFrame):
+        found = now.join(state.drop("__rounds"), CLIP, "left")
+        reason = F.when(F.col("pts_in").isNull(), "ClipNotFound").when(F.col("pts_in") >= F.col("pts_out"), "InvalidDuration")
+        found = cut(found.withColumn("reason", reason))
+        going = found.where(F.col("reason").isNull())
+        crossed.append(going.where(F.col("new_track") != F.col("track_id")).select("project_id", F.explode(F.array("track_id", F.col("new_track").cast(state.schema["track_id"].dataType))).alias("track_id")))
+        gap = going.select(*TRACK, F.col("clip_id").alias("__gone"), F.col("pts_out").alias("__from"), (F.col("pts_out") - F.col("pts_in")).alias("__gap"))
+        rest = state.join(gap, TRACK, "left").where(~F.col("clip_id").eqNullSafe(F.col("__gone")))
+        back = F.when(F.col("pts_in") >= F.col("__from"), F.col("__gap")).otherwise(0)
+        rest = rest.withColumns({c: F.col(c) - back for c in ("pts_out", "__by", "pts_in")}).select(*state.columns)
+        step = F.col("new_pts_in") - F.col("pts_in")
+        fresh = going.withColumns({
+            "track_id": F.col("new_track").cast(state.schema["track_id"].dataType), "pts_out": F.col("pts_out") + step, "__by": F.col("__by") + step, "pts_in": F.col("new_pts_in"),
+        })
+        return _inserted(cut(rest), fresh.select(*[c for c in state.columns if c != "clip_id"])), found.where(F.col("reason").isNotNull()).select(*edits.columns, "reason")
+
+    state, rejects = _rounds(_begun(clips, good), good, apply)
+    for more in rejects:
+        bad = bad.unionByName(more)
+    out, kept = _finished(state, clips, None, keyframes)
+    if tracks is not None and crossed:
+        touched = crossed[0]
+        for more in crossed[1:]:
+            touched = touched.unionByName(more)
+        touched = cut(touched.distinct())
+        layered = reindex_layers(out.join(touched, TRACK, "left_semi"), tracks)
+        out = out.join(touched, TRACK, "left_anti").unionByName(layered)
+    return Edited(out, kept, bad)
 
 
 def slip(clips: DataFrame, edits: DataFrame) -> Edited:

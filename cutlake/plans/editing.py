@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,9 +206,9 @@ def _(lib):
     return out.keyframes.select("project_id", "clip_id", "param", "pts", "value")
 
 
-def _ripple(src: str) -> str:
-    """CTEs for one ripple insert per project of ``nw`` into ``src``; result in ``rip``."""
-    return (
+def _ripple(src: str, n: str = "") -> str:
+    """CTEs for one ripple insert per project of ``nw`` into ``src``; result in ``rip``. ``n`` ends their names."""
+    text = (
         f"af AS (SELECT s.project_id, s.clip_id, s.track_id, s.source_id, s.pts_in, n.pts_in AS p, n.pts_out - n.pts_in AS d, s.pts_out - greatest(s.pts_in, n.pts_in) AS len FROM {src} s JOIN nw n USING (project_id, track_id) WHERE s.pts_out > n.pts_in), "
         "dd AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY project_id ORDER BY pts_in, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM af), "
         "pu AS (SELECT *, ahead + greatest(p + d, max(CASE WHEN pts_in >= p THEN pts_in - ahead END) OVER (PARTITION BY project_id ORDER BY pts_in, clip_id)) AS new_in FROM dd), "
@@ -219,6 +221,7 @@ def _ripple(src: str) -> str:
         "SELECT * EXCLUDE (p, ni, sp) REPLACE (CASE WHEN NOT sp THEN ni ELSE pts_in END AS pts_in, CASE WHEN NOT sp THEN pts_out + ni - pts_in ELSE pts_out END AS pts_out) FROM pl WHERE sp IS NULL OR NOT sp OR pts_out <= p "
         f"UNION ALL BY NAME SELECT * EXCLUDE (top, parent, clip_id), top + row_number() OVER (PARTITION BY project_id ORDER BY pts_in, parent) AS clip_id FROM fr JOIN (SELECT project_id, max(clip_id) AS top FROM {src} GROUP BY 1) USING (project_id))"
     )
+    return re.sub(r"\b(af|dd|pu|ps|ld|pl|fr|rip|nw)\b", rf"\g<1>{n}", text) if n else text
 
 
 _RIPPLE_NEW = (
@@ -275,6 +278,99 @@ def _(lib):
     return edits.ripple_move(lib.strip, moves).rejects.select("project_id", "clip_id", "reason")
 
 
+# Four inserts per project, in an order that isn't that of their places; every third project has one only.
+_SEQ = 4
+_SEQ_NEW = (
+    "project_id, CAST((project_id + k) % 5 AS INT) AS track_id, CAST(7 AS BIGINT) AS source_id, (k * 7919 % 40) * 90000 + project_id * 10 + 45000 AS pts_in, "
+    "(k * 7919 % 40) * 90000 + project_id * 10 + 45000 + 50000 * k AS pts_out, CAST(0 AS BIGINT) AS source_in, 'Video' AS kind, CAST(0 AS INT) AS layer_order, "
+    "1e0 AS opacity, 1e0 AS volume, 0e0 AS pan, false AS audio_muted, CAST(0 AS BIGINT) AS fade_in_pts, CAST(0 AS BIGINT) AS fade_out_pts, 1e0 AS speed"
+)
+_SEQ_WHICH = "k = 1 OR project_id % 3 <> 0"
+
+
+def _chain(step, rounds: int) -> str:
+    """CTEs of several rounds, each on the result of the one before."""
+    return ", ".join(step("strip" if n == 1 else f"rip{n - 1}", n) for n in range(1, rounds + 1))
+
+
+def _key_step(src: str, n: int, keys: str, renamed: str = "") -> str:
+    """Keys after round ``n``: they go with the clip that keeps its id, up to its end where it was cut."""
+    return (
+        f"kf{n} AS (SELECT k.project_id, k.clip_id, k.param, k.pts + r.pts_in - s.pts_in AS pts, k.value FROM {keys} k JOIN {src} s USING (project_id, clip_id) JOIN rip{n} r USING (project_id, clip_id) "
+        f"WHERE r.pts_out - r.pts_in = s.pts_out - s.pts_in OR k.pts + r.pts_in - s.pts_in <= r.pts_out{renamed})"
+    )
+
+
+def _insert_rounds(keyed: bool = False) -> str:
+    def step(src: str, n: int) -> str:
+        picked = f"nw{n} AS (SELECT {_SEQ_NEW} FROM (SELECT project_id, {n} AS k FROM strip GROUP BY 1) WHERE {_SEQ_WHICH})"
+        key = f", {_key_step(src, n, 'strip_keyframes' if n == 1 else f'kf{n - 1}')}" if keyed else ""
+        return f"{picked}, {_ripple(src, str(n))}{key}"
+
+    return _chain(step, _SEQ)
+
+
+def sequence_new(lib: Lib) -> DataFrame:
+    ks = lib.strip.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, range(1, _SEQ + 1)))).alias("k"))
+    return ks.where(_SEQ_WHICH).selectExpr(*_split(_SEQ_NEW), "k AS seq")
+
+
+@q("e8_ripple_insert_sequence", "strip", f"SELECT {COLS}, {ATTRS} FROM rip{_SEQ}", _insert_rounds())
+def _(lib):
+    return edits.ripple_insert(lib.strip, sequence_new(lib)).clips.select(*SHOWN, *ATTRS.split(", "))
+
+
+@q("e8_ripple_insert_keyframes", "strip strip_keyframes", f"SELECT project_id, clip_id, param, pts, value FROM kf{_SEQ}", _insert_rounds(True))
+def _(lib):
+    return edits.ripple_insert(lib.strip, sequence_new(lib), lib.strip_keyframes).keyframes.select("project_id", "clip_id", "param", "pts", "value")
+
+
+# Three moves per project: the k-th clip by id among some goes to another track for even k.
+_MOVES = 3
+_MOVE_WHICH = "opacity > 0.85"
+_MOVE_TO = "CAST((track_id + (k + 1) % 2) % 5 AS INT) AS new_track, (k * 5 % 11) * 270000 + project_id * 500 AS new_pts_in"
+
+
+def _move_rounds(keyed: bool = False) -> str:
+    mv = f"mv AS (SELECT project_id, clip_id, k, {_MOVE_TO} FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY clip_id) AS k FROM strip WHERE {_MOVE_WHICH}) WHERE k <= {_MOVES})"
+
+    def step(src: str, n: int) -> str:
+        moved = f"ed{n} AS (SELECT s.*, new_track, new_pts_in FROM {src} s JOIN mv USING (project_id, clip_id) WHERE k = {n})"
+        closed = (
+            f"closed{n} AS (SELECT s.* REPLACE (s.pts_in - coalesce(e.gap, 0) AS pts_in, s.pts_out - coalesce(e.gap, 0) AS pts_out) FROM (SELECT * FROM {src} ANTI JOIN ed{n} USING (project_id, clip_id)) s "
+            f"LEFT JOIN (SELECT project_id, track_id, pts_out AS gone, pts_out - pts_in AS gap FROM ed{n}) e ON e.project_id = s.project_id AND e.track_id = s.track_id AND e.gone <= s.pts_in)"
+        )
+        new = f"nw{n} AS (SELECT * EXCLUDE (new_track, new_pts_in, clip_id) REPLACE (new_track AS track_id, new_pts_in AS pts_in, new_pts_in + pts_out - pts_in AS pts_out) FROM ed{n})"
+        # Nothing else starts where the moved clip does.
+        keys = "strip_keyframes" if n == 1 else f"kf{n - 1}"
+        own = (
+            f" UNION ALL SELECT k.project_id, r.clip_id, k.param, k.pts + e.new_pts_in - e.pts_in, k.value FROM {keys} k JOIN ed{n} e USING (project_id, clip_id) "
+            f"JOIN rip{n} r ON r.project_id = e.project_id AND r.track_id = e.new_track AND r.pts_in = e.new_pts_in"
+        )
+        # The moved clip's old id may be given anew.
+        rest = f"(SELECT * FROM {keys} ANTI JOIN ed{n} USING (project_id, clip_id))"
+        key = f", {_key_step(src, n, rest, own)}" if keyed else ""
+        return f"{moved}, {closed}, {new}, {_ripple(f'closed{n}', str(n))}{key}"
+
+    return f"{mv}, {_chain(step, _MOVES)}"
+
+
+def sequence_moves(lib: Lib) -> DataFrame:
+    order = Window.partitionBy("project_id").orderBy("clip_id")
+    picked = lib.strip.where(_MOVE_WHICH).withColumn("k", F.row_number().over(order)).where(F.col("k") <= _MOVES)
+    return picked.selectExpr("project_id", "clip_id", *_split(_MOVE_TO), "CAST(k AS BIGINT) AS seq")
+
+
+@q("e9_ripple_move_sequence", "strip", f"SELECT {COLS}, {ATTRS} FROM rip{_MOVES}", _move_rounds())
+def _(lib):
+    return edits.ripple_move(lib.strip, sequence_moves(lib)).clips.select(*SHOWN, *ATTRS.split(", "))
+
+
+@q("e9_ripple_move_keyframes", "strip strip_keyframes", f"SELECT project_id, clip_id, param, pts, value FROM kf{_MOVES}", _move_rounds(True))
+def _(lib):
+    return edits.ripple_move(lib.strip, sequence_moves(lib), lib.strip_keyframes).keyframes.select("project_id", "clip_id", "param", "pts", "value")
+
+
 # --- slip, slide, roll -------------------------------------------------------
 
 _SLIP = "ed AS (SELECT *, (clip_id % 9 - 4) * 20000 AS delta FROM strip WHERE audio_muted OR opacity > 0.85)"

@@ -68,12 +68,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the files.
+    """Write ``df`` once to the shared scratch folder and go on from the files.
 
-    Used where a result feeds several branches of a deep plan: it keeps planning
-    linear, and a lost executor costs a re-read instead of a recomputation.
+    Used where a result feeds several branches of a deep plan, or a round of a loop. It keeps
+    planning linear, and a lost executor costs a re-read instead of a recomputation. Files,
+    rather than ``checkpoint()``: that computes its input twice, and keeps the size estimate of
+    the plan it replaces, which every join of every round multiplies.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

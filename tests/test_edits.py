@@ -1,5 +1,6 @@
 """Batch edits against step-by-step models on random small timelines."""
 
+import os
 import random
 
 import pytest
@@ -174,3 +175,134 @@ def test_ripple_moves_lose_no_clip(spark):
     assert len(after) == 8 and [v for k, v in sorted(after.items()) if k[0] == 1] == [(0, 1000 * i, 1000 * i + 900) for i in range(4)]
     assert after[2, 24] == (1, 5000, 5900) and after[2, 21] == (0, 100, 1000)
     assert sorted((r.clip_id, r.pts) for r in done.keyframes.collect()) == [(23, 2200), (24, 5100)]
+
+
+def insert_step(clips, keys, new):
+    """One ripple insert into the clips {id: row} of a project and their keys {id: [pts]}, by the rules one after another."""
+    point, edge, todo = new["pts_in"], new["pts_out"], {}
+    for i in sorted((i for i, c in clips.items() if c["track_id"] == new["track_id"]), key=lambda i: (clips[i]["pts_in"], i)):
+        c = clips[i]
+        if c["pts_out"] <= point:
+            continue
+        if c["pts_in"] < point:
+            todo[i] = ("split", edge)
+            edge += c["pts_out"] - point
+        elif c["pts_in"] < edge:
+            todo[i] = ("shift", edge)
+            edge += c["pts_out"] - c["pts_in"]
+        else:
+            edge = c["pts_out"]
+    linked = {}
+    for lead in sorted(todo):
+        for i, c in clips.items():
+            other = clips[lead]
+            if c["track_id"] != other["track_id"] and (c["source_id"], c["pts_in"]) == (other["source_id"], other["pts_in"]):
+                linked.setdefault(i, todo[lead])
+    out, kept, fresh = {}, {}, [(new["pts_in"], -1, new, new.pop("keys", []))]
+    for i, c in clips.items():
+        what, to = todo.get(i) or linked.get(i) or (None, None)
+        by, kept[i] = 0, keys.get(i, [])
+        if what == "split" and c["pts_out"] > point:
+            fresh.append((to, i, {**c, "pts_in": to, "pts_out": to + c["pts_out"] - point, "source_in": c["source_in"] + point - c["pts_in"], "fade_in_pts": 0}, []))
+            c, kept[i] = {**c, "pts_out": point, "fade_out_pts": 0}, [t for t in kept[i] if t <= point]
+        elif what == "shift":
+            by = to - c["pts_in"]
+        out[i] = {**c, "pts_in": c["pts_in"] + by, "pts_out": c["pts_out"] + by}
+        kept[i] = [t + by for t in kept[i]]
+    top = max(clips, default=-1)
+    for n, (_, _, row, own) in enumerate(sorted(fresh, key=lambda f: f[:2]), 1):
+        out[top + n], kept[top + n] = row, own
+    return out, kept
+
+
+def move_step(clips, keys, clip_id, track, at):
+    gone = clips[clip_id]
+    length, by = gone["pts_out"] - gone["pts_in"], at - gone["pts_in"]
+    left, kept = {}, {}
+    for i, c in clips.items():
+        back = length if c["track_id"] == gone["track_id"] and c["pts_in"] >= gone["pts_out"] else 0
+        if i != clip_id:
+            left[i], kept[i] = {**c, "pts_in": c["pts_in"] - back, "pts_out": c["pts_out"] - back}, [t - back for t in keys.get(i, [])]
+    return insert_step(left, kept, {**gone, "track_id": track, "pts_in": at, "pts_out": at + length, "keys": [t + by for t in keys.get(clip_id, [])]})
+
+
+KEYS = "project_id bigint, clip_id bigint, param string, pts bigint, value double, interp string"
+
+
+def linked_library(rng, projects):
+    """Clips with partners on the other track, and their keys."""
+    rows = library(rng, projects=projects, per=8)
+    for r in list(rows):
+        if rng.random() < 0.4:
+            rows.append((r[0], max(x[1] for x in rows if x[0] == r[0]) + 1, 1 - r[2], *r[3:]))
+    keys = [(r[0], r[1], "Opacity", rng.randint(r[4], r[5]), 0.5, "Linear") for r in rows for _ in range(2)]
+    return rows, keys
+
+
+def states(rows, keys):
+    clips, held = {}, {}
+    for r in rows:
+        clips.setdefault(r[0], {})[r[1]] = {n: v for n, v in zip(NAMES, r, strict=True) if n not in ("project_id", "clip_id")}
+    for k in keys:
+        held.setdefault(k[0], {}).setdefault(k[1], []).append(k[3])
+    return clips, held
+
+
+def flat(clips, keys):
+    order = [n for n in NAMES if n not in ("project_id", "clip_id")]
+    rows = sorted((p, i, *(c[n] for n in order)) for p, held in clips.items() for i, c in held.items())
+    return rows, sorted((p, i, t) for p, held in keys.items() for i, times in held.items() for t in times)
+
+
+def test_many_inserts_in_order(spark):
+    """Many inserts in one project, fewer in others, none in one, and a project without clips."""
+    many = 20 if os.environ.get("CUTLAKE_ALL") else 5
+    rng = random.Random(11)
+    rows, keys = linked_library(rng, 4)
+    clips, held = states(rows, keys)
+    clips[9], held[9] = {}, {}
+    asked = []
+    for p, n in ((0, many), (1, 3), (2, 1), (9, 2)):
+        for seq in rng.sample(range(100), n):
+            lo = rng.randint(0, 70)
+            asked.append((p, rng.randrange(2), 99, lo, lo + rng.randint(1, 20), 0, 2, 3, 1.0 + seq, seq))
+    for a in sorted(asked, key=lambda a: (a[0], a[-1])):
+        clips[a[0]], held[a[0]] = insert_step(clips[a[0]], held[a[0]], dict(zip([n for n in NAMES if n not in ("project_id", "clip_id")], a[1:-1], strict=True)))
+    asked += [(3, 0, 99, 5, 9, 0, 0, 0, 1.0, 4), (3, 1, 99, 7, 9, 0, 0, 0, 1.0, 4), (3, 1, 99, 7, 7, 0, 0, 0, 1.0, 5)]
+    new = spark.createDataFrame(asked, SCHEMA.replace("clip_id bigint, ", "") + ", seq bigint")
+    done = edits.ripple_insert(spark.createDataFrame(rows, SCHEMA), new, spark.createDataFrame(keys, KEYS))
+    got = sorted(tuple(r) for r in done.clips.select(NAMES).collect()), sorted((r.project_id, r.clip_id, r.pts) for r in done.keyframes.collect())
+    assert got == flat(clips, held)
+    assert sorted((r.project_id, r.seq, r.reason) for r in done.rejects.collect()) == [(3, 4, "DuplicateEdit"), (3, 4, "DuplicateEdit"), (3, 5, "InvalidDuration")]
+
+
+def test_many_moves_in_order(spark):
+    """Moves see what those before them made; a clip that has moved has another id."""
+    rng = random.Random(12)
+    rows, keys = linked_library(rng, 3)
+    clips, held = states(rows, keys)
+    asked, bad = [], []
+    for p, n in ((0, 20 if os.environ.get("CUTLAKE_ALL") else 6), (1, 4)):
+        for seq in range(n):
+            asked.append((p, rng.randrange(9), rng.randrange(2), rng.randint(0, 70), seq))
+    crossed = set()
+    for p, i, track, at, seq in asked:
+        if i not in clips[p]:
+            bad.append((p, i, seq, "ClipNotFound"))
+            continue
+        if clips[p][i]["track_id"] != track:
+            crossed |= {(p, 0), (p, 1)}
+        clips[p], held[p] = move_step(clips[p], held[p], i, track, at)
+    assert bad and crossed
+    moves = spark.createDataFrame([*asked, (2, 0, None, 5, 0)], "project_id bigint, clip_id bigint, new_track int, new_pts_in bigint, seq bigint")
+    layered = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "-7 AS layer_order")
+    tracks = spark.createDataFrame([(p, t, 3 - t) for p in range(3) for t in range(2)], "project_id bigint, track_id int, position int")
+    done = edits.ripple_move(layered, moves, spark.createDataFrame(keys, KEYS), tracks)
+    found = done.clips.collect()
+    got = sorted(tuple(r[n] for n in NAMES) for r in found), sorted((r.project_id, r.clip_id, r.pts) for r in done.keyframes.collect())
+    assert got == flat(clips, held)
+    assert sorted((r.project_id, r.clip_id, r.seq, r.reason) for r in done.rejects.collect()) == sorted([*bad, (2, 0, 0, "MissingTarget")])
+    for p in range(3):
+        for t in range(2):
+            mine = sorted((r.pts_in, r.clip_id, r.layer_order) for r in found if (r.project_id, r.track_id) == (p, t))
+            assert [x[2] for x in mine] == ([(3 - t) * 256 + n for n in range(len(mine))] if (p, t) in crossed else [-7] * len(mine))
