@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cutlake.functions.arith import rounded
 from cutlake.operators import textjobs
-from cutlake.plans.editing import unique_keys
+from cutlake.plans.editing import _split, unique_keys
 from cutlake.plans.registry import REGISTRY, Lib
 from cutlake.session import scratch_dir
 from cutlake.sources import frames, luts, projects, snapshots
@@ -69,6 +69,35 @@ def _(lib):
     return round_trip(lib)["projects"].select("project_id", "name", "width")
 
 
+# Text clips, effects and members that no column is for.
+_FIELDS = (
+    "project_id, clip_id, CASE WHEN clip_id % 7 = 0 THEN 'Text' ELSE kind END AS kind, CASE WHEN clip_id % 7 = 0 THEN concat('{\"text\":\"Title ', CAST(clip_id AS {text}), '\",\"font_size\":12.5}') END AS payload, "
+    "concat('[{\"kind\":\"Blur\",\"radius\":', CAST(clip_id % 5 AS {text}), '}]') AS effects, CASE WHEN clip_id % 3 = 0 THEN '{\"tl\":[0]}' END AS corner_pin, "
+    "clip_id % 11 AS effect_start, CAST(clip_id % 4 AS INT) AS effect_count"
+)
+
+
+@q("s1_read_projects_fields", "strip",
+   f"SELECT {_FIELDS.replace('{text}', 'VARCHAR')}, concat('\"c', CAST(clip_id AS VARCHAR), '\"') AS label FROM strip")
+def _(lib):
+    own = lib.strip.selectExpr(*_split(_FIELDS.replace("{text}", "STRING")), "map('label', concat('\"c', clip_id, '\"')) AS more")
+    rest = lib.strip.drop("kind")
+    folder = scratch_dir(lib.spark, "projects")
+    projects.write_projects({**project_tables(lib), "clips": rest.join(own, ["project_id", "clip_id"])}, folder)
+    found = projects.read_projects(lib.spark, folder)["clips"]
+    return found.selectExpr("project_id", "clip_id", "kind", "payload", "effects", "corner_pin", "effect_start", "effect_count", "more['label'] AS label")
+
+
+@q("s2_write_projects_orphans", "strip strip_keyframes",
+   "SELECT project_id, part, CAST(rows AS BIGINT) AS rows, 'NoProject' AS reason FROM ("
+   "SELECT project_id, 'clips' AS part, count(*) AS rows FROM strip GROUP BY 1 UNION ALL SELECT project_id, 'tracks', count(DISTINCT track_id) FROM strip GROUP BY 1 "
+   "UNION ALL SELECT project_id, 'sources', count(DISTINCT source_id) FROM strip GROUP BY 1 "
+   "UNION ALL SELECT project_id, 'keyframes', count(*) FROM (SELECT DISTINCT project_id, clip_id, param, pts FROM strip_keyframes) GROUP BY 1) WHERE project_id % 2 = 1")
+def _(lib):
+    tables = project_tables(lib)
+    return projects.write_projects({**tables, "projects": tables["projects"].where("project_id % 2 = 0")}, scratch_dir(lib.spark, "projects"))
+
+
 @q("s3_read_luts", "",
    "SELECT vec_id, CAST(2 AS BIGINT) AS size, CAST(k % 2 AS INTEGER) AS ri, CAST(k // 2 % 2 AS INTEGER) AS gi, CAST(k // 4 AS INTEGER) AS bi, round((CAST(embedding[3*k+1] AS DOUBLE) + 1) / 3, 5) AS r, "
    "round(CAST(embedding[3*k+2] AS DOUBLE), 5) AS g, round(CAST(embedding[3*k+3] AS DOUBLE), 5) AS b FROM (SELECT *, CAST(unnest(range(8)) AS INTEGER) AS k FROM embeddings)")
