@@ -33,15 +33,12 @@ class Scan:
 
 
 def _local(scan: Scan, keys: Sequence[str], order: str) -> Column:
-    w = Window.partitionBy(*keys, _CELL).orderBy(order)
-    if scan.how == "first":
-        w = w.rowsBetween(0 if scan.inclusive else 1, Window.unboundedFollowing)
-    else:
-        w = w.rowsBetween(Window.unboundedPreceding, 0 if scan.inclusive else -1)
-    if scan.how == "last":
+    # A frame that shrinks from the front is worked out anew for every row, so ``first`` is a
+    # ``last`` in descending order.
+    w = Window.partitionBy(*keys, _CELL).orderBy(F.desc(order) if scan.how == "first" else F.asc(order))
+    w = w.rowsBetween(Window.unboundedPreceding, 0 if scan.inclusive else -1)
+    if scan.how in ("first", "last"):
         return F.last(scan.value, ignorenulls=True).over(w)
-    if scan.how == "first":
-        return F.first(scan.value, ignorenulls=True).over(w)
     return getattr(F, scan.how)(scan.value).over(w)
 
 
@@ -54,12 +51,10 @@ def _cell_total(scan: Scan, order: str) -> Column:
 
 
 def _carry(scan: Scan, keys: Sequence[str]) -> Column:
-    w = Window.partitionBy(*keys).orderBy(_CELL)
-    total = F.col(f"__t_{scan.name}")
-    if scan.how == "first":
-        return F.first(total, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys).orderBy(F.desc(_CELL) if scan.how == "first" else F.asc(_CELL))
     w = w.rowsBetween(Window.unboundedPreceding, -1)
-    if scan.how == "last":
+    total = F.col(f"__t_{scan.name}")
+    if scan.how in ("first", "last"):
         return F.last(total, ignorenulls=True).over(w)
     return getattr(F, scan.how)(total).over(w)
 

@@ -8,41 +8,50 @@ from pyspark.sql import functions as F
 from cutlake.operators.scan import Scan, chunked_scan
 
 
+# Folder, prefix, last digits and extension of a numbered file; everything up to the last slash is the folder.
+_NUMBERED = r"^((?:[^/]*/)*+)(.*?)([0-9]+)\.([^.]*)$"
+_MARK = "\0"
+
+
 def parse_sequence_names(listing: DataFrame) -> DataFrame:
-    """Numbered picture files: folder, prefix, digits, extension and the pattern string."""
-    name = F.element_at(F.split("path", "/"), -1)
-    parts = listing.withColumn("__name", name).withColumns(
-        {
-            "folder": F.expr("substr(path, 1, length(path) - length(__name))"),
-            "stem": F.regexp_extract("__name", r"^(.+)\.([^.]*)$", 1),
-            "ext": F.regexp_extract("__name", r"^(.+)\.([^.]*)$", 2),
-        }
-    )
-    parts = parts.where(F.col("stem") != "").withColumn("digits", F.regexp_extract("stem", r"([0-9]+)$", 1))
-    parts = parts.where(F.col("digits") != "").withColumns(
-        {
-            "prefix": F.expr("substr(stem, 1, length(stem) - length(digits))"),
-            "pad": F.length("digits"),
-            "frame": F.col("digits").try_cast("bigint"),
-        }
-    )
-    parts = parts.where(F.col("frame").isNotNull())
-    pattern = F.concat("prefix", F.lit("{:0"), F.col("pad").cast("string"), F.lit("}.."), "ext")
-    return parts.withColumn("pattern", pattern).drop("__name", "stem", "digits")
+    """Numbered picture files: folder, prefix, digits, extension and the pattern string.
+
+    A path is matched once: its parts leave the explode as one array, past which no filter or
+    projection can repeat the match.
+    """
+    parts = F.split(F.regexp_replace("path", _NUMBERED, _MARK.join(("$1", "$2", "$3", "$4"))), _MARK)
+    found = listing.select("*", F.explode_outer(F.array(parts)).alias("__parts")).where(F.size("__parts") == 4)
+    part = lambda i: F.get("__parts", F.lit(i))
+    named = found.select(
+        *listing.columns, part(0).alias("folder"), part(3).alias("ext"), part(1).alias("prefix"), F.length(part(2)).alias("pad"),
+        part(2).try_cast("bigint").alias("frame"),
+    ).where(F.col("frame").isNotNull())
+    return named.withColumn("pattern", _pattern())
+
+
+def _pattern() -> Column:
+    return F.concat("prefix", F.lit("{:0"), F.col("pad").cast("string"), F.lit("}.."), "ext")
 
 
 def image_sequences(listing: DataFrame) -> DataFrame:
-    """Runs of consecutive frame numbers per sequence, with the frames missing before each."""
-    key = ["folder", "prefix", "pad", "ext", "pattern"]
+    """Runs of consecutive frame numbers per sequence, with the frames missing before each.
+
+    One scan finds the frames at which a run starts or ends; a second one, over these few,
+    gives each start its end.
+    """
+    key = ["folder", "prefix", "pad", "ext"]
     frames = parse_sequence_names(listing).select(*key, "frame").distinct()
-    seen = chunked_scan(frames, key, "frame", [Scan("before", "last", F.col("frame"), inclusive=False)])
-    heads = seen.where(F.col("before").isNull() | (F.col("frame") > F.col("before") + 1))
-    heads = chunked_scan(heads, key, "frame", [Scan("next_before", "first", F.col("before"), inclusive=False)])
-    last = frames.groupBy(*key).agg(F.max("frame").alias("last"))
-    return heads.join(last, key).select(
+    near = [Scan("before", "last", F.col("frame"), inclusive=False), Scan("after", "first", F.col("frame"), inclusive=False)]
+    seen = chunked_scan(frames, key, "frame", near)
+    starts = F.col("before").isNull() | (F.col("frame") > F.col("before") + 1)
+    ends = F.col("after").isNull() | (F.col("after") > F.col("frame") + 1)
+    edges = seen.select(*key, "frame", "before", starts.alias("starts"), ends.alias("ends")).where("starts or ends")
+    edges = chunked_scan(edges, key, "frame", [Scan("next", "first", F.col("frame"), inclusive=False)])
+    return edges.where("starts").select(
         *key,
+        _pattern().alias("pattern"),
         F.col("frame").alias("first_frame"),
-        F.coalesce("next_before", "last").alias("last_frame"),
+        F.when(F.col("ends"), F.col("frame")).otherwise(F.col("next")).alias("last_frame"),
         F.coalesce(F.col("frame") - F.col("before") - 1, F.lit(0)).alias("missing_before"),
     )
 
