@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cutlake.operators.asof import asof_neighbours
 from cutlake.operators.quantiles import median_of, nearest_rank, order_statistics, upper_median_rank
+from cutlake.operators import rangejoin
 from cutlake.operators.rangejoin import overlapping_intervals, points_in_intervals
 from cutlake.operators.scan import Scan, chunked_scan, ranked
 
@@ -99,6 +100,30 @@ def test_range_joins_match_brute_force(spark, width, long_width):
     assert sorted((r.id, r.id2) for r in pairs.collect()) == want
 
 
+@pytest.mark.parametrize("width", [1, 16, 1000, 1 << 19, 1 << 40])
+def test_intervals_of_every_length(spark, width):
+    """From one tick to half the axis: two buckets each at most, and the same pairs as brute force."""
+    rng = random.Random(width)
+    spans = [(0, i, lo, lo + (1 << e) + d) for i, (e, d) in enumerate((e, d) for e in range(0, 61, 3) for d in (-1, 0, 1)) for lo in [rng.randint(-(1 << 60), 1 << 60)]]
+    spans += [(0, 900, -5, 1 << 36), (0, 901, 7, 7), (0, 902, 9, 3), (1, 903, 0, 1 << 36), (0, 904, 0, 1 << 62)]
+    spans += [(0, 905, None, 5), (0, 906, 5, None)]
+    good = [s for s in spans if None not in s[2:] and s[2] < s[3]]
+    points = [(0, i, t) for i, t in enumerate(x for s in good[:40] for x in (s[2], s[3], s[3] - 1))] + [(1, 901, 5)]
+    iv = spark.createDataFrame(spans, "k int, id int, lo bigint, hi bigint")
+    level = rangejoin._class(F.col("lo"), F.col("hi"), width)
+    cells = iv.where("lo < hi").select("lo", "hi", F.size(rangejoin._cells(F.col("lo"), F.col("hi"), level, width)).alias("n"))
+    assert cells.where(f"hi - lo <= {1 << 50}").agg(F.max("n")).first()[0] <= 2
+    # There is no class beyond 2^60 ticks.
+    assert cells.agg(F.max("n")).first()[0] <= 5
+    got = points_in_intervals(spark.createDataFrame(points, "k int, pid int, t bigint"), iv, ["k"], "t", "lo", "hi", width=width)
+    want = sorted((p, i) for k, p, t in points for k2, i, lo, hi in good if k == k2 and lo <= t < hi)
+    assert sorted((r.pid, r.id) for r in got.collect()) == want
+    other = iv.where("id % 2 = 0").select("k", F.col("id").alias("id2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = overlapping_intervals(iv, other, ["k"], ("lo", "hi"), ("lo2", "hi2"), width=width)
+    want = sorted((a, b) for k, a, lo, hi in good for k2, b, lo2, hi2 in good if b % 2 == 0 and k == k2 and lo < hi2 and lo2 < hi)
+    assert sorted((r.id, r.id2) for r in pairs.collect()) == want
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_neighbours(spark, strict):
     rng = random.Random(3)
