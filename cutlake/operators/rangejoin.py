@@ -4,9 +4,9 @@ Spark plans a bare ``lo <= t AND t < hi`` as a nested-loop join. Cutting the tim
 axis into buckets turns it into a hash/merge join on (keys, bucket) plus a residual
 filter, which adaptive execution can split when a bucket is hot.
 
-Every interval lies on the grid of its own length class: class g has buckets of
-``width * 4**g`` ticks, and an interval that long at most, so it touches two buckets,
-however long it is. A point is looked up on the grids of the classes that occur, which a
+Every interval lies on the grid of its own length class. Class 0 has buckets of ``width``
+ticks and intervals of up to 8 of them; beyond, class g has buckets of ``8 * width * 4**g``
+and intervals that long at most, so they touch two, however long they are. A point is looked up on the grids of the classes that occur, which a
 scalar subquery of the same query finds; an interval that meets intervals is copied to
 its own grid and the coarser ones of the other side. ``long_width`` asks for two grids
 of given widths instead: intervals over 64 buckets lie on the coarser one.
@@ -31,9 +31,9 @@ def _buckets(lo: Column, hi: Column, width: int) -> Column:
 
 
 def _class(lo: Column, hi: Column, width: int) -> Column:
-    """Length class of [lo, hi): the least one whose buckets are that long."""
-    top = (62 - width.bit_length()) // 2
-    steps = F.ceil(F.log2((hi - lo) / F.lit(width)) / 2)
+    """Length class of [lo, hi)."""
+    top = (59 - width.bit_length()) // 2
+    steps = F.ceil(F.log2((hi - lo) / F.lit(width)) / 2 - 1.5)
     return F.least(F.greatest(steps, F.lit(0)), F.lit(top)).cast("int")
 
 
@@ -43,7 +43,7 @@ def _cell(value: Column, level: Column, width: int) -> Column:
 
 
 def _size(level: Column, width: int) -> Column:
-    return F.call_function("shiftleft", F.lit(width).cast("bigint"), 2 * level)
+    return F.call_function("shiftleft", F.lit(width).cast("bigint"), F.when(level > 0, 2 * level + 3).otherwise(0))
 
 
 def _cells(lo: Column, hi: Column, level: Column, width: int) -> Column:
@@ -51,7 +51,7 @@ def _cells(lo: Column, hi: Column, level: Column, width: int) -> Column:
 
 
 def _classes(df: DataFrame, lo: str, hi: str, width: int) -> Column:
-    """The length classes that occur in a table: 22 at most."""
+    """The length classes that occur in a table: 30 at most."""
     spans = df.where(F.col(lo) < F.col(hi))
     return spans.select(F.collect_set(_class(F.col(lo), F.col(hi), width))).scalar()
 
