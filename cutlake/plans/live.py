@@ -79,6 +79,22 @@ def _(lib):
     return _ntz(out.withColumn("rms_ns", rounded(F.col("rms_ns"), 2)), "window_start", "window_end")
 
 
+# The ratio is to the mean over the windows of the session that started earlier.
+_DRIFT = (
+    f"dr AS (SELECT * FROM (SELECT w AS window_start, w + INTERVAL 7200 SECOND AS window_end, session_id, count(*) AS pairs, sqrt(avg(CAST(e AS DOUBLE) * e)) AS rms FROM (SELECT *, {_win(3600)} - to_seconds(k * 3600) AS w FROM ev, (SELECT unnest(range(2)) AS k)) GROUP BY ALL) WHERE {_closed('window_end', 30)}), "
+    "ba AS (SELECT *, row_number() OVER o - 1 AS earlier, avg(rms) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM dr WINDOW o AS (PARTITION BY session_id ORDER BY window_start))"
+)
+
+
+@q("r2_drift_against_baseline", "av_samples",
+   "SELECT window_start, window_end, session_id, pairs, round(rms, 2) AS rms_ns, earlier, round(base, 2) AS baseline_ns, round(CASE WHEN base > 0 THEN rms / base END, 6) AS ratio FROM ba", f"{_ERR}, {_DRIFT}")
+def _(lib):
+    monitors.use_state_store(lib.spark)
+    out = drained(lib, monitors.drift_against_baseline(events(lib, *_AV), "7200 seconds", "3600 seconds", keep_s=10_000_000), "r2b")
+    figures = {"rms_ns": rounded(F.col("rms_ns"), 2), "baseline_ns": rounded(F.col("baseline_ns"), 2), "ratio": rounded(F.col("ratio"), 6)}
+    return _ntz(out.withColumns(figures), "window_start", "window_end")
+
+
 @q("r3_playback_sessions", "av_samples",
    "SELECT session_id, min(ts) AS session_start, max(ts) + INTERVAL 7200 SECOND AS session_end, CAST(count(*) FILTER (a = 'p') AS BIGINT) AS presented, CAST(count(*) FILTER (a = 'h') AS BIGINT) AS held, CAST(count(*) FILTER (a = 'd') AS BIGINT) AS dropped FROM "
    "(SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY ts) AS sess, CASE WHEN e < -33366666 THEN 'd' WHEN e > 8333333 THEN 'h' ELSE 'p' END AS a FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY session_id ORDER BY ts) + INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS n FROM ev)) "

@@ -72,6 +72,54 @@ def drift_trend(
     return _bounds(out)
 
 
+class _Baseline(StatefulProcessor):
+    """Mean of a session's earlier windows, forgotten once the watermark is ``keep_ms`` past the last of them."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, total double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # One row per window that has closed since the last batch; later batches hold later windows.
+        windows = pd.concat(list(rows)).sort_values("window_start")
+        n, total = self.seen.get() if self.seen.exists() else (0, 0.0)
+        earlier = n + np.arange(len(windows))
+        sums = total + windows["rms_ns"].cumsum() - windows["rms_ns"]
+        base = np.where(earlier > 0, sums / np.maximum(earlier, 1), np.nan)
+        ratio = np.where(base > 0, windows["rms_ns"] / np.where(base > 0, base, 1.0), np.nan)
+        self.seen.update((int(n + len(windows)), float(total + windows["rms_ns"].sum())))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(windows["end_ms"].iloc[-1]) + self.keep_ms)
+        known = windows[["window_start", "window_end", "session_id", "pairs", "rms_ns"]].assign(earlier=earlier)
+        blank = lambda values: pd.Series(values, dtype="float64").astype("object").where(~np.isnan(values), None)
+        yield known.reset_index(drop=True).assign(baseline_ns=blank(base), ratio=blank(ratio))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+
+def drift_against_baseline(
+    stream: DataFrame, width: str = "60 seconds", step: str = "10 seconds", delay: str = "30 seconds", keep_s: int = 86_400
+) -> DataFrame:
+    """``drift_trend`` with each window's ratio to the mean of the session's earlier windows.
+
+    ``earlier`` counts those; a first window, or one after only silent ones, has no ratio. A
+    session that closes no window for ``keep_s`` seconds of event time starts anew.
+    """
+    windows = drift_trend(stream, width, step, delay).withColumn("end_ms", F.unix_millis("window_end"))
+    return windows.groupBy("session_id").transformWithStateInPandas(
+        _Baseline(keep_s * 1000),
+        "window_start timestamp, window_end timestamp, session_id bigint, pairs bigint, rms_ns double, earlier bigint, baseline_ns double, ratio double",
+        "Append",
+        "EventTime",
+    )
+
+
 def playback_sessions(stream: DataFrame, gap: str, vsync_ns: int, delay: str = "30 seconds") -> DataFrame:
     """Stretches of playback without a pause of ``gap``, with what became of the frames.
 
