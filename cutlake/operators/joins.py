@@ -218,6 +218,20 @@ def linked_clips(clips: DataFrame) -> DataFrame:
     return pairs.where(F.col("track_id") != F.col("linked_track_id"))
 
 
+def link_groups(clips: DataFrame) -> DataFrame:
+    """Each linked clip once, with its group: project_id, clip_id, track_id, link_id and n_clips.
+
+    A group holds the clips of a project with one source and start, on two tracks at least; its
+    id is the smallest clip id. It says what ``linked_clips`` says, in one row a clip instead
+    of one a pair, however many clips are linked.
+    """
+    key = ["project_id", "source_id", "pts_in"]
+    groups = clips.groupBy(*key).agg(
+        F.min("clip_id").alias("link_id"), F.count(F.lit(1)).alias("n_clips"), F.min("track_id").alias("__low"), F.max("track_id").alias("__high")
+    ).where("__low <> __high")
+    return clips.join(groups, key).select("project_id", "clip_id", "track_id", "link_id", "n_clips")
+
+
 _LAST = (1 << 63) - 1
 
 

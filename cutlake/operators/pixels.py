@@ -6,15 +6,18 @@ evaluate generated expressions; the partitioning by picture is kept between them
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlake.functions import colour as cx
 from cutlake.functions.arith import clamp, idiv
 from cutlake.operators.quantiles import nearest_rank, order_statistics
-from cutlake.operators.windows import gaussian_lines
+from cutlake.operators.windows import gaussian_lines, map_lines
 
 FRAME = ("frame_id",)
 
@@ -699,15 +702,55 @@ def grade_enabled(pixels: DataFrame, state: DataFrame, keys: Sequence[str]) -> D
     return _keep(out.withColumns({c: F.when(flag, F.col(c)).otherwise(F.col(f"__{c}")) for c in "rgb"}), pixels)
 
 
-def register_effect(name: str, fn) -> None:
-    """Make a custom effect ``fn(pixels, params) -> pixels`` available by name."""
-    CUSTOM_EFFECTS[name] = fn
+class CustomEffect(NamedTuple):
+    """A user's effect: ``lines`` is None for one on columns, else the axis along which lines run."""
 
+    fn: Callable
+    lines: str | None
 
-CUSTOM_EFFECTS: dict = {}
 
+CUSTOM_EFFECTS: dict[str, CustomEffect] = {}
 
-def apply_effect(name: str, pixels: DataFrame, params: DataFrame) -> DataFrame:
-    """Run a registered effect; an unknown name changes nothing."""
-    fn = CUSTOM_EFFECTS.get(name)
-    return pixels if fn is None else _keep(fn(pixels, params), pixels)
+
+def register_effect(name: str, fn: Callable, lines: str | None = None) -> None:
+    """Make a custom effect available by name.
+
+    Without ``lines`` it is a plan: ``fn(pixels, params) -> pixels``. With ``lines`` 'x' or 'y' it
+    is run on whole picture lines, in order along that axis: ``fn(line, params) -> line``,
+    where a line is a dict of equally long arrays r, g, b and a, and params a dict of the
+    picture's row. The function itself goes to the workers, which know no names.
+    """
+    if lines not in (None, "x", "y"):
+        raise ValueError(f"no axis {lines!r}")
+    CUSTOM_EFFECTS[name] = CustomEffect(fn, lines)
+
+
+def apply_effect(name: str, pixels: DataFrame, params: DataFrame, picture: Sequence[str] = ("frame_id",)) -> DataFrame:
+    """Run a registered effect; an unknown name changes nothing.
+
+    ``params`` has the ``picture`` columns and one row per picture at most; a line effect
+    leaves pictures without one alone.
+    """
+    effect = CUSTOM_EFFECTS.get(name)
+    if effect is None:
+        return pixels
+    if effect.lines is None:
+        return _keep(effect.fn(pixels, params), pixels)
+    fn, names = effect.fn, [c for c in params.columns if c not in picture]
+    with_params = params.select(*picture, F.struct(*names).alias("__params") if names else F.struct(F.lit(True).alias("on")).alias("__params"))
+
+    def change(t: pa.Table, first: np.ndarray) -> pa.Table:
+        columns = {c: np.array(t[c].to_numpy(), copy=True) for c in "rgba"}
+        held = t["__params"]
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), t.num_rows], strict=True):
+            values = held[lo].as_py()
+            if values is None:
+                continue
+            made = fn({c: v[lo:hi] for c, v in columns.items()}, values)
+            for c, v in made.items():
+                columns[c][lo:hi] = v
+        for c, v in columns.items():
+            t = t.set_column(t.column_names.index(c), c, pa.array(v, t.schema.field(c).type))
+        return t
+
+    return _keep(map_lines(pixels.join(with_params, list(picture), "left"), change, effect.lines, picture), pixels)

@@ -89,26 +89,82 @@ def normalise_rates(df: DataFrame, num: str = "num", den: str = "den") -> Pair:
 
 
 _SMALLEST = -(1 << 63)
+_LARGEST = (1 << 63) - 1
 
 
-def combine_rates(df: DataFrame) -> DataFrame:
-    """Sum and product of ``a_num/a_den`` and ``b_num/b_den``, in lowest terms.
+def _wide_gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of 38-digit integers; 183 remainder steps are enough."""
+    start = F.struct(a.cast(WIDE).alias("a"), b.cast(WIDE).alias("b"))
+    step = F.aggregate(
+        F.sequence(F.lit(1), F.lit(183)),
+        start,
+        lambda s, _: F.when(
+            s["b"] != 0, F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast(WIDE))).cast(WIDE).alias("b"))
+        ).otherwise(s),
+    )
+    return step["a"]
 
-    NULL where a part is missing or zero below the line, or an unreduced product is over 64 bits.
-    """
 
-    def reduced(n: Column, d: Column, name: str) -> dict[str, Column]:
-        fits = (n != _SMALLEST) & (d != _SMALLEST) & (d != 0)
-        n, d = F.when(fits, n), F.when(fits, d)
-        g = _gcd(F.abs(n), F.abs(d)) * F.when(d < 0, -1).otherwise(1)
-        return {f"{name}_num": idiv(n, g), f"{name}_den": idiv(d, g)}
+def combine_rates(df: DataFrame) -> DataFrame:
+    """Sum and product of ``a_num/a_den`` and ``b_num/b_den``, in lowest terms, and an ``error``.
 
+    Only what doesn't fit 64 bits in lowest terms is NULL (error ``Overflow``), as are results
+    of a missing part (``MissingPart``) or a zero below the line (``ZeroDenominator``). Terms
+    are reduced crosswise before they are multiplied, and wide where they still pass 64 bits.
+    """
     an, ad, bn, bd = (F.col(c) for c in ("a_num", "a_den", "b_num", "b_den"))
-    times, plus = F.try_multiply, F.try_add
-    below = times(ad, bd)
-    return df.withColumns(
-        {**reduced(plus(times(an, bd), times(bn, ad)), below, "sum"), **reduced(times(an, bn), below, "product")}
+    missing = an.isNull() | ad.isNull() | bn.isNull() | bd.isNull()
+    zero = (ad == 0) | (bd == 0)
+    smallest = (an == _SMALLEST) | (ad == _SMALLEST) | (bn == _SMALLEST) | (bd == _SMALLEST)
+    usable = ~(missing | zero | smallest)
+    safe = [F.when(usable, p) for p in (an, ad, bn, bd)]
+    size = [F.abs(p) for p in safe]
+    # One struct behind an explode, so that no divisor is worked out twice.
+    divisors = F.struct(_gcd(size[0], size[1]).alias("a"), _gcd(size[2], size[3]).alias("b"))
+    step = df.select("*", F.explode_outer(F.array(divisors)).alias("__g"))
+    low = [idiv(p, F.col(f"__g.{side}")) for p, side in zip(safe, "aabb", strict=True)]
+    low = F.struct(*[p.alias(n) for p, n in zip(low, ("an", "ad", "bn", "bd"), strict=True)])
+    step = step.select("*", F.explode_outer(F.array(low)).alias("__l"))
+    an, ad, bn, bd = (F.col(f"__l.{c}") for c in ("an", "ad", "bn", "bd"))
+    cross = F.struct(_gcd(F.abs(an), F.abs(bd)).alias("x"), _gcd(F.abs(bn), F.abs(ad)).alias("y"), _gcd(F.abs(ad), F.abs(bd)).alias("d"))
+    step = step.select("*", F.explode_outer(F.array(cross)).alias("__c"))
+    x, y, d = (F.col(f"__c.{c}") for c in "xyd")
+    times = lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast(WIDE)
+    sums = F.struct(
+        F.try_add(times(an, idiv(bd, d)), times(bn, idiv(ad, d))).cast(WIDE).alias("n"), times(ad, idiv(bd, d)).alias("d"),
+        times(idiv(an, x), idiv(bn, y)).alias("pn"), times(idiv(ad, y), idiv(bd, x)).alias("pd"),
     )
+    step = step.select("*", F.explode_outer(F.array(sums)).alias("__s"))
+    small = (F.abs("__s.n") <= _LARGEST) & (F.abs("__s.d") <= _LARGEST)
+    common = F.when(small, _gcd(F.abs("__s.n"), F.abs("__s.d")).cast(WIDE)).otherwise(_wide_gcd(F.abs("__s.n"), F.abs("__s.d")))
+    step = step.select("*", F.explode_outer(F.array(common)).alias("__k"))
+    exact = {"sum": (_quotient("__s.n", "__k"), _quotient("__s.d", "__k")), "product": (F.col("__s.pn"), F.col("__s.pd"))}
+    exact = F.struct(*[part.alias(f"{name}_{at}") for name, pair in exact.items() for at, part in zip(("num", "den"), pair, strict=True)])
+    step = step.select("*", F.explode_outer(F.array(exact)).alias("__e"))
+    out = {}
+    for name in ("sum", "product"):
+        n, below = F.col(f"__e.{name}_num"), F.col(f"__e.{name}_den")
+        fits = (F.abs(n) <= _LARGEST) & (F.abs(below) <= _LARGEST)
+        sign = F.when(below < 0, -1).otherwise(1)
+        out |= {f"{name}_{at}": F.when(fits, part).cast("bigint") * sign for at, part in (("num", n), ("den", below))}
+    found = step.select(*df.columns, *[c.alias(k) for k, c in out.items()])
+    lost = F.col("sum_num").isNull() | F.col("product_num").isNull()
+    error = F.when(missing, "MissingPart").when(zero, "ZeroDenominator").when(smallest | lost, "Overflow")
+    return found.withColumn("error", error)
+
+
+def _quotient(value: str, divisor: str) -> Column:
+    """64-bit quotient of 38-digit integers that divide, NULL where it doesn't fit.
+
+    ``div`` gives 64 bits and fails beyond, so the size is known before: from doubles, and
+    near the limit from the exact distance to a base just below it.
+    """
+    base = _LARGEST - _LARGEST % 1_000_000
+    v, d = F.abs(value), F.col(divisor)
+    about = v.cast("double") / F.nullif(d, F.lit(0).cast(WIDE)).cast("double")
+    above = F.call_function("div", (v - (d * F.lit(base).cast("decimal(19,0)")).cast(WIDE)).cast(WIDE), d)
+    q = F.when(about < 9.2e18, F.call_function("div", v, d)).when(about < 9.3e18, F.when(above <= _LARGEST - base, above + base))
+    return F.when(F.col(value) < 0, -q).otherwise(q)
 
 
 _TC_PART = r"(?:[0-9]{2}|\+[0-9])"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,45 @@ def gaussian_weights(radius: float, sigma: float) -> list[float]:
     return [math.exp(-(i * i) / (2.0 * s * s)) for i in range(-r, r + 1)]
 
 
+def map_lines(
+    pixels: DataFrame, change: Callable[[pa.Table, np.ndarray], pa.Table], axis: str, picture: Sequence[str] = ("frame_id",)
+) -> DataFrame:
+    """``change`` of whole picture lines along ``axis`` ('x' or 'y'), many at a time.
+
+    It gets rows of whole lines, each in order, and where each line starts, and returns as many
+    rows with the same columns. Lines are dealt to tasks by picture and line, so the unit
+    of work is one line, and a task holds an Arrow batch and a line at once.
+    """
+    along, across = ("x", "y") if axis == "x" else ("y", "x")
+    line_keys = [*picture, across]
+
+    def starts(t: pa.Table) -> np.ndarray:
+        change = np.zeros(max(t.num_rows - 1, 0), dtype=bool)
+        for key in line_keys:
+            v = t[key].to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.flatnonzero(np.concatenate([[True], change]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by line; a line cut by a batch end waits for the next batch.
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            t = part if rest is None else pa.concat_tables([rest, part])
+            if not t.num_rows:
+                continue
+            first = starts(t)
+            cut = int(first[-1])
+            if cut:
+                yield from change(t.slice(0, cut), first[:-1]).to_batches()
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from change(rest, starts(rest)).to_batches()
+
+    lines = pixels.repartition(*line_keys).sortWithinPartitions(*line_keys, along)
+    return lines.mapInArrow(run, pixels.schema)
+
+
 def gaussian_lines(
     pixels: DataFrame, radius: float | str, sigma: float | str, axis: str, picture: Sequence[str] = ("frame_id",)
 ) -> DataFrame:
@@ -141,23 +180,13 @@ def gaussian_lines(
     Radius and sigma are numbers or columns constant over a picture; a NULL radius
     leaves the picture alone. The unit of work is one picture line.
     """
-    along, across = ("x", "y") if axis == "x" else ("y", "x")
-    line_keys = [*picture, across]
 
     def param(t: pa.Table, value: float | str) -> np.ndarray:
         if isinstance(value, str):
             return t[value].cast(pa.float64()).fill_null(float("nan")).to_numpy()
         return np.full(t.num_rows, float(value))
 
-    def starts(t: pa.Table) -> np.ndarray:
-        change = np.zeros(max(t.num_rows - 1, 0), dtype=bool)
-        for key in line_keys:
-            v = t[key].to_numpy()
-            change |= v[1:] != v[:-1]
-        return np.flatnonzero(np.concatenate([[True], change]))
-
-    def blurred(t: pa.Table) -> pa.Table:
-        first = starts(t)
+    def blurred(t: pa.Table, first: np.ndarray) -> pa.Table:
         last = np.concatenate([first[1:], [t.num_rows]]) - 1
         lo, hi = (np.repeat(e, last - first + 1) for e in (first, last))
         radii, sigmas = param(t, radius), param(t, sigma)
@@ -178,20 +207,4 @@ def gaussian_lines(
         keep = {n: t[n] for n in t.column_names if n not in columns}
         return pa.table({**keep, **columns}).select(t.column_names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by line; a line cut by a batch end waits for the next batch.
-        rest = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            t = part if rest is None else pa.concat_tables([rest, part])
-            if not t.num_rows:
-                continue
-            cut = int(starts(t)[-1])
-            if cut:
-                yield from blurred(t.slice(0, cut)).to_batches()
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from blurred(rest).to_batches()
-
-    lines = pixels.repartition(*line_keys).sortWithinPartitions(*line_keys, along)
-    return lines.mapInArrow(run, pixels.schema)
+    return map_lines(pixels, blurred, axis, picture)

@@ -332,6 +332,13 @@ def _(lib):
     return joins.linked_clips(lib.strip).select("project_id", "clip_id", "linked_clip_id")
 
 
+@q("j11_link_groups", "strip",
+   "SELECT project_id, clip_id, track_id, link_id, n_clips FROM (SELECT project_id, clip_id, track_id, min(clip_id) OVER g AS link_id, count(*) OVER g AS n_clips, min(track_id) OVER g AS low, max(track_id) OVER g AS high "
+   "FROM strip WINDOW g AS (PARTITION BY project_id, source_id, pts_in)) WHERE low <> high")
+def _(lib):
+    return joins.link_groups(lib.strip)
+
+
 _SNAP = (
     "fr AS (SELECT project_id, clip_id, pts_in, (pts_in + 1500) // 3000 AS i, (pts_out + 1500) // 3000 AS o FROM strip), "
     "mv AS (SELECT project_id, clip_id, i + clip_id % 13 AS n, o - i AS d, (clip_id * 7) % 3000 AS ph, clip_id % 6 + 1 AS th FROM fr), "

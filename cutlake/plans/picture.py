@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -490,3 +491,35 @@ def _render_sql() -> str:
 def _(lib):
     state = lib.raw("embeddings").selectExpr(*_STATE)
     return out(px.render_clips(lib.pixels, state, ["frame_id"]))
+
+
+# --- custom effects ----------------------------------------------------------
+
+_PRESS = ("vec_id AS frame_id", "(vec_id % 3) / 2e0 AS amount")
+
+
+def press(pixels: DataFrame, params: DataFrame) -> DataFrame:
+    """A custom effect on columns: colours drawn towards the pixel's largest."""
+    top = F.greatest("r", "g", "b")
+    return pixels.join(params, "frame_id").withColumns({c: F.col(c) + (top - F.col(c)) * F.col("amount") for c in "rgb"})
+
+
+def smear(line: dict, params: dict) -> dict:
+    """A custom effect on lines: the brightest value so far, faded in by ``amount``."""
+    return {c: line[c] + (np.maximum.accumulate(line[c]) - line[c]) * params["amount"] for c in "rgb"}
+
+
+@q("p16_custom_column_effect", "pixels", f"SELECT {shown('r + (m - r) * amount', 'g + (m - g) * amount', 'b + (m - b) * amount')} FROM (SELECT *, greatest(r, g, b) AS m FROM pixels JOIN pr USING (frame_id))", f"pr AS (SELECT {', '.join(_PRESS)} FROM embeddings)")
+def _(lib):
+    px.register_effect("press", press)
+    return out(px.apply_effect("press", lib.pixels, lib.raw("embeddings").selectExpr(*_PRESS)))
+
+
+_SOFAR = ", ".join(f"max({c}) OVER (PARTITION BY frame_id, x ORDER BY y) AS m{c}" for c in "rgb")
+
+
+@q("p16_custom_line_effect", "pixels", f"SELECT {shown('r + (mr - r) * amount', 'g + (mg - g) * amount', 'b + (mb - b) * amount')} FROM (SELECT *, {_SOFAR} FROM pixels LEFT JOIN pr USING (frame_id))",
+   f"pr AS (SELECT {', '.join(_PRESS)} FROM embeddings)")
+def _(lib):
+    px.register_effect("smear", smear, lines="y")
+    return out(px.apply_effect("smear", lib.pixels, lib.raw("embeddings").selectExpr(*_PRESS)))
