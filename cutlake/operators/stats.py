@@ -287,12 +287,14 @@ def node_timings(brackets: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFr
         pick(F.col("what") == -1, "median").alias("frame_total_ms"),
         pick(F.col("what") > 0, "median").alias("__hi"),
         F.min(F.when(F.col("what") > 0, F.col("median"))).alias("__lo"),
+        # At most one value per bracket of a frame: an exact median in place.
+        F.median(F.when(F.col("what") > 0, F.col("median"))).alias("__mid"),
+        F.count(F.when(F.col("what") > 0, F.col("median"))).alias("per_frame"),
     )
-    mid = median_of(med.where("what > 0"), key, "median", "__mid").withColumnRenamed("n", "per_frame")
     pct = F.when(
         (F.col("per_frame") >= 2) & (F.col("__mid") > 0), (F.col("__hi") - F.col("__lo")) / F.col("__mid") * 100
     )
-    out = pooled.join(mid, key).withColumn("instance_spread_pct", pct).drop("__hi", "__lo", "__mid")
+    out = pooled.where("per_frame > 0").withColumn("instance_spread_pct", pct).drop("__hi", "__lo", "__mid")
     return out.withColumn("uneven", F.coalesce(F.col("instance_spread_pct") > SPREAD_WARN_PCT, F.lit(False)))
 
 
