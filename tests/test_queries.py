@@ -15,7 +15,8 @@ DATA = os.environ.get("CUTLAKE_DATA", "/root/testdata/sf0.001")
 SAMPLE = (
     "f1_active_tracks f7_resolve_color j1_active_at j4_eval_keyframes j5_nearest_marker j12_snap_targets a1_stage_stats a6_mad_outliers "
     "a14_peak_overlap w5_repair_dts t1_frame_manifest t4_reorder_tracks o2_interval_subtract d6_parse_timecode d8_frame_grid e2_insert_overwrite "
-    "e6_split_clips e8_ripple_insert s1_read_projects_clips s7_snapshot_sink n1_image_sequences u2_mix_timeline p4_convert_color p13_composite r1_sync_monitor"
+    "e6_split_clips e8_ripple_insert s1_read_projects_clips s7_snapshot_sink n1_image_sequences u2_mix_timeline p4_convert_color p13_composite r1_sync_monitor "
+    "s1_read_projects_fields s2_write_projects_orphans j3_overlap_join j11_link_groups e8_ripple_insert_keyframes p16_custom_line_effect r2_drift_against_baseline"
 ).split()
 NAMES = [n for n in entry.oracle_sql() if os.environ.get("CUTLAKE_ALL") or n in SAMPLE]
 
