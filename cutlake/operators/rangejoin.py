@@ -10,6 +10,9 @@ and intervals that long at most, so they touch two, however long they are. A poi
 scalar subquery of the same query finds; an interval that meets intervals is copied to
 its own grid and the coarser ones of the other side. ``long_width`` asks for two grids
 of given widths instead: intervals over 64 buckets lie on the coarser one.
+
+Spark does not see that a side grows where it is dealt to buckets, nor where the caller exploded it,
+and would broadcast a side of any size. Both joins therefore ask for a merge join.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def points_in_intervals(
     left = points.select("*", F.inline(places)).drop("__classes")
     on = [*keys, "__g", "__b"]
     hit = (F.col(lo) <= F.col(t)) & (F.col(t) < F.col(hi))
-    return left.join(right, on).where(hit).drop("__b", "__g")
+    return left.hint("merge").join(right, on).where(hit).drop("__b", "__g")
 
 
 def overlapping_intervals(
@@ -127,4 +130,4 @@ def overlapping_intervals(
         & (F.col("__g") == F.greatest("__ga", "__gb"))
         & (_cell(F.greatest(a_lo, b_lo), F.col("__g"), width) == F.col("__b"))
     )
-    return left.join(right, [*keys, "__g", "__b"]).where(hit).drop("__g", "__b", "__ga", "__gb")
+    return left.hint("merge").join(right, [*keys, "__g", "__b"]).where(hit).drop("__g", "__b", "__ga", "__gb")

@@ -140,3 +140,19 @@ def test_asof_neighbours(spark, strict):
         after = [t for t in mine if t > r.t or (t == r.t and not strict)]
         assert (r.prev.et if r.prev else None) == (max(before) if before else None)
         assert (r.next.et if r.next else None) == (min(after) if after else None)
+
+
+def _executed(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+@pytest.mark.parametrize("long_width", [None, 1 << 10])
+def test_an_exploded_side_is_not_broadcast(spark, long_width):
+    points = spark.range(4).select(F.col("id").alias("k"), F.explode(F.expr("sequence(0L, 999L)")).alias("t"))
+    spans = spark.range(4).selectExpr("id AS k", "100L AS lo", "350L AS hi")
+    hits = points_in_intervals(points, spans, ["k"], "t", "lo", "hi", width=16, long_width=long_width)
+    assert hits.count() == 1000 and "Broadcast" not in _executed(hits)
+    other = spans.selectExpr("k", "lo + 1 AS lo2", "hi AS hi2")
+    pairs = overlapping_intervals(spans, other, ["k"], ("lo", "hi"), ("lo2", "hi2"), width=16)
+    assert pairs.count() == 4 and "Broadcast" not in _executed(pairs)
