@@ -13,6 +13,8 @@ from cutlake.operators.quantiles import median_of, nearest_rank, order_statistic
 from cutlake.operators import rangejoin
 from cutlake.operators.rangejoin import overlapping_intervals, points_in_intervals
 from cutlake.operators.scan import Scan, chunked_scan, ranked
+from cutlake.operators.timejobs import frame_grid
+from cutlake.operators.windows import grid_uniform
 
 
 @pytest.mark.parametrize("cell", [1, 7, 64, 1 << 20])
@@ -156,3 +158,12 @@ def test_an_exploded_side_is_not_broadcast(spark, long_width):
     other = spans.selectExpr("k", "lo + 1 AS lo2", "hi AS hi2")
     pairs = overlapping_intervals(spans, other, ["k"], ("lo", "hi"), ("lo2", "hi2"), width=16)
     assert pairs.count() == 4 and "Broadcast" not in _executed(pairs)
+
+
+def test_a_frame_grid_is_not_broadcast(spark):
+    jobs = spark.range(1, 4).selectExpr(
+        "id AS job_id", "0L AS pts_in", "90000L * 400 AS pts_out", "25L AS fps_num", "1L AS fps_den"
+    )
+    out = grid_uniform(frame_grid(jobs).select("job_id", "frame", "pts"), jobs)
+    assert "SortMergeJoin" in _executed(out)
+    assert sorted(map(tuple, out.collect())) == [(i, 10_000, True, True, True) for i in (1, 2, 3)]
