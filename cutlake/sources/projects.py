@@ -9,6 +9,7 @@ its sections in ``projects`` ('clips/next_id', '/name of a top-level member').
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +97,19 @@ def _as_text(members: Column) -> Column:
     return F.transform_values(members, lambda k, v: F.to_json(v))
 
 
+def _once(value: Column) -> Column:
+    """To be exploded: filters, projections and lambdas above an explode can't repeat what made the value."""
+    return F.array(value)
+
+
 def _list(value: Column) -> Column:
     """The elements of a variant, null if it isn't an array."""
     return F.try_variant_get(value, "$", "array<variant>")
 
 
 def _element_members(lists: Column, n: Column) -> Column:
-    """For each of ``n`` elements the unknown lists' members (name to JSON text)."""
-    at = lambda i: F.transform_values(lists, lambda k, a: F.to_json(F.get(_list(a), i)))
+    """For each of ``n`` elements the members (name to JSON text) of the lists, a map of names to arrays."""
+    at = lambda i: F.transform_values(lists, lambda k, a: F.to_json(F.get(a, i)))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at))
 
 
@@ -124,8 +130,8 @@ def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).where(F.length("value") > 0)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    raw = files.select(F.from_json("value", _schema(), options).alias("d"), F.try_parse_json("value").alias("doc"), F.col("_metadata.file_path").alias("path"))
-    raw = raw.select("d.*", "doc", "path")
+    parsed = F.struct(F.from_json("value", _schema(), options).alias("d"), F.try_parse_json("value").alias("doc"))
+    raw = files.select(F.col("_metadata.file_path").alias("path"), F.explode(_once(parsed)).alias("p")).select("p.d.*", "p.doc", "path")
     broken = F.col("_corrupt_record").isNotNull() | F.col("format_version").isNull() | F.col("clips.ids").isNull() | F.col("doc").isNull()
     reason = F.when(broken, "Unreadable").when(F.col("format_version") > FORMAT_VERSION, "NewerFormat")
     raw = raw.withColumn("reason", reason)
@@ -169,8 +175,9 @@ def _rows(docs: DataFrame, section: str, arrays: Mapping[str, tuple[str, str]])
     """One row per element of the parallel lists of a section; absent ones give nulls."""
     lists = [F.coalesce(F.col(f"{section}.{name}"), F.array().cast(f"array<{typ}>")).alias(col) for name, (col, typ) in arrays.items()]
     members = _unknown(F.try_variant_get("doc", f"$.{section}", "map<string,variant>"), section)
-    unknown = F.map_filter(members, lambda k, v: _list(v).isNotNull())
-    more = F.coalesce(_element_members(unknown, F.size(f"{section}.ids")), F.array().cast(f"array<{_MORE}>"))
+    unknown = F.map_filter(F.transform_values(members, lambda k, v: _list(v)), lambda k, a: a.isNotNull())
+    docs = docs.select("project_id", section, F.explode(_once(unknown)).alias("unknown"))
+    more = F.coalesce(_element_members(F.col("unknown"), F.size(f"{section}.ids")), F.array().cast(f"array<{_MORE}>"))
     zipped = docs.select("project_id", *lists, more.alias("more"))
     return zipped.select("project_id", F.inline(F.arrays_zip(*[c for c in zipped.columns if c != "project_id"])))
 
@@ -195,8 +202,7 @@ def _object(members: Mapping[str, Column], more: Column | None = None) -> Column
 
 
 def _quoted(text: Column) -> Column:
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def _tagged(kind: Column, payload: Column) -> Column:
@@ -213,12 +219,12 @@ def _lists(rows: str, columns: Mapping[str, str], has_more: bool) -> tuple[dict[
     """The parallel lists of an array of rows: known ones by name, unknown ones as a map of JSON texts."""
     rows = F.coalesce(F.col(rows), F.array())
 
-    def value(column: str):
+    def listed(column: str) -> Column:
         if column == "kind":
-            return lambda r: r["kind_text"]
-        return lambda r: r[column] if column in JSON_COLUMNS else _text(r[column])
+            return _joined(rows["kind_text"])
+        return _joined(rows[column]) if column in JSON_COLUMNS else F.to_json(rows[column], {"ignoreNullFields": "false"})
 
-    known = {name: _joined(F.transform(rows, value(column))) for name, column in columns.items()}
+    known = {name: listed(column) for name, column in columns.items()}
     if not has_more:
         return known, None
     names = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(F.map_keys(r["more"]), F.array().cast("array<string>")))))
@@ -262,7 +268,7 @@ def write_projects(tables: Mapping[str, DataFrame], path: str) -> DataFrame:
         key_docs = clip_docs.select("project_id", F.lit(None).cast(_KEYS).alias("k"))
 
     known_more = F.col("more") if "more" in heads.columns else F.create_map().cast(_MORE)
-    head = heads.select("project_id", "name", F.struct("width", "height", "frame_rate", "timebase").alias("settings"), known_more.alias("more"), F.lit(True).alias("found"))
+    head = heads.select("project_id", "name", F.struct("width", "height", "frame_rate", "timebase").alias("settings"), known_more.alias("more"))
     # Tracks are at most 255 a project; the media pool is a library, not the edit.
     held = tables["tracks"]
     track = _object(
@@ -274,14 +280,16 @@ def write_projects(tables: Mapping[str, DataFrame], path: str) -> DataFrame:
     listed = F.struct(*pool.values(), *more(sources))
     by_id = lambda a, b: F.signum(a["source_id"] - b["source_id"]).cast("int")
     source_docs = sources.groupBy("project_id").agg(F.array_sort(F.collect_list(listed), by_id).alias("s"))
-    full = head.join(clip_docs, "project_id", "full").join(key_docs, "project_id", "full").join(track_docs, "project_id", "full").join(source_docs, "project_id", "full")
+    full = head.join(clip_docs, "project_id", "left").join(key_docs, "project_id", "left").join(track_docs, "project_id", "left").join(source_docs, "project_id", "left")
 
-    sizes = F.array(*[
-        F.struct(F.lit(part).alias("part"), F.coalesce(n, F.lit(0)).cast("bigint").alias("rows"))
-        for part, n in (("clips", F.size("c")), ("tracks", F.size("t")), ("sources", F.size("s")), ("keyframes", F.aggregate("k", F.lit(0), lambda a, x: a + F.size(x["keys"]))))
-    ])
-    # A null size of a missing array counts as none.
-    orphans = full.where(F.col("found").isNull()).select("project_id", F.inline(sizes)).where("rows > 0").withColumn("reason", F.lit("NoProject"))
+    # Counted apart, so that no document is put together for its size.
+    ids = heads.select("project_id")
+    lost = [
+        tables[part].groupBy("project_id").agg(F.count(F.lit(1)).alias("rows")).join(ids, "project_id", "left_anti")
+        .select("project_id", F.lit(part).alias("part"), "rows", F.lit("NoProject").alias("reason"))
+        for part in ("clips", "tracks", "sources", "keyframes") if part in tables
+    ]
+    orphans = reduce(DataFrame.unionByName, lost)
 
     clip_lists, other_clips = _lists("c", present, bool(more(clips)))
     source_lists, other_sources = _lists("s", pool, bool(more(sources)))
@@ -298,5 +306,5 @@ def write_projects(tables: Mapping[str, DataFrame], path: str) -> DataFrame:
         },
         _of_section(F.col("more"), ""),
     )
-    full.where("found").select(body.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    full.select(body.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return orphans

@@ -70,3 +70,26 @@ def test_rows_without_a_project_come_back(spark, folder):
     orphans = write_projects({**tables, "projects": tables["projects"].where("project_id <> 1")}, str(folder / "out"))
     assert sorted(map(tuple, orphans.collect())) == [(1, p, n, "NoProject") for p, n in (("clips", 4), ("keyframes", 2), ("sources", 2), ("tracks", 2))]
     assert len([f for f in (folder / "out").rglob("*.txt") if f.stat().st_size]) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(document(1, 5)))
+    plan = _plan(read_projects(spark, str(tmp_path))["clips"])
+    assert plan.count("from_json(") == 1
+    # Members of the section are taken apart once, before one map per clip is made of them.
+    assert plan.count("$.clips") == 1 and "$.clips" in next(line for line in plan.splitlines() if "explode(" in line)
+
+
+def test_orphans_are_counted_without_their_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(document(1, 5)))
+    tables = read_projects(spark, str(tmp_path / "in"))
+    tables = {**tables, "projects": tables["projects"].where("project_id = 2")}
+    lost = write_projects({k: v for k, v in tables.items() if k != "rejects"}, str(tmp_path / "out"))
+    assert "collect_list" not in _plan(lost)
+    want = {name: tables[name].count() for name in ("clips", "tracks", "sources", "keyframes")}
+    assert {tuple(r) for r in lost.collect()} == {(1, part, n, "NoProject") for part, n in want.items() if n}
