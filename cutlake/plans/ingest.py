@@ -183,17 +183,19 @@ def _(lib):
 
 
 _SEQ = (
-    "fl AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS n FROM lineitem), "
-    "hd AS (SELECT *, lag(n) OVER (PARTITION BY d ORDER BY n) AS before FROM fl), "
-    "il AS (SELECT *, sum(CASE WHEN before IS NULL OR n > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY n) AS island FROM hd)"
+    "fl AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS n, CAST(greatest(length(CAST(l_partkey AS VARCHAR)), 5) AS INTEGER) AS pad FROM lineitem), "
+    "hd AS (SELECT *, lag(n) OVER (PARTITION BY d, pad ORDER BY n) AS before FROM fl), "
+    "il AS (SELECT *, sum(CASE WHEN before IS NULL OR n > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY d, pad ORDER BY n) AS island FROM hd)"
 )
 
 
 @q("n1_image_sequences", "",
-   "SELECT concat('/render/', CAST(d AS VARCHAR), '/') AS folder, 'shot2_' AS prefix, 5 AS pad, 'exr' AS ext, 'shot2_{:05}..exr' AS pattern, min(n) AS first_frame, max(n) AS last_frame, coalesce(min(CASE WHEN n > before + 1 THEN n - before - 1 END), 0) AS missing_before FROM il GROUP BY d, island", _SEQ)
+   "SELECT concat('/render/', CAST(d AS VARCHAR), '/') AS folder, 'shot2_' AS prefix, pad, 'exr' AS ext, concat('shot2_{:0', CAST(pad AS VARCHAR), '}..exr') AS pattern, min(n) AS first_frame, max(n) AS last_frame, coalesce(min(CASE WHEN n > before + 1 THEN n - before - 1 END), 0) AS missing_before FROM il GROUP BY d, pad, island", _SEQ)
 def _(lib):
     li = lib.raw("lineitem")
-    numbered = li.selectExpr("concat('/render/', l_suppkey, '/shot2_', lpad(cast(l_partkey AS string), 5, '0'), '.exr') AS path")
+    # Five digits at least; lpad alone would cut longer numbers down.
+    number = "lpad(cast(l_partkey AS string), greatest(length(cast(l_partkey AS string)), 5), '0')"
+    numbered = li.selectExpr(f"concat('/render/', l_suppkey, '/shot2_', {number}, '.exr') AS path")
     others = li.selectExpr("concat('/render/', l_suppkey, '/notes_', l_partkey, 'a.txt') AS path")
     return textjobs.image_sequences(numbered.unionByName(others))
 

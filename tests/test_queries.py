@@ -44,6 +44,18 @@ def test_query(spark, con, name):
     assert got == sorted(repr([norm(r[i]) for i in at]) for r in rel.fetchall())
 
 
+def test_image_sequences_with_longer_numbers(spark, tmp_path):
+    rows = [(1, n) for n in (99_998, 99_999, 100_000, 100_001, 123_456, 123_457)] + [(2, 7)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["n1_image_sequences"](spark, str(tmp_path)).select("folder", "pad", "first_frame", "last_frame", "missing_before")
+    want = [("/render/1/", 5, 99_998, 99_999, 0), ("/render/1/", 6, 100_000, 100_001, 0), ("/render/1/", 6, 123_456, 123_457, 23_454), ("/render/2/", 5, 7, 7, 0)]
+    assert sorted(map(tuple, got.collect())) == want
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rel = c.sql(entry.oracle_sql()["n1_image_sequences"])
+    assert sorted(rel.select("folder", "pad", "first_frame", "last_frame", "missing_before").fetchall()) == want
+
+
 def test_flagship_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["project_id", "pts", "clip_id", "source_id", "layer_order", "source_pts", "z"]
