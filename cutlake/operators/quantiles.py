@@ -50,16 +50,19 @@ def order_statistics(
         .groupBy(*keys, "__v")
         .agg(F.count("__v").alias("__n"))  # 0 for the NULLs
         .withColumn("__c", _cell(v))
+        .repartition(*keys, "__c")  # read by the histogram and by the join
     )
-    cells = counts.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n"))
+    # A cell that holds a rank holds a value. Asking for it makes both uses of ``counts`` read the
+    # same columns, and so share its exchange.
+    cells = counts.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n"), F.max("__v").alias("__held"))
     cells = cells.withColumns(
         {"__b": _before(keys, "__c"), "n": F.sum("__n").over(Window.partitionBy(*keys))}
     )
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("q"), r.cast("bigint").alias("r")) for k, r in ranks.items()])
     )
-    hit = cells.withColumn("__w", wanted).select(*keys, "__c", "__n", "__b", "n", "__w.*")
-    hit = hit.where("r > __b AND r <= __b + __n").select(
+    hit = cells.withColumn("__w", wanted).select(*keys, "__c", "__n", "__b", "n", "__held", "__w.*")
+    hit = hit.where("r > __b AND r <= __b + __n AND __held IS NOT NULL").select(
         *keys, "__c", "n", "q", (F.col("r") - F.col("__b")).alias("__r")
     )
     last = counts.join(hit, [*keys, "__c"]).repartition(*keys)

@@ -260,6 +260,16 @@ def repeat_summary(runs: DataFrame, by: Sequence[str]) -> DataFrame:
 SPREAD_WARN_PCT = 10.0
 
 
+def _node_frames(brackets: DataFrame, key: Sequence[str]) -> DataFrame:
+    return brackets.groupBy(*key, "frame").agg(F.sum("ms").alias("value")).drop("frame")
+
+
+def node_frame_totals(brackets: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Per node: the median frame total of ``node_timings`` alone, which needs no instances."""
+    key = [*by, "node"]
+    return median_of(_node_frames(brackets, key), key, "value", "frame_total_ms").drop("n")
+
+
 def node_timings(brackets: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Per node: pooled median, median frame total, per-instance spread and a warning.
 
@@ -275,7 +285,7 @@ def node_timings(brackets: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFr
         *key, F.col("ms").alias("value"),
         F.explode(F.array(F.lit(0), F.col("instance"))).alias("what"),
     )
-    per_frame = numbered.groupBy(*key, "frame").agg(F.sum("ms").alias("value")).drop("frame").withColumn("what", F.lit(-1))
+    per_frame = _node_frames(numbered, key).withColumn("what", F.lit(-1))
     med = median_of(series.unionByName(per_frame), [*key, "what"], "value")
 
     def pick(which: Column, value: str) -> Column:

@@ -14,7 +14,10 @@ from cutlake.operators import rangejoin
 from cutlake.operators.rangejoin import overlapping_intervals, points_in_intervals
 from cutlake.operators.scan import Scan, chunked_scan, ranked
 from cutlake.operators.timejobs import frame_grid
+from cutlake.operators.stats import node_frame_totals, node_timings
 from cutlake.operators.windows import grid_uniform
+from cutlake.plans import load
+from cutlake.plans.registry import Lib
 
 
 @pytest.mark.parametrize("cell", [1, 7, 64, 1 << 20])
@@ -167,3 +170,28 @@ def test_a_frame_grid_is_not_broadcast(spark):
     out = grid_uniform(frame_grid(jobs).select("job_id", "frame", "pts"), jobs)
     assert "SortMergeJoin" in _executed(out)
     assert sorted(map(tuple, out.collect())) == [(i, 10_000, True, True, True) for i in (1, 2, 3)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_share_the_exchange_of_their_rows(spark, tmp_path):
+    spark.range(2000).selectExpr("id % 7 AS k", "id AS t", "cast(id % 90 AS double) AS v").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (median_of(rows, ["k"], "v"),):
+            out.collect()
+            assert "ReusedExchange" in _plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_top_nodes_are_chosen_before_they_are_reported(spark):
+    rng = random.Random(13)
+    rows = [(r, f, q, n, rng.choice([None, 1.5, 2.25, 8.0])) for q, (r, f, n) in enumerate((r, f, n) for r in (1, 2) for f in range(9) for n in "aabbbc")]
+    brackets = spark.createDataFrame([*rows, (3, 0, 999, "x", None)], "run_id bigint, frame bigint, seq bigint, node string, ms double")
+    totals = {(r.run_id, r.node): r.frame_total_ms for r in node_frame_totals(brackets).collect()}
+    assert totals == {(r.run_id, r.node): r.frame_total_ms for r in node_timings(brackets).collect()}
+    assert "LeftSemi" in _plan(load().plans["t3_top_nodes"](Lib(spark, "/root/testdata/sf0.001")))
