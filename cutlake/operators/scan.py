@@ -70,7 +70,7 @@ def _combine(scan: Scan) -> Column:
     return F.coalesce(local, carry)
 
 
-def _cell_totals(cells: DataFrame, keys: Sequence[str], totals: Sequence[Column]) -> DataFrame:
+def cell_totals(cells: DataFrame, keys: Sequence[str], totals: Sequence[Column]) -> DataFrame:
     """One summary row per (key, cell).
 
     The summary reads every column the rows keep - the hash is never NULL - because
@@ -78,20 +78,28 @@ def _cell_totals(cells: DataFrame, keys: Sequence[str], totals: Sequence[Column]
     """
     rest = [c for c in cells.columns if c not in (*keys, _CELL)]
     seen = F.max(F.xxhash64(*rest)).alias("__seen")
-    out = cells.groupBy(*keys, _CELL).agg(*totals, seen)
+    own = [F.max(c).alias(f"__k_{c}") for c in (*keys, _CELL)]
+    out = cells.groupBy(*keys, _CELL).agg(*totals, *own, seen)
     return out.where(F.col("__seen").isNotNull()).drop("__seen")
 
 
+def joined_on(keys: Sequence[str]) -> list[Column]:
+    """The keys of ``cell_totals`` for the join back to the rows.
+
+    They are aggregates, so that the null filters Spark infers for the summed side of a left join
+    stay above the summary; below it they would make the two uses of one exchange differ.
+    """
+    return [F.col(f"__k_{c}").alias(c) for c in (*keys, _CELL)]
+
+
 def chunked_scan(
     df: DataFrame, keys: Sequence[str], order: str, scans: Sequence[Scan], cell: int = CELL
 ) -> DataFrame:
     """Add the running columns. Rows must be unique per (keys, order)."""
     keys = list(keys)
     cells = df.withColumn(_CELL, grid_floor(order, cell)).repartition(*keys, _CELL)
-    totals = _cell_totals(cells, keys, [_cell_total(s, order).alias(f"__t_{s.name}") for s in scans])
-    carries = totals.select(
-        *keys, _CELL, *[_carry(s, keys).alias(f"__c_{s.name}") for s in scans]
-    )
+    totals = cell_totals(cells, keys, [_cell_total(s, order).alias(f"__t_{s.name}") for s in scans])
+    carries = totals.select(*joined_on(keys), *[_carry(s, keys).alias(f"__c_{s.name}") for s in scans])
     local = cells.withColumns({f"__l_{s.name}": _local(s, keys, order) for s in scans})
     joined = local.join(carries, [*keys, _CELL], "left")
     return joined.select(*df.columns, *[_combine(s).alias(s.name) for s in scans])
@@ -113,7 +121,7 @@ def ranked(
     before = Window.partitionBy(*keys, _CELL).orderBy(order, "__tie")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     local = cells.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    totals = _cell_totals(cells, keys, [F.sum("__n").alias("__m")])
+    totals = cell_totals(cells, keys, [F.sum("__n").alias("__m")])
     whole = Window.partitionBy(*keys).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(*keys, _CELL, F.coalesce(F.sum("__m").over(whole), F.lit(0)).alias("__c"))
     # Left joins: every row finds its partner, and no null filters are inferred that

@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlake.functions.arith import wide
+from cutlake.functions.arith import grid_floor, wide
 from cutlake.functions.timebase import frame_start
 from cutlake.operators.asof import asof_neighbours
-from cutlake.operators.scan import Scan, chunked_scan, ranked
+from cutlake.operators.scan import CELL, Scan, cell_totals, chunked_scan, joined_on, ranked
 
 
 def track_slots(clips: DataFrame) -> DataFrame:
@@ -69,15 +69,24 @@ def check_dts(packets: DataFrame) -> DataFrame:
     return out.where(F.col("dts") <= F.col("prev_dts"))
 
 
-def repair_dts(packets: DataFrame) -> DataFrame:
+def repair_dts(packets: DataFrame, cell: int = CELL) -> DataFrame:
     """Strictly increasing ``dts``: each at least one past the one before it.
 
-    dts'_i = i + max_{j<=i}(dts_j - j) with i the packet's rank in its stream.
+    dts'_i = i + max_{j<=i}(dts_j - j) with i the packet's rank in its stream. A cell counts from its
+    own first packet; what the cells before it hold comes as one row per cell.
     """
-    n = ranked(packets, ["stream_id"], "seq", "seq", "nth")
-    n = n.withColumn("lead", F.col("dts") - F.col("nth"))
-    out = chunked_scan(n, ["stream_id"], "seq", [Scan("top", "max", F.col("lead"))])
-    return out.withColumn("dts", F.col("nth") + F.col("top")).drop("nth", "lead", "top")
+    key = ["stream_id", "__cell"]
+    cells = packets.withColumn("__cell", grid_floor("seq", cell)).repartition(*key)
+    ahead = Window.partitionBy(*key).orderBy("seq")
+    local = cells.withColumn("nth", F.row_number().over(ahead).cast("bigint"))
+    local = local.withColumn("top", F.max(F.col("dts") - F.col("nth")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = cell_totals(local, ["stream_id"], [F.max("nth").alias("__n"), F.max("top").alias("__top")])
+    earlier = Window.partitionBy("stream_id").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    begun = totals.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("bigint")))
+    carries = begun.select(*joined_on(["stream_id"]), "__before", F.max(F.col("__top") - F.col("__before")).over(earlier).alias("__floor"))
+    out = local.join(carries, key, "left")
+    dts = F.col("nth") + F.col("__before") + F.greatest(F.col("top") - F.col("__before"), "__floor")
+    return out.withColumn("dts", dts).select(*packets.columns)
 
 
 def grid_uniform(grid: DataFrame, jobs: DataFrame) -> DataFrame:

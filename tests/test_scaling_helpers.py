@@ -15,7 +15,7 @@ from cutlake.operators.rangejoin import overlapping_intervals, points_in_interva
 from cutlake.operators.scan import Scan, chunked_scan, ranked
 from cutlake.operators.timejobs import frame_grid
 from cutlake.operators.stats import node_frame_totals, node_timings
-from cutlake.operators.windows import grid_uniform
+from cutlake.operators.windows import grid_uniform, repair_dts
 from cutlake.plans import load
 from cutlake.plans.registry import Lib
 
@@ -176,12 +176,29 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_medians_share_the_exchange_of_their_rows(spark, tmp_path):
+@pytest.mark.parametrize("cell", [1, 7, 1 << 21])
+def test_repaired_stamps_take_one_scan(spark, cell):
+    rng = random.Random(cell)
+    rows = [(k, q, rng.choice([None, *range(40)])) for k in (1, 2) for q in rng.sample(range(-50, 200), 60)]
+    packets = spark.createDataFrame(rows, "stream_id bigint, seq bigint, dts bigint")
+    out = repair_dts(packets, cell)
+    want = {}
+    for k in (1, 2):
+        top = None
+        for i, (_, q, dts) in enumerate(sorted(r for r in rows if r[0] == k)):
+            top = max([x for x in (top, None if dts is None else dts - i) if x is not None], default=None)
+            want[k, q] = None if top is None else top + i
+    assert {(r.stream_id, r.seq): r.dts for r in out.collect()} == want
+    # Rows, summaries by stream, and the join back; ranking and scanning apart took more.
+    assert _plan(repair_dts(packets, cell)).count("Exchange hashpartitioning") <= 4
+
+
+def test_scans_and_medians_share_the_exchange_of_their_rows(spark, tmp_path):
     spark.range(2000).selectExpr("id % 7 AS k", "id AS t", "cast(id % 90 AS double) AS v").write.parquet(str(tmp_path / "rows"))
     rows = spark.read.parquet(str(tmp_path / "rows"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for out in (median_of(rows, ["k"], "v"),):
+        for out in (chunked_scan(rows, ["k"], "t", [Scan("s", "sum", F.col("v"))], 64), median_of(rows, ["k"], "v")):
             out.collect()
             assert "ReusedExchange" in _plan(out)
     finally:
