@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -152,7 +153,10 @@ TERMINAL_PHASES = ("Cancelled", "Done", "Failed")
 
 
 class _Progress(StatefulProcessor):
-    """Latest state of one export job; a timer reports it as stalled."""
+    """Latest state of one export job; a timer reports it as stalled.
+
+    Jobs have few rows a batch, so these come as they are: a pandas table per job cost more than its rows.
+    """
 
     def __init__(self, stall_ms: int) -> None:
         self.stall_ms = stall_ms
@@ -161,44 +165,40 @@ class _Progress(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ts_ms long, frames_done long, total_frames long")
 
-    def _reset_timer(self, at_ms: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if at_ms is not None:
-            self.handle.registerTimer(at_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = pd.concat([r.nlargest(1, "ts_ms") for r in rows]).nlargest(1, "ts_ms").iloc[0]
-        known = self.last.get() if self.last.exists() else None
-        if known is not None and newest.ts_ms <= known[0]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max((r for r in rows if r.ts_ms is not None), key=lambda r: r.ts_ms, default=None)
+        known = self.last.get()
+        if newest is None or known is not None and newest.ts_ms <= known[0]:
             return
         done, total, secs = int(newest.frames_done), int(newest.total_frames), float(newest.elapsed_s)
         fps = done / secs if secs > 0 else 0.0
         estimable = 5 <= done < total and not (secs > 0 and fps < 0.001)
         eta = ((total - done) / fps if fps > 0 else 0.0) if estimable else None
-        if newest.phase in TERMINAL_PHASES:
+        if known is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if newest.phase not in TERMINAL_PHASES:
+            self.last.update((newest.ts_ms, done, total))
+            self.handle.registerTimer(newest.ts_ms + self.stall_ms)
+        elif known is not None:
             self.last.clear()
-            self._reset_timer(None)
-        else:
-            self.last.update((int(newest.ts_ms), done, total))
-            self._reset_timer(int(newest.ts_ms) + self.stall_ms)
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]], "ts_ms": [int(newest.ts_ms)], "frames_done": [done], "total_frames": [total],
-                "fps": [fps], "eta_s": [eta], "status": [newest.phase],
-            }
-        )
+        yield Row(job_id=key[0], ts_ms=newest.ts_ms, frames_done=done, total_frames=total, fps=fps, eta_s=eta, status=newest.phase)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
-            return
-        ts, done, total = self.last.get()
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]], "ts_ms": [ts], "frames_done": [done], "total_frames": [total],
-                "fps": [None], "eta_s": [None], "status": ["Stalled"],
-            }
-        )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.last.get()
+        if known is not None:
+            ts, done, total = known
+            yield Row(job_id=key[0], ts_ms=ts, frames_done=done, total_frames=total, fps=None, eta_s=None, status="Stalled")
+
+
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest row of each job of a batch; of equal ones the first."""
+    for batch in batches:
+        ts = batch.column("ts").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        job = batch.column("job_id").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((ts[::-1], job[::-1]))
+        last = np.append(np.diff(job[::-1][order]) != 0, True)[: len(order)]
+        yield batch.take(pa.array(np.sort(len(ts) - 1 - order[last])))
 
 
 def _millis(stream: DataFrame, delay: str) -> DataFrame:
@@ -209,9 +209,11 @@ def progress_monitor(stream: DataFrame, stall_s: int, delay: str = "30 seconds")
     """Latest progress per export job and batch, with rate and remaining time.
 
     ``stream(job_id, ts, frames_done, total_frames, elapsed_s, phase)``. A terminal
-    phase forgets the job; silence for ``stall_s`` reports it once as Stalled.
+    phase forgets the job; silence for ``stall_s`` reports it once as Stalled. Tasks drop what is older
+    than a job's newest row before the shuffle: only that row counts, and it is late only if all are.
     """
-    return _millis(stream, delay).groupBy("job_id").transformWithStateInPandas(
+    newest = stream.mapInArrow(_newest, stream.schema)
+    return _millis(newest, delay).groupBy("job_id").transformWithState(
         _Progress(stall_s * 1000),
         "job_id bigint, ts_ms bigint, frames_done bigint, total_frames bigint, fps double, eta_s double, status string",
         "Append",
@@ -229,30 +231,29 @@ class _Debounce(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "dirty_ms long, version_ms long, json string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.pending.get() if self.pending.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("ts_ms").itertuples():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = held = self.pending.get()
+        for r in sorted((r for r in rows if r.ts_ms is not None), key=lambda r: r.ts_ms):
             if held is not None and r.ts_ms >= held[0] + self.wait_ms:
-                out.append((key[0], held[1], held[2]))
+                yield Row(path=key[0], version_ms=held[1], json=held[2])
                 held = None
             if held is None:
-                held = (int(r.ts_ms), int(r.ts_ms), r.json)
+                held = (r.ts_ms, r.ts_ms, r.json)
             elif r.ts_ms >= held[1]:
-                held = (held[0], int(r.ts_ms), r.json)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+                held = (held[0], r.ts_ms, r.json)
+        if held is None or held == known:
+            return
+        if known is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.pending.update(held)
         self.handle.registerTimer(held[0] + self.wait_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["path", "version_ms", "json"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.pending.exists():
-            return
-        _, version, json = self.pending.get()
-        self.pending.clear()
-        yield pd.DataFrame([(key[0], version, json)], columns=["path", "version_ms", "json"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.pending.get()
+        if known is not None:
+            self.pending.clear()
+            yield Row(path=key[0], version_ms=known[1], json=known[2])
 
 
 def debounced_snapshots(stream: DataFrame, wait_s: int = 30, delay: str = "10 seconds") -> DataFrame:
@@ -261,7 +262,7 @@ def debounced_snapshots(stream: DataFrame, wait_s: int = 30, delay: str = "10 se
     ``stream(path, ts, json)``; the result (path, version_ts, json) feeds the newest-wins
     snapshot sink.
     """
-    settled = _millis(stream, delay).groupBy("path").transformWithStateInPandas(
+    settled = _millis(stream, delay).groupBy("path").transformWithState(
         _Debounce(wait_s * 1000), "path string, version_ms bigint, json string", "Append", "EventTime"
     )
     return settled.select("path", F.timestamp_millis("version_ms").alias("version_ts"), "json")

@@ -3,6 +3,7 @@
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,17 @@ def test_progress_goes_stale_and_ends(spark):
     assert not any(k[0] == 2 and k[2] == "Stalled" for k in seen)
 
 
+def test_progress_sends_only_the_newest_rows(spark):
+    rows = [(j % 5, t % 90, j) for j, t in enumerate(range(0, 9000, 7))] + [(7, 3, -1), (7, 3, -2), (8, None, 0)]
+    batch = pa.RecordBatch.from_pylist([{"job_id": j, "ts": None if t is None else t * 1000, "frames_done": n} for j, t, n in rows])
+    want = {}
+    for j, t, n in rows:
+        if j not in want or (t or -1) > (want[j][0] or -1):
+            want[j] = (t, n)
+    got = [r for b in monitors._newest(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert {r["job_id"]: (None if r["ts"] is None else r["ts"] // 1000, r["frames_done"]) for r in got} == want and len(got) == len(want)
+
+
 def test_debounce_keeps_the_newest(spark):
     monitors.use_state_store(spark)
     s = 1000
