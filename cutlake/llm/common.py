@@ -69,18 +69,24 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def text_groups(batches: Iterable[pa.RecordBatch], column: str, target: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, target: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``target`` bytes of text, one row at least."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > target:
-                yield batch.slice(start, i - start), batch.column(column).slice(start, i - start).to_pylist()
+                yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size
         if start < len(sizes):
-            yield batch.slice(start), batch.column(column).slice(start).to_pylist()
+            yield batch.slice(start)
+
+
+def text_groups(batches: Iterable[pa.RecordBatch], column: str, target: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """``text_slices``, each with its texts."""
+    for batch in text_slices(batches, column, target):
+        yield batch, batch.column(column).to_pylist()
 
 
 class Memo(dict):

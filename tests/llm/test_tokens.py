@@ -124,6 +124,29 @@ def test_word_cuts_are_the_library_s(words, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_are_asked_for_together(words):
+    """One call of the library for many words, one look-up for words that differ in case and punctuation only."""
+    with open(WORDS, "rb") as file:
+        encoder = token_files.WordEncoder(file.read())
+    asked = []
+
+    class Counting:
+        normalizer = words.normalizer
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return words.encode_batch_fast(texts, **options)
+
+    encoder.library = Counting()
+    letters = "abcdefghijklmnopqrstuvwxyzéñ"
+    made = [f"{a}{b}{c}" for a in letters for b in letters for c in "xyz"]
+    texts = [" ".join(made), "  ".join(f"{w.title()}, " for w in made[:2000:7]), "", " \n ", "x\u0660y z\u0301 fi\ufb01 \u0958\u0958 it's ..."]
+    for _ in range(2):
+        for ids, text in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 200
+
+
 def test_every_character_before_punctuation(words):
     """Letters that the normaliser takes apart end in a mark, which joins the punctuation behind it."""
     with open(WORDS, "rb") as file:
