@@ -351,29 +351,32 @@ def _inserted(state: DataFrame, fresh: DataFrame) -> DataFrame:
     plan = state.join(own, CLIP, "left").join(leader, ["project_id", "source_id", "pts_in"], "left")
     follows = F.col("lead.lead_track") != F.col("track_id")
     plan = plan.withColumn("e", F.coalesce("own", F.when(follows, F.struct("lead.p", "lead.new_in", "lead.split"))))
-    splits = F.coalesce(F.col("e.split"), F.lit(False)) & (F.col("pts_out") > F.col("e.p"))
+    splits = F.coalesce(F.col("e.split") & (F.col("pts_out") > F.col("e.p")), F.lit(False))
     shifts = F.coalesce(~F.col("e.split"), F.lit(False))
 
-    part = F.explode(F.when(splits, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0))))
-    plan = plan.withColumn("__shift", shifts).withColumn("__part", part)
-    head, tail = F.col("__part") == 1, F.col("__part") == 2
-    p, to = F.col("e.p"), F.col("e.new_in")
+    plan = plan.withColumns({"__shift": shifts, "__head": splits})
+    p, to, head = F.col("e.p"), F.col("e.new_in"), F.col("__head")
     move = F.when(F.col("__shift"), to - F.col("pts_in")).otherwise(0)
     changed = {
-        "pts_in": F.when(tail, to).otherwise(F.col("pts_in") + move),
-        "pts_out": F.when(head, p).when(tail, to + F.col("pts_out") - p).otherwise(F.col("pts_out") + move),
-        "source_in": F.when(tail, F.col("source_in") + p - F.col("pts_in")).otherwise(F.col("source_in")),
-        "fade_in_pts": F.when(tail, F.lit(0)).otherwise(F.col("fade_in_pts")),
+        "pts_in": F.col("pts_in") + move,
+        "pts_out": F.when(head, p).otherwise(F.col("pts_out") + move),
         "fade_out_pts": F.when(head, F.lit(0)).otherwise(F.col("fade_out_pts")),
-        "__keys": F.when(~tail, F.col("__keys")),
         "__by": F.col("__by") + move,
         "__until": F.when(head, F.least("__until", p - F.col("__by"))).otherwise(F.col("__until")),
     }
-    done = plan.select(*[changed[c].alias(c) if c in changed else c for c in state.columns], "__part")
-    stay = done.where("__part <> 2").select(*state.columns)
-    tails = done.where("__part = 2").withColumn("__parent", F.col("clip_id"))
+    stay = plan.select(*[changed[c].alias(c) if c in changed else c for c in state.columns])
+    # Few clips are split. Their tails are numbered from a table of their own, as the numbering reads them several times.
+    rest = {
+        "pts_in": to,
+        "pts_out": to + F.col("pts_out") - p,
+        "source_in": F.col("source_in") + p - F.col("pts_in"),
+        "fade_in_pts": F.lit(0),
+        "__keys": F.lit(None),
+    }
+    kind = {field.name: field.dataType for field in state.schema}
+    tails = plan.where(head).select(*[rest[c].cast(kind[c]).alias(c) if c in rest else c for c in state.columns], F.col("clip_id").alias("__parent"))
     first = F.lit(-1).cast("bigint")
-    fresh = tails.select(*state.columns, "__parent").unionByName(
+    fresh = cut(tails).unionByName(
         fresh.withColumns({"clip_id": first, "__parent": first}).select(*state.columns, "__parent")
     )
     fresh = new_ids(fresh, state, ["project_id"], "clip_id", "pts_in", "__parent")
@@ -475,7 +478,9 @@ def ripple_move(clips: DataFrame, edits: DataFrame, keyframes: DataFrame | None
     crossed = []
 
     def apply(state: DataFrame, now: DataFrame):
-        found = now.join(state.drop("__rounds"), CLIP, "left")
+        # The few clips that move are picked first, so that the join to the edits doesn't deal out all others.
+        named = state.drop("__rounds").join(now.select(*CLIP), CLIP, "left_semi")
+        found = now.join(named, CLIP, "left")
         reason = F.when(F.col("pts_in").isNull(), "ClipNotFound").when(F.col("pts_in") >= F.col("pts_out"), "InvalidDuration")
         found = cut(found.withColumn("reason", reason))
         going = found.where(F.col("reason").isNull())

@@ -306,3 +306,18 @@ def test_many_moves_in_order(spark):
         for t in range(2):
             mine = sorted((r.pts_in, r.clip_id, r.layer_order) for r in found if (r.project_id, r.track_id) == (p, t))
             assert [x[2] for x in mine] == ([(3 - t) * 256 + n for n in range(len(mine))] if (p, t) in crossed else [-7] * len(mine))
+
+
+def test_new_pieces_are_numbered_without_the_other_clips(spark, monkeypatch):
+    """Numbering reads its rows several times, so no join to all clips may stand in their plan."""
+    plans, number = [], edits.new_ids
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return number(rows, *rest)
+
+    monkeypatch.setattr(edits, "new_ids", watched)
+    clips = spark.createDataFrame(library(random.Random(5)), SCHEMA)
+    moves = spark.createDataFrame([(p, p, 1, 30, s) for s, p in enumerate(range(6))], "project_id bigint, clip_id bigint, new_track int, new_pts_in bigint, seq bigint")
+    assert edits.ripple_move(clips, moves).clips.count() >= clips.count()
+    assert plans and not any("Join" in plan for plan in plans)
