@@ -8,7 +8,7 @@ polynomial) runs over two line hashes, and a chunk ends where it has a local min
 the end of a physical line of two lines or more, or at every fourth of lines that are all the same. That
 depends on the lines around alone, so equal passages are cut alike wherever they stand. Chunks of two or more lines
 that occur again anywhere are looked up, their bytes compared with the first occurrence, and the match is carried on, line
-by line (by 128-bit hashes), into the chunks before and after. Matches that go on from one another
+by line, into the chunks before and after. Matches that go on from one another
 here and where they first stood are one passage. Passages of ``MIN_WORDS`` words or more are removed
 from all but the first place.
 """
@@ -99,11 +99,6 @@ def _words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), ""))
 
 
-def _sums(lines: Column) -> Column:
-    """Two hashes of each line, and its words: what neighbours are compared by."""
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), _words(x).alias("words")))
-
-
 def _alike(a: Column, b: Column) -> Column:
     """How many items two arrays share from the front."""
     n = F.least(F.size(a), F.size(b))
@@ -139,7 +134,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prior = lambda x: F.when(_slice(x["prior"]) == _slice(x["chunk"]), _span(x["prior"])[0])
     sliced = lambda x: F.struct(
         x["chunk"].alias("chunk"), x["origin"].alias("origin"), _span(x["chunk"])[0].alias("first"), _span(x["chunk"])[1].alias("end"), prior(x).alias("prior"),
-        _slice(x["chunk"]).alias("body"), F.reverse(_sums(_slice(x["chunk"] - 1))).alias("before"), _sums(_slice(x["chunk"] + 1)).alias("after"),
+        _slice(x["chunk"]).alias("body"), F.reverse(_slice(x["chunk"] - 1)).alias("before"), _slice(x["chunk"] + 1).alias("after"),
     )
     cut = _chunked(held.select("doc_id", "mark", "text", "chunks"))
     cut = cut.select("doc_id", "mark", F.explode_outer(F.transform("chunks", sliced)).alias("x"))
@@ -158,9 +153,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     body = lambda key: F.transform("body", lambda x, i: line(key, F.col("first") + i, _words(x)))
     met = met.select("*", along("origin", "its_first").alias("far"), along("place", "prior").alias("near"))
     alike = F.concat(
-        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("far"), F.col("first") - 1 - i, x["words"])),
+        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("far"), F.col("first") - 1 - i, _words(x))),
         body(F.col("far")),
-        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("far"), F.col("end") + i, x["words"])),
+        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("far"), F.col("end") + i, _words(x))),
         F.when(F.col("prior").isNull(), F.slice(body(F.col("near")), 1, 0)).otherwise(body(F.col("near"))),
     )
     held = met.select("place.doc_id", "place.mark", F.explode(alike).alias("x")).select("doc_id", "mark", "x.along", "x.line", "x.words")

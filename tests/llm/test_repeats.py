@@ -51,6 +51,19 @@ def test_chance_matches_stay(spark):
     assert _kept(spark, texts) == [t.split() for t in texts]
 
 
+def test_neighbours_are_kept_as_text(spark, monkeypatch):
+    """Hashes of the lines around a chunk don't compress, and only those that match are counted."""
+    kept, stage = {}, line_dedup.staged
+
+    def watched(df, purpose):
+        kept[purpose] = dict(df.dtypes)
+        return stage(df, purpose)
+
+    monkeypatch.setattr(line_dedup, "staged", watched)
+    assert _planted(spark, " ".join(_words(7, 150)), 600) <= 30
+    assert kept["chunk-lines"]["before"] == kept["chunk-lines"]["after"] == "array<string>"
+
+
 def _repeated(docs):
     seen, found = set(), 0
     for i in sorted(docs):
