@@ -26,10 +26,12 @@ MIN_WORDS = 20
 # No floor: chunks of any length start a look-up.
 MIN_CHARS = 0
 # A line ends behind these (the letters are those with even, odd and even codes) ...
-_LINE_END = r"(?<=[\n ])(?<=\n|[.,;:!?] |[bdfhjlnprtvxzBDFHJLNPRTVXZ][acegikmoqsuwyACEGIKMOQSUWY][bdfhjlnprtvxzBDFHJLNPRTVXZ] )"
+_EVEN, _ODD = "[bdfhjlnprtvxzBDFHJLNPRTVXZ]", "[acegikmoqsuwyACEGIKMOQSUWY]"
+# A line is words none of which ends it, then one that does or the rest; nothing behind the last one.
+_LINE = rf"(?:[^\n ]* (?<![.,;:!?] )(?<!{_EVEN}{_ODD}{_EVEN} ))*+(?:[^\n ]*[\n ]|[^\n ]+|\z)"
 # ... and one of more bytes behind some of its words too, or every eighth of equal words.
 MAX_BYTES = 64
-_WORD_END = r"(?<=[ \t\x0b\x0c\r])"
+_WORD = r"[^ \t\x0b\x0c\r]*[ \t\x0b\x0c\r]|[^ \t\x0b\x0c\r]+"
 
 
 def _rotated(column: Column, bits: int) -> Column:
@@ -41,47 +43,52 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _ended(ends: Column, n: Column) -> Column:
+    """``ends`` in order, with ``n`` behind them unless it is the last one."""
+    return F.when(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) == n, ends).otherwise(F.concat(ends, F.array(n)))
+
+
 def _word_runs(line: Column) -> Column:
     """A long line in runs of words, cut where the hash of a word is a local minimum."""
 
     def pieces(words: Column, hashes: Column) -> Column:
-        n = F.size(words)
-        lowest = lambda i: (F.get(hashes, i - 1) < F.get(hashes, i - 2)) & (F.get(hashes, i - 1) < F.get(hashes, i))
-        same = lambda i: (i % 8 == 0) & (F.get(hashes, i - 1) == F.get(hashes, i - 2))
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.coalesce(lowest(i), F.lit(False)) | F.coalesce(same(i), F.lit(False)))
+        h = lambda i: F.get(hashes, i)
+        cut = lambda x, i: ((x < h(i - 1)) & (x < h(i + 1))) | ((x == h(i - 1)) & (i % 8 == 7))
+        ends = F.array_remove(F.transform(hashes, lambda x, i: F.when(cut(x, i), i + 1).otherwise(0)), 0)
         piece = lambda ends: lambda end, j: _let(
             F.when(j > 0, F.get(ends, j - 1)).otherwise(F.lit(0)), lambda first: F.array_join(F.slice(words, first + 1, end - first), "")
         )
-        return _let(ends, lambda ends: F.transform(ends, piece(ends)))
+        return _let(_let(ends, lambda ends: _ended(ends, F.size(words))), lambda ends: F.transform(ends, piece(ends)))
 
     hashes = lambda words: F.transform(words, lambda x: F.xxhash64(x))
-    return _let(F.array_remove(F.split(line, _WORD_END), ""), lambda words: _let(hashes(words), lambda found: pieces(words, found)))
+    return _let(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), lambda words: _let(hashes(words), lambda found: pieces(words, found)))
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; joined again they are the text."""
     long = lambda line: F.octet_length(line) > MAX_BYTES
     cut = lambda lines: F.flatten(F.transform(lines, lambda x: F.when(long(x), _word_runs(x)).otherwise(F.array(x))))
-    return _let(F.array_remove(F.split(text, _LINE_END), ""), lambda lines: F.when(F.exists(lines, long), cut(lines)).otherwise(lines))
+    found = F.array_remove(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), "")
+    return _let(found, lambda lines: F.when(F.exists(lines, long), cut(lines)).otherwise(lines))
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``lines`` and ``ends``, the number of lines up to the end of each chunk."""
-    step = docs.select("*", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
-    step = step.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    feed = lambda i: F.coalesce(F.get("lines", i).endswith("\n"), F.lit(True))
+    step = docs.select("*", lines_of(F.coalesce("text", F.lit(""))).alias("lines")).drop("text")
+    step = step.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: x.endswith("\n")).alias("feeds"))
+    # Both one place on: what stands at i belongs to the line before line i.
+    turned = F.concat(F.array(F.lit(0).cast("long")), F.transform("hashes", lambda x: _rotated(x, 1)))
+    step = step.select("*", turned.alias("turned"), F.concat(F.array(F.lit(False)), "feeds").alias("ahead"))
+    feed, ahead = lambda i: F.get("feeds", i), lambda i: F.get("ahead", i)
     # A physical line of several clauses is rolled over and cut by itself, its first clause never alone.
-    opens = lambda i: feed(i - 1) & ~feed(i)
-    before = lambda i: F.when(opens(i), 0).otherwise(F.coalesce(F.get("hashes", i - 1), F.lit(0)))
-    roll = F.transform("hashes", lambda h, i: h.bitwiseXOR(_rotated(before(i).cast("long"), 1)))
-    step = step.select("*", roll.alias("roll")).drop("hashes")
-    lowest = lambda i: ~opens(i) & (F.get("roll", i) < F.get("roll", i - 1)) & (F.get("roll", i) < F.get("roll", i + 1))
-    same = lambda i: (i % 4 == 3) & (F.get("roll", i) == F.get("roll", i - 1))
-    # Whether a chunk ends with line i - 1, counted by its end i.
-    cut = lambda i: (i == F.size("roll")) | (feed(i - 1) & ~feed(i - 2)) | F.coalesce(lowest(i - 1), F.lit(False)) | F.coalesce(same(i - 1), F.lit(False))
-    n = F.size("roll")
-    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<int>"))
-    return step.select("*", ends.alias("ends")).drop("roll")
+    roll = F.transform("hashes", lambda h, i: F.when(ahead(i) & ~feed(i), h).otherwise(h.bitwiseXOR(F.get("turned", i))))
+    step = step.select("*", roll.alias("roll")).drop("hashes", "turned")
+    r = lambda i: F.get("roll", i)
+    lowest = lambda x, i: (x < r(i - 1)) & (x < r(i + 1)) & (feed(i) | ~ahead(i))
+    cut = lambda x, i: (feed(i) & ~ahead(i) & (i > 0)) | lowest(x, i) | ((x == r(i - 1)) & (i % 4 == 3))
+    found = F.array_remove(F.transform("roll", lambda x, i: F.when(cut(x, i), i + 1).otherwise(0)), 0)
+    step = step.select("*", found.alias("found")).drop("roll", "feeds", "ahead")
+    return step.select("*", _ended(F.col("found"), F.size("lines")).alias("ends")).drop("found")
 
 
 def _span(k: Column) -> tuple[Column, Column]:
@@ -110,31 +117,45 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark (hash of the text), first and end of the spans of lines to take out of each text."""
     docs = docs.select("doc_id", "text")
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    chunked = _chunked(marked)
-    ks = F.sequence(F.lit(0), F.size("ends") - 1)
-    spans = F.transform(ks, lambda k: F.struct(k.alias("chunk"), F.xxhash64(_slice(k)).alias("hash"), (_span(k)[1] - _span(k)[0]).alias("n")))
-    # explode_outer: no filter on the arrays is inferred, which would be worked out a second time below.
-    spans = F.when(F.size("ends") > 0, spans)
-    index = chunked.select("doc_id", "mark", F.explode_outer(spans).alias("x"))
-    index = index.where("x.n > 1").select("x.hash", F.struct("doc_id", "mark", F.col("x.chunk").alias("chunk")).alias("place"))
-    index = staged(index, "chunk-index")
-    again = index.groupBy("hash").agg(F.min("place").alias("origin"), F.max("place").alias("last")).where("origin <> last")
-    again = staged(again.select(F.col("hash").alias("of_hash"), "origin"), "repeated-chunks")
-    later = index.join(again, index["hash"] == again["of_hash"]).where("place <> origin").select("place", "origin").distinct()
+    chunked = _chunked(marked).select("*", F.concat(F.array(F.lit(0)), "ends").alias("starts"))
+    size = lambda end, k: end - F.get("starts", k)
+    hashes = F.transform("ends", lambda end, k: F.when(size(end, k) > 1, F.xxhash64(F.slice("lines", F.get("starts", k) + 1, size(end, k)))))
+    # posexplode_outer: no filter on the arrays is inferred, which would be worked out a second time below.
+    index = chunked.select("doc_id", "mark", F.posexplode_outer(hashes).alias("chunk", "hash"))
+    index = staged(index.where("hash is not null"), "chunk-index")
+    parts = ["doc_id", "mark", "chunk"]
+    # By number first: few chunks stand more than once, and only for those is the first place looked for.
+    many = index.groupBy("hash").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select(F.col("hash").alias("of_hash"))
+    # Merge joins all through: the plan is the same at any size, and no side must fit into memory.
+    places = staged(index.join(many.hint("merge"), F.col("hash") == F.col("of_hash"), "left_semi"), "repeated-chunks")
+    place = F.struct(*parts)
+    again = places.groupBy("hash").agg(F.min(place).alias("origin")).select(F.col("hash").alias("of_hash"), "origin")
+    later = places.join(again.hint("merge"), F.col("hash") == F.col("of_hash")).where(place != F.col("origin")).select(*parts, "origin")
+    later = later.repartition("doc_id", "mark").distinct()
     # Where the chunk stood last in the same text: texts that go round in circles are one passage only from round to round.
-    order = Window.partitionBy("place.doc_id", "place.mark", "origin").orderBy("place.chunk")
-    later = staged(later.select("place", "origin", F.lag("place.chunk").over(order).alias("prior")), "later-chunks")
+    rounds, order = Window.partitionBy("doc_id", "mark", "origin").orderBy("chunk"), Window.partitionBy("doc_id", "mark").orderBy("chunk")
+    # Whether the chunk before or after matches the one before or after the origin: then no line of it need be compared.
+    goes_on = lambda near, step: F.coalesce(
+        (near("chunk") == F.col("chunk") + step) & near("origin.doc_id").eqNullSafe(F.col("origin.doc_id"))
+        & (near("origin.mark") == F.col("origin.mark")) & (near("origin.chunk") == F.col("origin.chunk") + step), F.lit(False),
+    )
+    led, followed = goes_on(lambda c: F.lag(c).over(order), -1), goes_on(lambda c: F.lead(c).over(order), 1)
+    later = later.select(place.alias("place"), "origin", F.lag("chunk").over(rounds).alias("prior"), led.alias("led"), followed.alias("followed"))
+    later = staged(later, "later-chunks")
     # The lines of these chunks, cut out of the texts once, each with the place it is compared with.
-    first = again.select(F.col("origin").alias("place"), "origin", F.lit(None).cast("int").alias("prior"))
+    first = later.groupBy("origin").agg(F.min("led").alias("led"), F.min("followed").alias("followed"))
+    first = first.select(F.col("origin").alias("place"), "origin", F.lit(None).cast("int").alias("prior"), "led", "followed")
     wanted = later.union(first).groupBy("place.doc_id", "place.mark").agg(
-        F.collect_set(F.struct("place.chunk", "origin", "prior")).alias("chunks")
+        F.collect_set(F.struct("place.chunk", "origin", "prior", "led", "followed")).alias("chunks")
     ).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "chunks")
-    held = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    held = marked.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     # Sliced before they are exploded: an exploded row must not carry all lines of its text.
     prior = lambda x: F.when(_slice(x["prior"]) == _slice(x["chunk"]), _span(x["prior"])[0])
     sliced = lambda x: F.struct(
         x["chunk"].alias("chunk"), x["origin"].alias("origin"), _span(x["chunk"])[0].alias("first"), _span(x["chunk"])[1].alias("end"), prior(x).alias("prior"),
-        _slice(x["chunk"]).alias("body"), F.reverse(_slice(x["chunk"] - 1)).alias("before"), _slice(x["chunk"] + 1).alias("after"),
+        _slice(x["chunk"]).alias("body"),
+        F.when(x["led"], F.array().cast("array<string>")).otherwise(F.reverse(_slice(x["chunk"] - 1))).alias("before"),
+        F.when(x["followed"], F.array().cast("array<string>")).otherwise(_slice(x["chunk"] + 1)).alias("after"),
     )
     cut = _chunked(held.select("doc_id", "mark", "text", "chunks"))
     cut = cut.select("doc_id", "mark", F.explode_outer(F.transform("chunks", sliced)).alias("x"))
@@ -145,25 +166,26 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Repeated rows give an origin more than once.
     origins = staged(cut.where("place = origin").drop("place", "end", "prior").dropDuplicates(["origin"]), "origin-lines")
     origins = origins.select([F.col(c).alias(f"its_{c}") for c in origins.columns])
-    met = cut.where("place <> origin").join(origins, F.col("origin") == F.col("its_origin")).where("body = its_body")
-    # The lines of each match, under the document they repeat and how far on they stand in this one.
+    met = cut.where("place <> origin").join(origins.hint("merge"), F.col("origin") == F.col("its_origin")).where("body = its_body")
+    # The stretch of lines of each match, under the document they repeat and how far on they stand in this one.
     along = lambda text, first: F.xxhash64(f"{text}.doc_id", f"{text}.mark", F.col("first") - F.col(first))
-    line = lambda key, at, words: F.struct(key.alias("along"), at.alias("line"), words.alias("words"))
-    up, down = _alike(F.col("before"), F.col("its_before")), _alike(F.col("after"), F.col("its_after"))
-    body = lambda key: F.transform("body", lambda x, i: line(key, F.col("first") + i, _words(x)))
-    met = met.select("*", along("origin", "its_first").alias("far"), along("place", "prior").alias("near"))
-    alike = F.concat(
-        F.transform(F.slice("before", F.lit(1), up), lambda x, i: line(F.col("far"), F.col("first") - 1 - i, _words(x))),
-        body(F.col("far")),
-        F.transform(F.slice("after", F.lit(1), down), lambda x, i: line(F.col("far"), F.col("end") + i, _words(x))),
-        F.when(F.col("prior").isNull(), F.slice(body(F.col("near")), 1, 0)).otherwise(body(F.col("near"))),
+    met = met.select("place.doc_id", "place.mark", "first", "end", "prior", "body", along("origin", "its_first").alias("far"), along("place", "prior").alias("near"),
+        F.slice("before", F.lit(1), _alike(F.col("before"), F.col("its_before"))).alias("up"), F.slice("after", F.lit(1), _alike(F.col("after"), F.col("its_after"))).alias("down"),
     )
-    held = met.select("place.doc_id", "place.mark", F.explode(alike).alias("x")).select("doc_id", "mark", "x.along", "x.line", "x.words")
+    words = lambda lines: F.transform(lines, _words)
+    stretch = lambda key, first, end, words: F.struct(F.col(key).alias("along"), first.alias("first"), end.alias("end"), words.alias("words"))
+    far = stretch("far", F.col("first") - F.size("up"), F.col("end") + F.size("down"), words(F.concat(F.reverse("up"), "body", "down")))
+    near = F.when(F.col("prior").isNotNull(), stretch("near", F.col("first"), F.col("end"), words("body")))
+    held = met.select("doc_id", "mark", F.explode(F.array(far, near)).alias("x")).where("x is not null").select("doc_id", "mark", "x.*")
     # Neighbouring matches are one passage, however many there are; a line that several hold counts once.
-    order = Window.partitionBy("doc_id", "mark", "along").orderBy("line")
-    once = F.when(F.lag("line").over(order).eqNullSafe(F.col("line")), 0).otherwise(F.col("words"))
-    held = held.select("doc_id", "mark", "along", "line", once.alias("words"), (F.col("line") - F.dense_rank().over(order)).alias("island"))
-    spans = held.groupBy("doc_id", "mark", "along", "island").agg(F.min("line").alias("first"), (F.max("line") + 1).alias("end"), F.sum("words").alias("words"))
+    order = Window.partitionBy("doc_id", "mark", "along").orderBy("first", "end")
+    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    held = held.repartition("doc_id", "mark").select("*", reach.alias("reach"))
+    known = F.least(F.greatest(F.col("reach") - F.col("first"), F.lit(0)), F.size("words"))
+    fresh = F.aggregate(F.slice("words", known + 1, F.size("words") - known), F.lit(0), lambda a, b: a + b)
+    held = held.select("doc_id", "mark", "along", "first", "end", fresh.alias("words"), F.when(F.col("first") > F.col("reach"), 1).otherwise(0).alias("opens"))
+    held = held.select("*", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    spans = held.groupBy("doc_id", "mark", "along", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.sum("words").alias("words"))
     return spans.where(F.col("words") >= min_words).select("doc_id", "mark", "first", "end")
 
 
@@ -197,7 +219,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = staged(cuts, "cuts")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("mark"))
-    joined = rows.join(cuts, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
+    joined = rows.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
     kept = _let(lines_of(F.col("row.text")), lambda lines: _without(lines, F.col("cuts")))
     new = joined.select("row", F.when(F.col("cuts").isNotNull(), kept).alias("new"))
     changed = {"text": F.coalesce("new", "row.text")}

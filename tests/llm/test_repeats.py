@@ -64,6 +64,21 @@ def test_neighbours_are_kept_as_text(spark, monkeypatch):
     assert kept["chunk-lines"]["before"] == kept["chunk-lines"]["after"] == "array<string>"
 
 
+def test_matched_neighbours_are_kept_once(spark, monkeypatch):
+    """A chunk whose neighbour is looked up itself carries no copy of it."""
+    kept, stage = {}, line_dedup.staged
+
+    def watched(df, purpose):
+        kept[purpose] = stage(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(line_dedup, "staged", watched)
+    assert _planted(spark, ", ".join(_words(8, 300)), 700) <= 30
+    rows = kept["chunk-lines"].collect()
+    assert len(rows) > 20
+    assert sum(len(r["before"]) + len(r["after"]) for r in rows) < 0.5 * sum(len(r["body"]) for r in rows)
+
+
 def _repeated(docs):
     seen, found = set(), 0
     for i in sorted(docs):
